@@ -21,8 +21,13 @@ def _row(df: DataFrame, name: str, observed: Column, expected: Column, ok: Colum
     )
 
 
+def _constant(value: float) -> Column:
+    """A literal that may stand among aggregates, also of no rows."""
+    return F.coalesce(F.max(F.lit(float(value))), F.lit(float(value)))
+
+
 def _equal(df: DataFrame, name: str, observed: Column, expected: float) -> DataFrame:
-    return _row(df, name, observed, F.max(F.lit(float(expected))),
+    return _row(df, name, observed, _constant(expected),
                 F.col("__o").cast("double") == F.lit(float(expected)))
 
 
@@ -76,7 +81,7 @@ def close_values(
     both = a.select(*keys, F.col(left).alias("__l")).join(
         b.select(*keys, F.col(right).alias("__r")), keys)
     gap = F.coalesce(F.max(F.abs(F.col("__l") - F.col("__r"))), F.lit(0.0))
-    return _row(both, "values_agree", gap, F.max(F.lit(float(tolerance))),
+    return _row(both, "values_agree", gap, _constant(tolerance),
                 F.col("__o") <= F.lit(float(tolerance)))
 
 

@@ -47,11 +47,11 @@ def check_link(points: DataFrame, aal: DataFrame) -> DataFrame:
 
 def scenario_summary(linked: DataFrame, aal: DataFrame) -> DataFrame:
     """AAL per scenario and its relation to the AAL of the reference grid."""
-    total = aal.agg(F.sum("project1_aal").alias("t")).scalar()
+    total = aal.agg(money_sum("project1_aal").alias("t")).scalar()
     grouped = linked.groupBy("scenario").agg(
         F.count("*").alias("grid_cells"),
         money_sum("total_tiv").alias("portfolio_tiv"),
-        F.sum("linked_aal").alias("linked_aal"),
+        money_sum("linked_aal").alias("linked_aal"),
     )
     multiple = share(F.col("linked_aal"), total)
     return grouped.select(

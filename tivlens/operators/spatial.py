@@ -236,7 +236,9 @@ def nearest_point(
         if index.as_array:
             everything = index.points.agg(
                 F.collect_list(F.struct("grid_lon", "grid_lat")).alias("p")).scalar()
-            out = out.withColumn("__best", F.coalesce(settled, _closest(everything, x, y)))
+            out = out.withColumn("__all", F.when(settled.isNull(), everything))
+            out = out.withColumn(
+                "__best", F.coalesce(settled, _closest(F.col("__all"), x, y))).drop("__all")
     out = out.filter(settled.isNotNull())
     if max_distance is not None:
         out = out.filter(F.sqrt(F.col("__best.d2")) <= F.lit(float(max_distance)))

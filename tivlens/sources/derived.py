@@ -77,15 +77,14 @@ def clean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_portfolio(spark, sf_dir).filter("m >= 910 AND row_id <= 10000000").drop("m")
 
 
-def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ground_truth_of(marked: DataFrame) -> DataFrame:
     """``(row_id, error_type, dimension)`` of every injected error."""
     names = {"C": "Completeness", "V": "Validity", "X": "Consistency", "D": "Duplication",
              "G": "Geography", "K": "Coding", "P": "Plausibility"}
     kind = F.substring("error_type", 1, 1)
     dimension = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in names.items()])
     return (
-        marked_portfolio(spark, sf_dir)
-        .select("row_id", F.expr(ERROR_CASE).alias("error_type"))
+        marked.select("row_id", F.expr(ERROR_CASE).alias("error_type"))
         .filter("error_type IS NOT NULL")
         .withColumn("dimension", dimension)
     )
