@@ -196,7 +196,8 @@ def comparison(dirty_points: DataFrame, clean_points: DataFrame) -> DataFrame:
     d = dirty_points.select(*POINT, F.col("location_count").alias("dl"), F.col("total_tiv").alias("dt"))
     c = clean_points.select(*POINT, F.col("location_count").alias("cl"), F.col("total_tiv").alias("ct"))
     zero, none = F.lit(0.0), F.lit(0)
-    change = F.col("cleansed_tiv") - F.col("dirty_tiv")
+    # subtracted as money: exact, unlike the difference of two large doubles
+    change = (money("cleansed_tiv") - money("dirty_tiv")).cast("double")
     return (
         d.join(c, POINT, "full_outer")
         .select(
@@ -207,7 +208,7 @@ def comparison(dirty_points: DataFrame, clean_points: DataFrame) -> DataFrame:
             F.coalesce("ct", zero).alias("cleansed_tiv"),
         )
         .withColumn("tiv_change", change)
-        .withColumn("tiv_change_pct", share(change * 100, F.nullif(F.col("dirty_tiv"), zero)))
+        .withColumn("tiv_change_pct", share(F.col("tiv_change") * 100, F.nullif(F.col("dirty_tiv"), zero)))
     )
 
 

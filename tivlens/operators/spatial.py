@@ -193,13 +193,26 @@ def grid_index(grid: DataFrame, size: float = CELL) -> GridIndex:
     return GridIndex(points, levels, False)
 
 
-def _closest(candidates: Column, x: Column, y: Column) -> Column:
-    """Struct (d2, grid_lon, grid_lat) of the closest candidate; ties go to the smaller lon, lat."""
-    return F.array_min(F.transform(candidates, lambda p: F.struct(
+def _closest(candidates: Column, x: Column, y: Column, within: float | None = None) -> Column:
+    """Struct (d2, grid_lon, grid_lat) of the closest candidate, NULL if there is none
+    ``within`` the distance; ties go to the smaller lon, lat."""
+    measured = F.transform(candidates, lambda p: F.struct(
         distance2(x, y, p.getField("grid_lon"), p.getField("grid_lat")).alias("d2"),
         p.getField("grid_lon").alias("grid_lon"),
         p.getField("grid_lat").alias("grid_lat"),
-    )))
+    ))
+    if within is not None:
+        measured = F.filter(measured, lambda c: c.getField("d2") <= F.lit(within * within))
+    return F.array_min(measured)
+
+
+def _evaluated(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    A plain projection would be merged into its consumers and repeated for each
+    of them; a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def nearest_point(
@@ -224,21 +237,20 @@ def nearest_point(
             cx, cy = F.when(settled.isNull(), cx), F.when(settled.isNull(), cy)
         out = _join_cells(
             out.withColumns({"__cx": cx, "__cy": cy}), level.cells, level.small, ["__cx", "__cy"])
-        found = _closest(F.col("__candidates"), x, y)
-        found = F.when(found.getField("d2") <= F.lit(level.size**2), found)
-        out = out.withColumn(
-            "__best", found if settled is None else F.coalesce(settled, found)
-        ).drop("__candidates", "__cx", "__cy")
-        settled = F.col("__best")
-        if max_distance is not None and max_distance <= level.size:
-            break
-    else:
-        if index.as_array:
+        best = _closest(F.col("__candidates"), x, y, level.size)
+        if settled is not None:
+            best = F.coalesce(settled, best)
+        done = max_distance is not None and max_distance <= level.size
+        if index.as_array and not done:
             everything = index.points.agg(
                 F.collect_list(F.struct("grid_lon", "grid_lat")).alias("p")).scalar()
-            out = out.withColumn("__all", F.when(settled.isNull(), everything))
-            out = out.withColumn(
-                "__best", F.coalesce(settled, _closest(F.col("__all"), x, y))).drop("__all")
+            out = out.withColumn("__all", everything)
+            best = F.coalesce(best, _closest(F.col("__all"), x, y))
+        kept = [c for c in out.columns if c not in ("__best", "__candidates", "__cx", "__cy", "__all")]
+        out = _evaluated(out, best, "__new").select(*kept, F.col("__new").alias("__best"))
+        settled = F.col("__best")
+        if done:
+            break
     out = out.filter(settled.isNotNull())
     if max_distance is not None:
         out = out.filter(F.sqrt(F.col("__best.d2")) <= F.lit(float(max_distance)))

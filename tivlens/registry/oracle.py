@@ -309,11 +309,13 @@ VIEWS = {
                 "SELECT row_id, bool_or(rule_id = 'P-001') AS has_p001, bool_or(rule_id = 'P-003') AS has_p003 FROM flags "
                 "WHERE rule_id IN ('P-001', 'P-003') GROUP BY 1) q ON q.row_id = p.row_id",
     "dirty_rows": f"SELECT row_id, longitude, latitude, tiv_total FROM raw WHERE {IN_RANGE}",
-    "dirty": "SELECT grid_lon, grid_lat, count(*) AS location_count, " + total("tiv_total") + " AS total_tiv FROM ("
+    "dirty": "SELECT * REPLACE (CAST(total_tiv AS DOUBLE) AS total_tiv) FROM dirty_exact",
+    "dirty_exact": "SELECT grid_lon, grid_lat, count(*) AS location_count, sum(" + money("tiv_total") + ") AS total_tiv FROM ("
              + _nearest("dirty_rows", "row_id", "longitude", "latitude", 0.177, ", tiv_total") + ") GROUP BY 1, 2",
     "clean_rows": f"SELECT row_id, longitude_clean, latitude_clean, tiv_total_clean FROM cleansed p WHERE {_usable} AND {_not_critical} "
                   f"AND {_IN_CLEAN} AND tiv_total_clean IS NOT NULL",
-    "clean_points": "SELECT grid_lon, grid_lat, count(*) AS location_count, " + total("tiv_total_clean") + " AS total_tiv FROM ("
+    "clean_points": "SELECT * REPLACE (CAST(total_tiv AS DOUBLE) AS total_tiv) FROM clean_exact",
+    "clean_exact": "SELECT grid_lon, grid_lat, count(*) AS location_count, sum(" + money("tiv_total_clean") + ") AS total_tiv FROM ("
                     + _nearest("clean_rows", "row_id", "longitude_clean", "latitude_clean", 0.177, ", tiv_total_clean") + ") GROUP BY 1, 2",
     "fallback_rows": "SELECT row_id, longitude_clean AS longitude, latitude_clean AS latitude, tiv_total_clean, FALSE AS assumed FROM clean_rows "
                      "UNION ALL SELECT p.row_id, f.lon, f.lat, tiv_total_clean, TRUE FROM cleansed p JOIN (VALUES "
@@ -330,12 +332,13 @@ VIEWS = {
                    + _nearest("scenario_rows", "scenario, row_id", "longitude_clean", "latitude_clean", None, ", tiv_total_clean")
                    + ") GROUP BY 1, 2, 3",
     "both_points": "SELECT 'DIRTY' AS portfolio_status, * FROM dirty UNION ALL SELECT 'CLEANSED', * FROM clean_points",
-    "compared": "SELECT *, round(cleansed_tiv - dirty_tiv, 2) AS tiv_change, "
-                "round((cleansed_tiv - dirty_tiv)*100/nullif(dirty_tiv, 0), 10) AS tiv_change_pct FROM ("
+    "compared": "SELECT grid_lon, grid_lat, dirty_locations, cleansed_locations, CAST(dt AS DOUBLE) AS dirty_tiv, "
+                "CAST(ct AS DOUBLE) AS cleansed_tiv, CAST(ct - dt AS DOUBLE) AS tiv_change, "
+                "round(CAST(ct - dt AS DOUBLE)*100/nullif(CAST(dt AS DOUBLE), 0), 10) AS tiv_change_pct FROM ("
                 "SELECT coalesce(d.grid_lon, c.grid_lon) AS grid_lon, coalesce(d.grid_lat, c.grid_lat) AS grid_lat, "
                 "coalesce(d.location_count, 0) AS dirty_locations, coalesce(c.location_count, 0) AS cleansed_locations, "
-                "coalesce(d.total_tiv, 0) AS dirty_tiv, coalesce(c.total_tiv, 0) AS cleansed_tiv FROM dirty d "
-                "FULL JOIN clean_points c ON d.grid_lon = c.grid_lon AND d.grid_lat = c.grid_lat)",
+                "coalesce(d.total_tiv, 0) AS dt, coalesce(c.total_tiv, 0) AS ct FROM dirty_exact d "
+                "FULL JOIN clean_exact c ON d.grid_lon = c.grid_lon AND d.grid_lat = c.grid_lat)",
     "scenario_points": "SELECT 'DIRTY' AS scenario, grid_lon, grid_lat, total_tiv FROM dirty UNION ALL "
                        "SELECT scenario, grid_lon, grid_lat, total_tiv FROM sensitivity",
     "linked": "SELECT s.*, g.project1_tiv, g.project1_aal, CASE WHEN g.project1_aal IS NULL THEN NULL WHEN g.project1_tiv > 0 "

@@ -553,8 +553,8 @@ def _(w: Workspace) -> DataFrame:
 
 
 def _comparison(w: Workspace) -> DataFrame:
-    return acc.comparison(w.dirty_points, w.clean_points).withColumns({
-        "tiv_change": F.round("tiv_change", 2), "tiv_change_pct": r10("tiv_change_pct")})
+    return acc.comparison(w.dirty_points, w.clean_points).withColumn(
+        "tiv_change_pct", r10("tiv_change_pct"))
 
 
 @query("u11_dirty_vs_cleansed")

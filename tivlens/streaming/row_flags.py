@@ -1,6 +1,6 @@
 """Row-level rules on a stream of portfolio records.
 
-The reference behaviour is batch. The rules that look at one record only need no
+The rules that look at one record only need no
 state, so the same expressions run unchanged on ``readStream``; rules about
 groups, totals or polygons stay with the batch run.
 """
