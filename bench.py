@@ -36,7 +36,8 @@ def main() -> None:
     rows = w.marked.count()
     w.references()
     # stored results of earlier steps that later queries read
-    for table in ("flags", "findings", "scores", "cleansed", "dirty_points", "sensitivity"):
+    for table in ("flags", "findings", "concentration", "scores", "cleansed", "placed", "dirty_points",
+                  "sensitivity"):
         getattr(w, table)
     w.grid
     times = {}

@@ -45,8 +45,12 @@ def test_group_join_with_hot_key(spark):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     stats = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     plain = sorted(map(tuple, rows.join(stats, "k").collect()))
+    small = [r for r in plain if r[2] == 1]
     for hot in (0, 10, 10**9):
-        assert sorted(map(tuple, groups.join_groups(rows, stats, ["k"], "n", hot).collect())) == plain
+        got = groups.join_groups(rows, stats, ["k"], "n", hot_rows=hot)
+        assert sorted(map(tuple, got.collect())) == plain
+        got = groups.join_groups(rows, stats, ["k"], "n", F.col("n") == 1, hot)
+        assert sorted(map(tuple, got.collect())) == small
 
 
 def test_salted_join_equals_join(spark):

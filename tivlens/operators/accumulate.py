@@ -42,8 +42,19 @@ def usable(cleansed: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def primary(cleansed: DataFrame, flags: DataFrame) -> DataFrame:
-    return usable(cleansed, flags).filter(~F.col("has_p001") & ~F.col("has_p003"))
+def primary(rows: DataFrame) -> DataFrame:
+    """Usable records without P-001 and P-003."""
+    return rows.filter(~F.col("has_p001") & ~F.col("has_p003"))
+
+
+def place(usable_rows: DataFrame, grid: GridIndex) -> DataFrame:
+    """Usable records with coordinates and their nearest grid point, without a cutoff.
+
+    The cleansed, fallback and sensitivity accumulations all start from this table.
+    """
+    rows = usable_rows.select(
+        "row_id", "latitude_clean", "longitude_clean", "tiv_total_clean", "has_p001", "has_p003")
+    return nearest_point(rows, grid, "longitude_clean", "latitude_clean")
 
 
 def per_point(rows: DataFrame, value: str, by: list[str] = POINT) -> DataFrame:
@@ -57,31 +68,32 @@ def dirty(portfolio: DataFrame, grid: GridIndex, radius: float | None = RADIUS)
     return per_point(nearest_point(rows, grid, "longitude", "latitude", radius), "tiv_total")
 
 
-def cleansed_points(
-    cleansed: DataFrame, flags: DataFrame, grid: GridIndex, radius: float | None = RADIUS
-) -> DataFrame:
-    rows = primary(cleansed, flags).filter(
-        in_range("latitude_clean", "longitude_clean") & F.col("tiv_total_clean").isNotNull()
-    ).select("row_id", "latitude_clean", "longitude_clean", "tiv_total_clean")
-    return per_point(
-        nearest_point(rows, grid, "longitude_clean", "latitude_clean", radius), "tiv_total_clean")
+def cleansed_points(placed: DataFrame, radius: float | None = RADIUS) -> DataFrame:
+    rows = primary(placed).filter(
+        in_range("latitude_clean", "longitude_clean") & F.col("tiv_total_clean").isNotNull())
+    if radius is not None:
+        rows = rows.filter(F.col("grid_distance") <= F.lit(float(radius)))
+    return per_point(rows, "tiv_total_clean")
 
 
 def with_fallback(
-    cleansed: DataFrame, flags: DataFrame, grid: GridIndex, fallback: DataFrame
+    placed: DataFrame, usable_rows: DataFrame, grid: GridIndex, fallback: DataFrame
 ) -> DataFrame:
     """Cleansed accumulation where records without coordinates sit on their district's point."""
-    rows = primary(cleansed, flags).filter(F.col("tiv_total_clean").isNotNull()).select(
-        "row_id", "district", "latitude_clean", "longitude_clean", "tiv_total_clean")
-    actual = rows.filter(in_range("latitude_clean", "longitude_clean")).select(
-        "row_id", "tiv_total_clean", F.col("latitude_clean").alias("latitude"),
-        F.col("longitude_clean").alias("longitude"), F.lit(False).alias("assumed"))
-    missing = rows.filter(F.col("latitude_clean").isNull() | F.col("longitude_clean").isNull())
+    actual = primary(placed).filter(
+        in_range("latitude_clean", "longitude_clean") & F.col("tiv_total_clean").isNotNull()
+    ).select(*POINT, "tiv_total_clean", F.lit(False).alias("assumed"))
+    missing = primary(usable_rows).filter(
+        F.col("tiv_total_clean").isNotNull()
+        & (F.col("latitude_clean").isNull() | F.col("longitude_clean").isNull()))
+    # the few fallback points are placed, not the records that use them
+    spots = nearest_point(
+        fallback.filter("latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"),
+        grid, "longitude", "latitude").select("district", *POINT)
     assumed = lookup_join(
-        missing.select("row_id", "district", "tiv_total_clean"), fallback, ["district"], "inner"
-    ).select("row_id", "tiv_total_clean", "latitude", "longitude", F.lit(True).alias("assumed"))
-    placed = nearest_point(actual.unionByName(assumed), grid, "longitude", "latitude")
-    return placed.groupBy(*POINT).agg(
+        missing.select("row_id", "district", "tiv_total_clean"), spots, ["district"], "inner"
+    ).select(*POINT, "tiv_total_clean", F.lit(True).alias("assumed"))
+    return actual.unionByName(assumed).groupBy(*POINT).agg(
         F.count("*").alias("location_count"),
         money_sum("tiv_total_clean").alias("total_tiv"),
         F.count_if("assumed").alias("assumed_location_count"),
@@ -161,27 +173,19 @@ def concentration(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def scenario_rows(cleansed: DataFrame, flags: DataFrame) -> DataFrame:
-    """Usable records with the array of scenarios each belongs to."""
+def sensitivity(placed: DataFrame) -> DataFrame:
+    """Accumulation per scenario. Each record is aggregated once per combination of
+    scenarios; the combinations are expanded after that."""
     p1, p3 = F.col("has_p001"), F.col("has_p003")
+    combined = placed.groupBy("has_p001", "has_p003", *POINT).agg(
+        F.count("*").alias("n"), F.sum(money("tiv_total_clean")).alias("tiv"))
     member = F.array_compact(F.array(
         F.when(~p1 & ~p3, "PRIMARY"),
         F.when(p1 | ~p3, "P001_SENSITIVITY"),
         F.when(p3 | ~p1, "P003_SENSITIVITY"),
         F.lit("COMBINED_SENSITIVITY"),
     ))
-    return usable(cleansed, flags).withColumn("scenarios", member)
-
-
-def sensitivity(cleansed: DataFrame, flags: DataFrame, grid: GridIndex) -> DataFrame:
-    """Accumulation per scenario. Each record is placed once and aggregated once per
-    combination of scenarios; the combinations are expanded after that."""
-    rows = scenario_rows(cleansed, flags).select(
-        "latitude_clean", "longitude_clean", "tiv_total_clean", "scenarios")
-    placed = nearest_point(rows, grid, "longitude_clean", "latitude_clean")
-    combined = placed.groupBy("scenarios", *POINT).agg(
-        F.count("*").alias("n"), F.sum(money("tiv_total_clean")).alias("tiv"))
-    return combined.withColumn("scenario", F.explode("scenarios")).groupBy("scenario", *POINT).agg(
+    return combined.withColumn("scenario", F.explode(member)).groupBy("scenario", *POINT).agg(
         F.sum("n").alias("location_count"), F.sum("tiv").cast("double").alias("total_tiv"))
 
 
@@ -217,12 +221,12 @@ def largest_changes(compared: DataFrame, n: int = 20) -> DataFrame:
 
 
 def by_attribute(
-    portfolio: DataFrame, cleansed: DataFrame, flags: DataFrame, raw: str, clean: str
+    portfolio: DataFrame, usable_rows: DataFrame, raw: str, clean: str
 ) -> DataFrame:
     """Locations and value per attribute before and after cleansing."""
     before = portfolio.groupBy(raw).agg(
         F.count("*").alias("location_count"), money_sum("tiv_total").alias("total_tiv"))
-    after = primary(cleansed, flags).groupBy(F.col(clean).alias(raw)).agg(
+    after = primary(usable_rows).groupBy(F.col(clean).alias(raw)).agg(
         F.count("*").alias("location_count"), money_sum("tiv_total_clean").alias("total_tiv"))
     columns = ["portfolio_status", raw, "location_count", "total_tiv"]
     return before.withColumn("portfolio_status", F.lit("DIRTY")).unionByName(

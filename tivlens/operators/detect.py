@@ -160,8 +160,8 @@ def duplicate_flags(portfolio: DataFrame) -> DataFrame:
         "row_id", F.xxhash64(*content).alias("__h1"), F.xxhash64(F.lit(1), *content).alias("__h2"))
     keys = ["__h1", "__h2"]
     groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.min("row_id").alias("__first")).filter("__n > 1")
-    later = join_groups(rows, groups, keys, "__n").filter("row_id > __first")
+        F.count("*").alias("__n"), F.min("row_id").alias("__first"))
+    later = join_groups(rows, groups, keys, "__n", F.col("__n") > 1).filter("row_id > __first")
     return _flag(later, "D-001", F.lit("Exact duplicate of another portfolio record"))
 
 
@@ -178,8 +178,9 @@ def shared_point_flags(portfolio: DataFrame, only: set[str] | None = None) -> Da
         F.count("*").alias("__n"),
         F.coalesce(several, F.lit(False)).alias("__several"),
         F.count_if(postcode_level).alias("__postcodes"),
-    ).filter("__several OR __postcodes >= 10")
-    joined = join_groups(rows, groups, ["latitude", "longitude"], "__n")
+    )
+    joined = join_groups(rows, groups, ["latitude", "longitude"], "__n",
+                         F.expr("__several OR __postcodes >= 10"))
     checks = {
         "D-002": (
             F.col("__several") & F.col("location_id").isNotNull(),
@@ -205,8 +206,9 @@ def conflicting_tiv_flags(portfolio: DataFrame) -> DataFrame:
     groups = rows.groupBy("location_id").agg(
         F.count("*").alias("__n"), F.count(v).alias("__known"),
         F.min(v).alias("__low"), F.max(v).alias("__high"),
-    ).filter("__low <> __high OR (__known > 0 AND __known < __n)")
-    joined = join_groups(rows, groups, ["location_id"], "__n")
+    )
+    joined = join_groups(rows, groups, ["location_id"], "__n",
+                         F.expr("__low <> __high OR (__known > 0 AND __known < __n)"))
     return _flag(joined, "D-004", text(
         "location_id=", F.col("location_id"),
         ", tiv_building=", fixed("tiv_building", rules.MONEY_SCALE), ", conflicting TIV"))
@@ -223,8 +225,9 @@ def round_value_flags(portfolio: DataFrame) -> DataFrame:
     r = F.col("__rounded").cast("double")
     near = F.abs(r - F.round(r / million, 0) * million) <= 1.0
     rows = rows.filter(near)
-    groups = rows.groupBy("__rounded").agg(F.count("*").alias("__n")).filter("__n >= 10")
-    joined = join_groups(rows, groups, ["__rounded"], "__n").filter(is_round)
+    groups = rows.groupBy("__rounded").agg(F.count("*").alias("__n"))
+    joined = join_groups(
+        rows, groups, ["__rounded"], "__n", F.col("__n") >= 10).filter(is_round)
     return _flag(joined, "P-002", text(
         "tiv_total=", fixed("tiv_total", rules.MONEY_SCALE),
         ", rounded_value=", F.col("__rounded").cast("string"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Keys with more rows than this are joined by broadcast. There are at most
 #: (all rows / HOT_ROWS) of them: 200,000 keys in a table of 10**12 rows.
@@ -14,17 +14,20 @@ def join_groups(
     groups: DataFrame,
     keys: list[str],
     size_col: str,
+    qualify: Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner join of ``rows`` with one row per group.
+    """Inner join of ``rows`` with the groups that ``qualify`` (all by default).
 
-    ``groups`` is already aggregated (so a hot key was combined map-side) and
-    carries the number of rows behind each key in ``size_col``. Hot keys are few
-    by arithmetic and are broadcast, so their rows are never shuffled; every
-    other key has at most ``hot_rows`` rows, which one task can hold.
+    ``groups`` has one row for every key of ``rows``, aggregated (so a hot key was
+    combined map-side), with the number of rows behind the key in ``size_col``.
+    Hot keys are few by arithmetic: they are broadcast, joined if they qualify and
+    dropped if not, and their rows are never shuffled. Every key left for the
+    shuffle has at most ``hot_rows`` rows, which one task can hold.
     """
+    qualify = F.lit(True) if qualify is None else F.coalesce(qualify, F.lit(False))
     hot = groups.filter(F.col(size_col) > hot_rows)
-    cold = groups.filter(F.col(size_col) <= hot_rows)
-    hot_rows_joined = rows.join(F.broadcast(hot), keys, "inner")
+    cold = groups.filter((F.col(size_col) <= hot_rows) & qualify)
+    hot_joined = rows.join(F.broadcast(hot.filter(qualify)), keys, "inner")
     cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return hot_rows_joined.unionByName(cold_rows.join(cold, keys, "inner"))
+    return hot_joined.unionByName(cold_rows.join(cold, keys, "inner"))

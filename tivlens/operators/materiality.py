@@ -69,7 +69,8 @@ def enriched_findings(
         F.when(located, cell("latitude", size)).alias("cell_y"),
     )
     return (
-        flags.select("row_id", "rule_id").distinct()
+        # partitioned on row_id once: DISTINCT and the joins below need no further exchange
+        flags.select("row_id", "rule_id").repartition("row_id").distinct()
         .join(traits, "rule_id")
         .join(places, "row_id")
         .join(percentile, "row_id", "left")
@@ -137,13 +138,14 @@ def priority() -> Column:
 def with_concentration(findings: DataFrame, concentrated: DataFrame) -> DataFrame:
     """Add ``is_concentrated`` (FALSE where the finding has no cell).
 
-    Only concentrated cells are joined, so other findings are not shuffled on
-    their possibly hot cell.
+    ``concentrated`` counts the findings of every rule and cell, which tells
+    ``join_groups`` which of them are hot.
     """
     keys = ["rule_id", "cell_x", "cell_y"]
-    hits = concentrated.filter("is_concentrated").select(*keys, F.col("flagged_count").alias("__n"))
-    inside = join_groups(findings, hits, keys, "__n").select(
-        "row_id", "rule_id", F.lit(True).alias("is_concentrated"))
+    hits = concentrated.select(*keys, F.col("flagged_count").alias("__n"), "is_concentrated")
+    located = findings.filter("cell_x IS NOT NULL").select("row_id", *keys)
+    inside = join_groups(located, hits, keys, "__n", F.col("is_concentrated")).select(
+        "row_id", "rule_id", "is_concentrated")
     return findings.join(inside, ["row_id", "rule_id"], "left").withColumn(
         "is_concentrated", F.coalesce("is_concentrated", F.lit(False)))
 

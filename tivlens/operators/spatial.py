@@ -222,7 +222,7 @@ def nearest_point(
     lat: str,
     max_distance: float | None = None,
 ) -> DataFrame:
-    """Add ``grid_lon, grid_lat`` of the nearest grid point.
+    """Add ``grid_lon, grid_lat`` of the nearest grid point and its ``grid_distance``.
 
     Rows without coordinates are dropped, and so are rows farther than
     ``max_distance`` when it is given.
@@ -252,8 +252,10 @@ def nearest_point(
         if done:
             break
     out = out.filter(settled.isNotNull())
-    if max_distance is not None:
-        out = out.filter(F.sqrt(F.col("__best.d2")) <= F.lit(float(max_distance)))
-    return out.withColumns({
+    out = out.withColumns({
         "grid_lon": F.col("__best.grid_lon"), "grid_lat": F.col("__best.grid_lat"),
+        "grid_distance": F.sqrt(F.col("__best.d2")),
     }).drop("__best")
+    if max_distance is not None:
+        out = out.filter(F.col("grid_distance") <= F.lit(float(max_distance)))
+    return out

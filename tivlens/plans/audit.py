@@ -72,11 +72,12 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         store("completeness_coverage", evaluate.completeness_coverage(per_rule))
         store("detection_overall", evaluate.overall(per_rule))
 
-    percentile = store("tiv_percentile", materiality.percentiles(
-        materiality.materiality_tiv(portfolio, reference)))
+    tiv = store("materiality_tiv", materiality.materiality_tiv(portfolio, reference))
+    percentile = store("tiv_percentile", materiality.percentiles(tiv))
     findings = store("findings", materiality.enriched_findings(
         flags, portfolio, reference, rules, percentile))
-    concentrated = materiality.concentration(findings, materiality.portfolio_cells(portfolio))
+    concentrated = store("concentration", materiality.concentration(
+        findings, materiality.portfolio_cells(portfolio)))
     scores = store("materiality_scores", materiality.scores(findings, concentrated))
     store("materiality_funnel", materiality.funnel(portfolio, scores, reference))
 
@@ -86,18 +87,18 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
     grid = spatial.grid_index(inputs.grid)
     store("accumulation_critical_referred", accumulate.critical_referred(cleansed, flags))
     dirty = store("accumulation_dirty", accumulate.dirty(portfolio, grid))
-    clean_points = store(
-        "accumulation_cleansed", accumulate.cleansed_points(cleansed, flags, grid))
+    usable = store("usable_records", accumulate.usable(cleansed, flags))
+    placed = store("placed_records", accumulate.place(usable, grid))
+    clean_points = store("accumulation_cleansed", accumulate.cleansed_points(placed))
     fallback = store("accumulation_cleansed_fallback", accumulate.with_fallback(
-        cleansed, flags, grid, inputs.fallback))
+        placed, usable, grid, inputs.fallback))
     store("accumulation_fallback_comparison",
           accumulate.fallback_comparison(clean_points, fallback))
     both = accumulate.both_statuses(dirty, clean_points)
     store("accumulation_summary", accumulate.totals(both))
     store("accumulation_top10", accumulate.top_points(both))
     store("accumulation_concentration", accumulate.concentration(clean_points))
-    sensitivity = store(
-        "accumulation_sensitivity", accumulate.sensitivity(cleansed, flags, grid))
+    sensitivity = store("accumulation_sensitivity", accumulate.sensitivity(placed))
     expect.enforce(expect.present(sensitivity, "scenario", accumulate.SCENARIOS[1:]))
     store("accumulation_sensitivity_summary", accumulate.sensitivity_summary(sensitivity))
     compared = store("accumulation_comparison", accumulate.comparison(dirty, clean_points))
@@ -107,7 +108,7 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         ("occupancy", "occupancy_code", "occupancy_code"),
         ("construction", "construction_code", "construction_clean"),
     ):
-        store(f"accumulation_{name}", accumulate.by_attribute(portfolio, cleansed, flags, raw, clean))
+        store(f"accumulation_{name}", accumulate.by_attribute(portfolio, usable, raw, clean))
 
     points = accumulate.scenario_points(dirty, sensitivity)
     store("accumulation_impact_summary", accumulate.impact_summary(points))

@@ -293,12 +293,12 @@ def _(w: Workspace) -> DataFrame:
 
 @query("m01_materiality_tiv")
 def _(w: Workspace) -> DataFrame:
-    return w.materiality_tiv()
+    return materiality.materiality_tiv(w.portfolio, w.validated)
 
 
 @query("m02_tiv_percentile")
 def _(w: Workspace) -> DataFrame:
-    return materiality.percentiles(w.materiality_tiv())
+    return materiality.percentiles(w.materiality_tiv)
 
 
 @query("m02_percentile_with_nulls")
@@ -319,7 +319,8 @@ def _(w: Workspace) -> DataFrame:
 
 @query("m05_enriched_findings")
 def _(w: Workspace) -> DataFrame:
-    return materiality.enriched_findings(w.flags, w.portfolio, w.validated, w.catalogue)
+    return materiality.enriched_findings(
+        w.flags, w.portfolio, w.validated, w.catalogue, w.percentile)
 
 
 @query("m06_rule_totals")
@@ -334,7 +335,8 @@ def _(w: Workspace) -> DataFrame:
 
 @query("m08_spatial_enrichment")
 def _(w: Workspace) -> DataFrame:
-    return w.concentration().withColumn("enrichment_ratio", r10("enrichment_ratio"))
+    return materiality.concentration(w.findings, w.cells()).withColumn(
+        "enrichment_ratio", r10("enrichment_ratio"))
 
 
 @query("m09_decision_flag")
@@ -349,7 +351,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("m11_scores")
 def _(w: Workspace) -> DataFrame:
-    return materiality.scores(w.findings, w.concentration())
+    return materiality.scores(w.findings, w.concentration)
 
 
 @query("m12_funnel")
@@ -503,12 +505,12 @@ def _(w: Workspace) -> DataFrame:
 
 @query("u03_cleansed_accumulation")
 def _(w: Workspace) -> DataFrame:
-    return acc.cleansed_points(w.cleansed, w.flags, w.grid)
+    return acc.cleansed_points(acc.place(w.usable, w.grid))
 
 
 @query("u04_fallback_accumulation")
 def _(w: Workspace) -> DataFrame:
-    return acc.with_fallback(w.cleansed, w.flags, w.grid, derived.fallback_points(w.spark))
+    return acc.with_fallback(w.placed, w.usable, w.grid, derived.fallback_points(w.spark))
 
 
 @query("u05_fallback_comparison")
@@ -544,7 +546,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("u09_sensitivity")
 def _(w: Workspace) -> DataFrame:
-    return acc.sensitivity(w.cleansed, w.flags, w.grid)
+    return acc.sensitivity(acc.place(w.usable, w.grid))
 
 
 @query("u10_sensitivity_summary")
@@ -569,18 +571,17 @@ def _(w: Workspace) -> DataFrame:
 
 @query("u13_by_district")
 def _(w: Workspace) -> DataFrame:
-    return acc.by_attribute(w.portfolio, w.cleansed, w.flags, "district", "district")
+    return acc.by_attribute(w.portfolio, w.usable, "district", "district")
 
 
 @query("u14_by_occupancy")
 def _(w: Workspace) -> DataFrame:
-    return acc.by_attribute(w.portfolio, w.cleansed, w.flags, "occupancy_code", "occupancy_code")
+    return acc.by_attribute(w.portfolio, w.usable, "occupancy_code", "occupancy_code")
 
 
 @query("u15_by_construction")
 def _(w: Workspace) -> DataFrame:
-    return acc.by_attribute(
-        w.portfolio, w.cleansed, w.flags, "construction_code", "construction_clean")
+    return acc.by_attribute(w.portfolio, w.usable, "construction_code", "construction_clean")
 
 
 @query("u16_impact_summary")

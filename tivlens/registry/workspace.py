@@ -97,23 +97,31 @@ class Workspace:
     def rule_counts(self) -> DataFrame:
         return evaluate.by_rule(self.truth, self.flags, self.catalogue)
 
+    @cached_property
     def materiality_tiv(self) -> DataFrame:
-        return materiality.materiality_tiv(self.portfolio, self.validated)
+        return materialise(
+            materiality.materiality_tiv(self.portfolio, self.validated), "materiality_tiv")
+
+    @cached_property
+    def percentile(self) -> DataFrame:
+        return materialise(materiality.percentiles(self.materiality_tiv), "percentile")
 
     @cached_property
     def findings(self) -> DataFrame:
         return materialise(materiality.enriched_findings(
-            self.flags, self.portfolio, self.validated, self.catalogue), "findings")
+            self.flags, self.portfolio, self.validated, self.catalogue, self.percentile), "findings")
 
     def cells(self) -> DataFrame:
         return materiality.portfolio_cells(self.portfolio)
 
+    @cached_property
     def concentration(self) -> DataFrame:
-        return materiality.concentration(self.findings, self.cells())
+        return materialise(
+            materiality.concentration(self.findings, self.cells()), "concentration")
 
     @cached_property
     def scores(self) -> DataFrame:
-        return materialise(materiality.scores(self.findings, self.concentration()), "scores")
+        return materialise(materiality.scores(self.findings, self.concentration), "scores")
 
     def actions(self) -> DataFrame:
         return treat.with_action(
@@ -136,20 +144,26 @@ class Workspace:
     def dirty_points(self) -> DataFrame:
         return materialise(accumulate.dirty(self.portfolio, self.grid), "dirty_points")
 
+    @cached_property
+    def usable(self) -> DataFrame:
+        return materialise(accumulate.usable(self.cleansed, self.flags), "usable")
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return materialise(accumulate.place(self.usable, self.grid), "placed")
+
     @cached_property
     def clean_points(self) -> DataFrame:
-        return materialise(
-            accumulate.cleansed_points(self.cleansed, self.flags, self.grid), "clean_points")
+        return materialise(accumulate.cleansed_points(self.placed), "clean_points")
 
     @cached_property
     def fallback_points(self) -> DataFrame:
         return materialise(accumulate.with_fallback(
-            self.cleansed, self.flags, self.grid, derived.fallback_points(self.spark)), "fallback")
+            self.placed, self.usable, self.grid, derived.fallback_points(self.spark)), "fallback")
 
     @cached_property
     def sensitivity(self) -> DataFrame:
-        return materialise(
-            accumulate.sensitivity(self.cleansed, self.flags, self.grid), "sensitivity")
+        return materialise(accumulate.sensitivity(self.placed), "sensitivity")
 
     def scenario_points(self) -> DataFrame:
         return accumulate.scenario_points(self.dirty_points, self.sensitivity)
