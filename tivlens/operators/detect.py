@@ -66,15 +66,16 @@ def _explode_flags(rows: DataFrame, checks: dict[str, tuple[Column, Column]]) ->
     return reduce(DataFrame.unionByName, parts).select("row_id", "f.rule_id", "f.flagged_value")
 
 
-def portfolio_totals(portfolio: DataFrame) -> Column:
-    """Scalar struct of the totals behind P-003, P-004 and P-005; one pass."""
+def portfolio_totals(portfolio: DataFrame) -> rules.Totals:
+    """The four numbers behind P-003, P-004 and P-005, in one pass."""
     industrial = norm("occupancy_code") == "ind"
-    return portfolio.agg(F.struct(
-        F.sum(F.when(F.col("tiv_total") > 0, money("tiv_total"))).cast("double").alias("positive_tiv"),
-        F.count_if(F.col("year_built") == 1900).alias("built_1900"),
-        F.count_if(industrial).alias("industrial"),
-        F.count_if(industrial & (F.col("num_storeys") == 1)).alias("one_storey"),
-    ).alias("totals")).scalar()
+    row = portfolio.agg(
+        F.sum(F.when(F.col("tiv_total") > 0, money("tiv_total"))).cast("double"),
+        F.count_if(F.col("year_built") == 1900),
+        F.count_if(industrial),
+        F.count_if(industrial & (F.col("num_storeys") == 1)),
+    ).first()
+    return rules.Totals(*row)
 
 
 def row_flags(portfolio: DataFrame, refs: References, only: set[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tivlens.functions.columns import cell, in_range, money_sum
 from tivlens.operators.groups import join_groups
 from tivlens.operators.ordering import rows_before, value_counts
+from tivlens.sources.tables import materialise
 
 CELL = 0.25
 MIN_FLAGS = 5
@@ -32,8 +33,9 @@ def percentiles(tiv: DataFrame, buckets: int | None = None) -> DataFrame:
     counted = rows_before(value_counts(tiv, "materiality_tiv"), "materiality_tiv", "n", buckets)
     rows = tiv.agg(F.count("*").alias("n")).scalar()
     rank = F.coalesce(F.try_divide(F.col("before").cast("double"), (rows - 1).cast("double")), F.lit(0.0))
-    ranked = counted.select(
-        "materiality_tiv", "n", F.round(rank * 100, 2).alias("tiv_percentile"))
+    # read three times below: keep the ranks instead of sorting again
+    ranked = materialise(counted.select(
+        "materiality_tiv", "n", F.round(rank * 100, 2).alias("tiv_percentile")), "ranks")
     known = join_groups(
         tiv.filter(F.col("materiality_tiv").isNotNull()), ranked, ["materiality_tiv"], "n"
     ).select("row_id", "materiality_tiv", "tiv_percentile")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from tivlens.functions.columns import blank, fixed, norm, text
@@ -124,11 +126,21 @@ def city_rule(district_cities: dict[str, str]) -> tuple[Column, Column]:
     return wrong, text("city=", F.col("city"), ", district=", F.col("district"))
 
 
-def portfolio_rules(totals: Column) -> dict[str, tuple[Column, Column]]:
-    """P-003, P-004, P-005: rules against portfolio totals (see ``portfolio_totals``)."""
+@dataclass(frozen=True)
+class Totals:
+    """Portfolio-wide figures that rules compare a record with."""
+
+    positive_tiv: float | None
+    built_1900: int
+    industrial: int
+    one_storey: int
+
+
+def portfolio_rules(totals: Totals) -> dict[str, tuple[Column, Column]]:
+    """P-003, P-004, P-005: rules against portfolio totals."""
     c = F.col
-    part = F.try_divide(c("tiv_total"), totals.getField("positive_tiv"))
-    single = F.try_divide(totals.getField("one_storey"), totals.getField("industrial"))
+    part = F.try_divide("tiv_total", F.lit(totals.positive_tiv).cast("double"))
+    single = totals.one_storey / totals.industrial if totals.industrial else 0.0
     industrial_single = (norm("occupancy_code") == "ind") & (c("num_storeys") == 1)
     return {
         "P-003": (
@@ -137,14 +149,13 @@ def portfolio_rules(totals: Column) -> dict[str, tuple[Column, Column]]:
                  ", portfolio_share=", fixed(part * 100, 2), "%"),
         ),
         "P-004": (
-            (c("year_built") == 1900) & (totals.getField("built_1900") >= 100),
-            text("year_built=", _int("year_built"),
-                 ", occurrences=", totals.getField("built_1900").cast("string")),
+            (c("year_built") == 1900) & F.lit(totals.built_1900 >= 100),
+            text("year_built=", _int("year_built"), f", occurrences={totals.built_1900}"),
         ),
         "P-005": (
-            industrial_single & (single >= 0.50),
+            industrial_single & F.lit(single >= 0.50),
             text("occupancy=", c("occupancy_code"), ", storeys=", _int("num_storeys"),
-                 ", industrial_one_storey_share=", fixed(single * 100, 2), "%"),
+                 ", industrial_one_storey_share=", fixed(F.lit(single * 100), 2), "%"),
         ),
     }
 
