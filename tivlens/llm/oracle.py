@@ -1,0 +1,34 @@
+"""The queries that SQL can express, as DuckDB SQL."""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP1 = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+keyed AS (SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_SPACE})")} AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keeper AS dropped
+           FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP10 = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + 15
+      + length(regexp_replace(role || text, '[^\\\\<]', '', 'g'))
+      + length(regexp_replace(role, '[^' || chr(10) || ']', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op10_chat_formatting": OP10}
