@@ -31,4 +31,13 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op10_chat_formatting": OP10}
+OP7 = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
+keepers AS (SELECT body, max(page_id) AS keeper FROM sized WHERE size >= 1000 GROUP BY body)
+SELECT page_id, size AS payload_bytes, sha1(s.body) AS payload_digest,
+       CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to, true AS intact
+FROM sized s LEFT JOIN keepers k ON s.body = k.body
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op7_warc": OP7, "op10_chat_formatting": OP10}

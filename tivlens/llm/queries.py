@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tivlens.llm import chat, line_dedup, piece_codec, token_counts
-from tivlens.llm.common import table
+from tivlens.llm import chat, line_dedup, piece_codec, token_counts, warc
+from tivlens.llm.common import new_folder, table
 
 PIECES = "piece_bpe_32k.model"
 
@@ -31,6 +31,13 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -49,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_piece_codec": op6_piece_codec,
+    "op7_warc": op7_warc,
     "op10_chat_formatting": op10_chat_formatting,
 }
