@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tivlens.llm.common import SPACES, lower_ascii
+from tivlens.llm.common import SPACES, lower_ascii, stored
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -43,6 +43,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.select("hash", "doc").distinct().groupBy("hash")
         .agg(F.count("*").alias("docs"), F.min("doc").alias("keeper"))
         .where(F.col("docs") >= min_docs).select("hash", "keeper"))
+    shared = stored(shared, "shared_lines")  # a plain table, so that Spark can split hot hashes in the join
     drops = (
         lines.join(shared, "hash").where(F.col("doc") != F.col("keeper"))
         .groupBy(F.col("doc").alias("d"), F.col("version").alias("v")).agg(F.collect_set("pos").alias("drops")))
