@@ -40,4 +40,22 @@ SELECT page_id, size AS payload_bytes, sha1(s.body) AS payload_digest,
 FROM sized s LEFT JOIN keepers k ON s.body = k.body
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op7_warc": OP7, "op10_chat_formatting": OP10}
+OP9 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i : i + 3], ' ') END AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept
+FROM documents d JOIN reach ON reach.v = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op7_warc": OP7, "op9_minhash": OP9, "op10_chat_formatting": OP10}

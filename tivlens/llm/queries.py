@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tivlens.llm import chat, line_dedup, piece_codec, token_counts, warc
+from tivlens.llm import chat, line_dedup, minhash, piece_codec, token_counts, warc
 from tivlens.llm.common import new_folder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -57,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
+    "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
 }
