@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tivlens.llm import chat, line_dedup, minhash, piece_codec, token_counts, warc
+from tivlens.llm import chat, decontamination, line_dedup, minhash, piece_codec, token_counts, warc
 from tivlens.llm.common import new_folder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return done.select(
@@ -59,6 +63,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
     "op9_minhash": op9_minhash,
