@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tivlens.llm import chat, decontamination, line_dedup, minhash, piece_codec, token_counts, warc
+from tivlens.llm import chat, decontamination, language_id, line_dedup, minhash, piece_codec, token_counts, warc
 from tivlens.llm.common import new_folder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -27,6 +27,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return done.select(
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
     "op9_minhash": op9_minhash,
