@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tivlens.llm import ann, chat, decontamination, language_id, line_dedup, minhash, piece_codec, token_counts, warc
-from tivlens.llm.common import new_folder, table
+from tivlens.llm import ann, chat, decontamination, language_id, line_dedup, lm_scoring, minhash, piece_codec, token_counts, warc
+from tivlens.llm.common import crc_mod, new_folder, table
 
 PIECES = "piece_bpe_32k.model"
 
@@ -52,6 +52,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 7) == 2
+    scored = lm_scoring.score_texts(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path(PIECES), "lang")
+    return scored.withColumn("held_out", ~F.col("training")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_piece_codec": op6_piece_codec,
     "op7_warc": op7_warc,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
 }
