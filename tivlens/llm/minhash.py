@@ -8,12 +8,13 @@ confirmed on the full sets, and the components of the confirmed links are the gr
 Groups of any size stay linear:
 
 - texts with equal sets are one class, represented by its smallest id, before banding;
-- in each round a text is compared with one centre of its buckets that is not in its
-  component yet, so a bucket of n copies costs n comparisons, not n squared;
+- in each round a text is compared with one centre of each of its buckets that is not in its
+  component yet, at most 48 of them, so a bucket of n copies costs n comparisons, not n squared;
 - what is left in buckets that still hold several components is compared across
-  components, after one-bit signatures (288 bits) have ruled out pairs far below the
-  threshold (a pair at 0.8 agrees in 259 of them on average; below 226, six and a half
-  standard deviations less, it is ruled out).
+  components within the join, whose rows carry the sets: only links come out. One-bit
+  signatures (288 bits) first rule out pairs far below the threshold (a pair at 0.8 agrees
+  in 259 of them on average; below 233, five standard deviations less, it is ruled out),
+  and a pair is compared in the first of its common buckets only.
 
 With 48 bands of 6 values a pair at similarity 0.8 is missed with probability 5e-7. Signatures,
 buckets and sets are written to the shared folder once.
@@ -40,10 +41,10 @@ from tivlens.llm.components import components
 BANDS, PERMS_PER_BAND = 48, 3
 PERMS = BANDS * PERMS_PER_BAND
 VALUES = 2 * PERMS
-AGREEING = 226  # of VALUES one-bit values, at least, to be compared in full
+AGREEING = 233  # of VALUES one-bit values, at least, to be compared in full
 BLOCK = 2048  # shingles permuted at once
 KNOWN = 400_000  # word hashes a worker remembers
-ROUNDS = 2
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -178,6 +179,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def linked_within(members: DataFrame, percent: int) -> DataFrame:
+    """The links ``a, b`` between components within buckets: ``key, doc, component, bits, keys, set``."""
+    other = members.select(*[F.col(c).alias(f"{c}_b") for c in members.columns])
+    differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(-(-VALUES // 64)))
+    first_common = F.get(F.array_intersect("keys", "keys_b"), F.lit(0)) == F.col("key")
+    common = F.size(F.array_intersect("set", "set_b")).cast("long")
+    enough = (100 + percent) * common >= percent * (F.size("set") + F.size("set_b"))
+    both = members.join(other, (F.col("key") == F.col("key_b")) & (F.col("component") < F.col("component_b"))
+                        & (differing <= VALUES - AGREEING) & first_common & enough)
+    return both.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
@@ -203,28 +216,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         placed = buckets.join(labels.withColumnRenamed("vertex", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc"))
         placed = stored(placed, "placed")
+        order = F.struct(F.lit(0) if step == 0 else F.xxhash64("doc", "key", F.lit(step)), F.col("doc"))
         open_keys = (placed.groupBy("key").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min_by(F.struct("doc", "component"), F.struct(
-                F.col("doc") if step == 0 else F.xxhash64("doc", F.lit(step)), F.col("doc"))).alias("centre"))
+            F.min_by(F.struct("doc", "component"), order).alias("centre"))
             .where("lo < hi").select("key", "centre"))
         open_keys = stored(open_keys, "open")
         if open_keys.isEmpty():
             break
         members = placed.join(open_keys, "key")
-        if step < ROUNDS:  # one centre for each text
-            pairs = (members.where(F.col("component") != F.col("centre.component"))
-                     .groupBy("doc").agg(F.min("centre.doc").alias("centre"))
-                     .select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-        else:  # every pair across components
-            bits = single.select("doc", "bits")
-            members = stored(members.select("key", "doc", "component").join(bits, "doc"), "members")
-            other = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "component", "bits")])
-            differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(-(-VALUES // 64)))
-            pairs = members.join(other, (members["key"] == other["key"]) & (F.col("component") < F.col("component_b"))
-                                 & (differing <= VALUES - AGREEING))
-            pairs = pairs.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
-        found = confirmed(stored(pairs, "pairs"), sets, percent)
+        if step < ROUNDS:
+            apart = members.where(F.col("component") != F.col("centre.component"))
+            centre = F.col("centre.doc").alias("b")
+            # smallest ids first: most copies need one comparison
+            pairs = (apart.groupBy("doc").agg(F.min("centre.doc").alias("b")) if step == 0 else
+                     apart.select("doc", centre).distinct()).select(F.col("doc").alias("a"), "b")
+            found = confirmed(stored(pairs, "pairs"), sets, percent)
+        else:
+            members = members.select("key", "doc", "component").join(single.select("doc", "bits", "keys"), "doc").join(sets, "doc")
+            found = linked_within(stored(members, "members"), percent)
         links = stored(found if links is None else links.unionByName(found), "links")
         labels = components(links)
 
