@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tivlens.llm.piece_codec import model_bytes
-from tivlens.llm.pieces import as_text, encoder, pretokens, processor
+from tivlens.llm.pieces import MARK, as_text, encoder, pretokens, processor
 
 MEMORY = 400_000  # pre-tokens a worker remembers
 LONGEST = 64  # code points of a remembered pre-token
@@ -41,7 +41,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = processor(model).encode
-        counts: dict[str, int] = {}
+        counts = {MARK: 1}  # a lone marker is the one pre-token that no text of its own encodes to
         for batch in batches:
             n_bytes, n_tokens = [], []
             for value in batch.column(1):
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 n_tokens.append(sum(n * (counts[t] if t in counts else fresh[t]) for t, n in freq.items()))
                 n_bytes.append(len(text.encode()))
                 if len(counts) + len(fresh) > MEMORY:
-                    counts.clear()
+                    counts = {MARK: 1}
                 counts.update((t, n) for t, n in fresh.items() if len(t) <= LONGEST)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
