@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tivlens.functions.columns import in_range, money, money_sum, share
 from tivlens.operators.sizing import lookup_join
 from tivlens.operators.spatial import GridIndex, nearest_point
 
+MONEY_SUM = T.DecimalType(38, 4)
 RADIUS = 0.177
 SCENARIOS = ["DIRTY", "PRIMARY", "P003_SENSITIVITY", "P001_SENSITIVITY", "COMBINED_SENSITIVITY"]
 POINT = ["grid_lon", "grid_lat"]
@@ -101,18 +104,20 @@ def with_fallback(
     )
 
 
-def _top(cells: DataFrame, by: list[str] | None = None) -> Column:
-    # windows below run over grid points, whose number is bounded by the grid
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    return F.rank().over(w.orderBy(F.col("total_tiv").desc_nulls_first()))
+def _largest(cells: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest values (absent ones first), found by a top-n per task."""
+    return cells.select("total_tiv").orderBy(F.col("total_tiv").desc_nulls_first()).limit(n)
 
 
 def fallback_comparison(conservative: DataFrame, fallback: DataFrame) -> DataFrame:
     """Totals and top-10 share with and without the assumed locations."""
 
     def line(cells: DataFrame, name: str, extra: list[Column]) -> DataFrame:
-        top = F.when(F.col("tiv_rank") <= 10, F.col("total_tiv"))
-        return cells.withColumn("tiv_rank", _top(cells)).agg(
+        # the tenth value; equal ones belong to the top, and below ten points all do
+        bound = _largest(cells, 10).agg(
+            F.min("total_tiv").alias("tenth"))
+        top = F.when(F.col("total_tiv") >= F.col("tenth"), F.col("total_tiv"))
+        return cells.join(F.broadcast(bound)).agg(
             F.lit(name).alias("scenario"),
             F.sum("location_count").alias("locations"),
             money_sum("total_tiv").alias("portfolio_tiv"),
@@ -144,32 +149,46 @@ def totals(points: DataFrame, by: str = "portfolio_status") -> DataFrame:
 
 
 def top_points(points: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` largest points of each status, ties included."""
-    return points.withColumn("tiv_rank", _top(points, ["portfolio_status"])).filter(
-        F.col("tiv_rank") <= n)
+    """The ``n`` largest points of each status, ties included.
+
+    The rank is limited in every task before rows meet, so no task sees all points.
+    """
+    rank = F.rank().over(W.partitionBy("portfolio_status").orderBy(F.col("total_tiv").desc_nulls_first()))
+    return points.withColumn("tiv_rank", rank).filter(F.col("tiv_rank") <= n)
 
 
 def concentration(points: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Top-1/3/5 shares, HHI and occupied cells, overall or per ``by``."""
+    """Top-1/3/5 shares, HHI and occupied cells, overall or per ``by``.
+
+    One aggregate gives totals and squares; the five largest values of each group
+    come from a top-n that every task applies first.
+    """
     by = by or []
-    w = W.partitionBy(*by)
-    order = w.orderBy(F.col("total_tiv").desc_nulls_first(), *[
-        F.col(p).asc() for p in POINT if p in points.columns])
     v = F.col("total_tiv")
-    ranked = points.withColumns({
-        "rank_no": F.row_number().over(order),
-        "portfolio_tiv": F.sum(money("total_tiv")).over(w).cast("double"),
-    })
+    facts = points.groupBy(*by).agg(
+        money_sum("total_tiv").alias("portfolio_tiv"), F.sum(v * v).alias("squares"),
+        F.count("*").alias("occupied_cells"))
+    if by:
+        order = W.partitionBy(*by).orderBy(v.desc_nulls_first())
+        five = points.select(*by, "total_tiv").withColumn("n", F.row_number().over(order)).filter("n <= 5")
+    else:
+        five = _largest(points, 5)
+    # absent values count as the largest, as in the rank
+    largest = five.groupBy(*by).agg(F.sort_array(F.collect_list(
+        F.struct(v.isNull().alias("absent"), v.alias("v"))), asc=False).alias("five"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    joined = facts.alias("a").join(F.broadcast(largest.alias("b")), reduce(Column.__and__, same, F.lit(True)))
 
     def top(n: int) -> Column:
-        part = money_sum(F.when(F.col("rank_no") <= n, v))
-        return share(part, F.max("portfolio_tiv"))
+        part = F.aggregate(F.slice("five", 1, n), F.lit(None).cast(MONEY_SUM), lambda total, x: F.when(
+            x["v"].isNotNull(), (F.coalesce(total, F.lit(0)) + money(x["v"])).cast(MONEY_SUM)).otherwise(total))
+        return share(part, F.col("portfolio_tiv"))
 
-    return ranked.groupBy(*by).agg(
-        F.max("portfolio_tiv").alias("portfolio_tiv"),
+    return joined.select(
+        *[F.col(f"a.{c}").alias(c) for c in by], "portfolio_tiv",
         top(1).alias("top1_share"), top(3).alias("top3_share"), top(5).alias("top5_share"),
-        F.sum(F.pow(share(v, F.col("portfolio_tiv")), 2)).alias("hhi"),
-        F.count("*").alias("occupied_cells"),
+        F.try_divide(F.col("squares"), F.col("portfolio_tiv") * F.col("portfolio_tiv")).alias("hhi"),
+        "occupied_cells",
     )
 
 

@@ -33,7 +33,7 @@ class Workspace:
 
     @property
     def clean(self) -> DataFrame:
-        return self.marked.filter("m >= 910 AND row_id <= 10000000").drop("m")
+        return self.marked.filter("m BETWEEN 910 AND 999").drop("m")
 
     @cached_property
     def catalogue(self) -> DataFrame:

@@ -20,7 +20,7 @@ COUNTRY = (84.0, 19.5, 88.0, 23.0)
 
 ERROR_CASE = """
 CASE
- WHEN row_id > 10000000 THEN 'D1_exact_row_duplicate'
+ WHEN m >= 1000 THEN 'D1_exact_row_duplicate'
  WHEN m < 40 THEN 'C1_missing_coordinates'
  WHEN m < 140 THEN 'C2_missing_construction'
  WHEN m < 240 THEN 'C3_missing_year_built'
@@ -74,7 +74,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_portfolio(spark, sf_dir).filter("m >= 910 AND row_id <= 10000000").drop("m")
+    return marked_portfolio(spark, sf_dir).filter("m BETWEEN 910 AND 999").drop("m")
 
 
 def ground_truth_of(marked: DataFrame) -> DataFrame:

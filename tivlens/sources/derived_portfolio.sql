@@ -39,4 +39,4 @@ p AS (
   CASE WHEN m BETWEEN 340 AND 379 THEN NULL WHEN m BETWEEN 435 AND 440 THEN (tb+tc+ti)*5E0 ELSE (tb+tc+ti)*0.02E0 END AS deductible,
   (tb+tc+ti)*0.9E0 AS policy_limit, m FROM b2)
 SELECT * FROM p UNION ALL
-SELECT row_id + 10000000, location_id, account_id, address_line, city, district, state, postcode, latitude, longitude, geocode_level, occupancy_code, construction_code, year_built, num_storeys, floor_area_sqm, tiv_building, tiv_contents, tiv_bi, tiv_total, currency, deductible, policy_limit, m FROM p WHERE m BETWEEN 906 AND 909
+SELECT row_id + (SELECT max(row_id) FROM p), location_id, account_id, address_line, city, district, state, postcode, latitude, longitude, geocode_level, occupancy_code, construction_code, year_built, num_storeys, floor_area_sqm, tiv_building, tiv_contents, tiv_bi, tiv_total, currency, deductible, policy_limit, m + 1000 FROM p WHERE m BETWEEN 906 AND 909
