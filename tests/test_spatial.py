@@ -77,24 +77,27 @@ def nearest(grid, x, y):
     return min(grid, key=lambda g: ((x - g[0]) ** 2 + (y - g[1]) ** 2, g[0], g[1]))
 
 
-def test_nearest_point_small_and_large_grid(spark, monkeypatch):
+def test_nearest_point_at_any_distance(spark, monkeypatch):
     rnd = random.Random(3)
-    grid = [(rnd.uniform(80, 90), rnd.uniform(15, 25)) for _ in range(60)]
-    grid = [(round(a, 8), round(b, 8)) for a, b in grid]
-    points = [(i, rnd.uniform(78, 92), rnd.uniform(13, 27)) for i in range(300)]
-    points += [(900, -0.1, 51.5), (901, 86.0, 190.5), (902, 0.0, 0.0), (903, -179.0, -89.0)]
+    few = [(round(rnd.uniform(80, 90), 8), round(rnd.uniform(15, 25), 8)) for _ in range(60)]
+    many = [(80 + i / 10, 15 + j / 10) for i in range(101) for j in range(100)]
+    points = [(i, rnd.uniform(78, 92), rnd.uniform(13, 27)) for i in range(150)]
+    points += [(900, -0.1, 51.5), (901, 86.0, 190.5), (902, 0.0, 0.0), (903, -179.0, -89.0),
+               (904, 300000.0, 2200000.0), (905, -1e12, 3.0), (906, 0.0, 0.0)]
     df = spark.createDataFrame(points + [(999, None, 20.0)], "id long, x double, y double")
-    g = spark.createDataFrame(grid, "grid_lon double, grid_lat double")
 
-    def check(index):
+    def check(grid):
+        grid = [(round(a, 8), round(b, 8)) for a, b in grid]
+        index = spatial.grid_index(spark.createDataFrame(grid, "grid_lon double, grid_lat double"))
         got = {r["id"]: (r["grid_lon"], r["grid_lat"])
                for r in spatial.nearest_point(df, index, "x", "y").collect()}
         assert got == {i: nearest(grid, x, y) for i, x, y in points}
         near = {r["id"] for r in spatial.nearest_point(df, index, "x", "y", 0.177).collect()}
         assert near == {i for i, x, y in points if math.dist((x, y), nearest(grid, x, y)) <= 0.177}
+        return index
 
-    check(spatial.grid_index(g))
-    monkeypatch.setattr(spatial, "ARRAY_POINTS", 10)  # forces the levels
-    leveled = spatial.grid_index(g)
-    assert len(leveled.levels) > 3
-    check(leveled)
+    check(few)
+    assert len(check(many).levels) > 2
+    check([(0.0, 0.0), (1e6, 1e6), (-1e6, 5.0)] + few[:30])
+    empty = spatial.grid_index(spark.createDataFrame([], "grid_lon double, grid_lat double"))
+    assert spatial.nearest_point(df, empty, "x", "y").count() == 0

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tivlens.functions.columns import cell, col, key8
 from tivlens.functions.geometry import crosses, distance2, touches
-from tivlens.operators.sizing import is_small, salted_join
+from tivlens.operators.sizing import is_small, lookup_join, salted_join
+from tivlens.sources.tables import materialise
 
 CELL = 0.25
 #: Largest index (edges, or candidate points) that is broadcast; about 40 bytes per item.
@@ -135,38 +136,28 @@ def is_inside(name: str) -> Column:
 # ---------------------------------------------------------------- nearest point
 
 @dataclass(frozen=True)
-class GridLevel:
-    """``cells`` lists, for every cell of ``size``, the points of its 3 x 3 neighbourhood.
+class GridIndex:
+    """Grid points, indexed for a search that is exact at any distance and any grid size.
 
-    A nearest candidate no farther away than ``size`` is the nearest point of
-    all, because everything outside the neighbourhood is farther.
+    ``near`` lists, for every cell of ``size``, the points of its 3 x 3 neighbourhood: a
+    candidate there no farther away than ``size`` is the nearest of all points. Rows it
+    can't settle descend ``levels``: boxes around the points of ever larger cells, from
+    the points themselves up to ``top``, a handful of boxes that hold everything.
     """
 
     size: float
-    cells: DataFrame
+    near: DataFrame
     small: bool
+    levels: list[DataFrame]
+    top: list[tuple]
 
 
-@dataclass(frozen=True)
-class GridIndex:
-    """Distinct grid points and their levels from fine to coarse.
-
-    A grid of at most ``ARRAY_POINTS`` has one level: rows it cannot settle
-    search all points as one array. A larger grid has levels up to the whole
-    coordinate range.
-    """
-
-    points: DataFrame
-    levels: list[GridLevel]
-    as_array: bool
+#: Boxes at the top of the index; above that one more level is built.
+TOP_BOXES = 16
+STEP = 4
 
 
-#: Coordinates differ by less than this many degrees even when they are invalid.
-REACH = 2048.0
-ARRAY_POINTS = 10_000
-
-
-def _level(points: DataFrame, size: float) -> DataFrame:
+def _neighbours(points: DataFrame, size: float) -> DataFrame:
     near = F.sequence(F.lit(-1), F.lit(1))
     return (
         points.withColumn("__dx", F.explode(near))
@@ -179,18 +170,58 @@ def _level(points: DataFrame, size: float) -> DataFrame:
     )
 
 
+_BOX = ["xl", "xh", "yl", "yh"]
+
+
 def grid_index(grid: DataFrame, size: float = CELL) -> GridIndex:
-    points = grid.select(
-        key8("grid_lon").alias("grid_lon"), key8("grid_lat").alias("grid_lat")).distinct()
-    if is_small(points, ARRAY_POINTS):
-        return GridIndex(points, [GridLevel(size, _level(points, size), True)], True)
-    # every point is a candidate of nine cells on each level
+    """Index a grid ``(grid_lon, grid_lat)``; every part of it is stored once."""
+    points = materialise(grid.select(
+        key8("grid_lon").alias("grid_lon"), key8("grid_lat").alias("grid_lat")
+    ).filter("grid_lon IS NOT NULL AND grid_lat IS NOT NULL").distinct(), "grid-points")
+    # every point is a candidate of nine cells
     small = is_small(points, BROADCAST_ITEMS // 9)
-    levels = []
-    while not levels or levels[-1].size < REACH:
-        levels.append(GridLevel(size, _level(points, size), small))
-        size *= 8
-    return GridIndex(points, levels, False)
+    near = materialise(_neighbours(points, size), "grid-near")
+    boxes = points.select(
+        F.col("grid_lon").alias("xl"), F.col("grid_lon").alias("xh"),
+        F.col("grid_lat").alias("yl"), F.col("grid_lat").alias("yh"))
+    levels, width = [], size
+    while True:
+        child = boxes.withColumns({"px": cell("xl", width), "py": cell("yl", width)})
+        levels.append(materialise(child, f"grid-level{len(levels)}"))
+        boxes = levels[-1].groupBy("px", "py").agg(
+            F.min("xl").alias("xl"), F.max("xh").alias("xh"),
+            F.min("yl").alias("yl"), F.max("yh").alias("yh")
+        ).withColumnsRenamed({"px": "cx", "py": "cy"})
+        top = boxes.select("cx", "cy", *_BOX).limit(TOP_BOXES + 1).collect()
+        if len(top) <= TOP_BOXES:
+            return GridIndex(size, near, small, levels, [tuple(r) for r in top])
+        # coarser cells are unions of finer ones, so a box never leaves its parent
+        width *= STEP
+
+
+def _search(places: DataFrame, index: GridIndex) -> DataFrame:
+    """``(x, y, best)`` for distinct places: descend from the top, keeping the boxes whose nearest
+    corner is no farther than the farthest corner of any other."""
+    box = "struct<cx: bigint, cy: bigint, xl: double, xh: double, yl: double, yh: double>"
+    tops = [F.struct(*[F.lit(v) for v in t]).cast(box) for t in index.top]
+    found = places.withColumn("__box", F.explode(F.array(*tops) if tops else F.lit(None).cast(f"array<{box}>")))
+    found = found.select("x", "y", "__box.*")
+    x, y, zero = F.col("x"), F.col("y"), F.lit(0.0)
+    for level in reversed(index.levels):
+        dx, dy = F.greatest(F.col("xl") - x, x - F.col("xh"), zero), F.greatest(F.col("yl") - y, y - F.col("yh"), zero)
+        fx = F.greatest(F.abs(x - F.col("xl")), F.abs(x - F.col("xh")))
+        fy = F.greatest(F.abs(y - F.col("yl")), F.abs(y - F.col("yh")))
+        bound = F.min(fx * fx + fy * fy).over(Window.partitionBy("x", "y"))
+        kept = found.withColumn("__bound", bound).filter(
+            dx * dx + dy * dy <= F.col("__bound") * (1 + 1e-9)).select(
+            "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        found = lookup_join(kept, level, ["px", "py"], "inner")
+        if "cx" not in level.columns:
+            break
+        found = found.select("x", "y", "cx", "cy", *_BOX)
+    d2 = distance2(x, y, F.col("xl"), F.col("yl"))
+    return found.groupBy("x", "y").agg(F.min(F.struct(
+        d2.alias("d2"), F.col("xl").alias("grid_lon"), F.col("yl").alias("grid_lat"))).alias("best"))
 
 
 def _closest(candidates: Column, x: Column, y: Column, within: float | None = None) -> Column:
@@ -229,30 +260,22 @@ def nearest_point(
     """
     x, y = col(lon), col(lat)
     out = rows.filter(x.isNotNull() & y.isNotNull())
-    settled = None
-    for level in index.levels:
-        cx, cy = cell(lon, level.size), cell(lat, level.size)
-        if settled is not None:
-            # settled rows carry a NULL key and match nothing
-            cx, cy = F.when(settled.isNull(), cx), F.when(settled.isNull(), cy)
-        out = _join_cells(
-            out.withColumns({"__cx": cx, "__cy": cy}), level.cells, level.small, ["__cx", "__cy"])
-        best = _closest(F.col("__candidates"), x, y, level.size)
-        if settled is not None:
-            best = F.coalesce(settled, best)
-        done = max_distance is not None and max_distance <= level.size
-        if index.as_array and not done:
-            everything = index.points.agg(
-                F.collect_list(F.struct("grid_lon", "grid_lat")).alias("p")).scalar()
-            out = out.withColumn("__all", everything)
-            best = F.coalesce(best, _closest(F.col("__all"), x, y))
-        kept = [c for c in out.columns if c not in ("__best", "__candidates", "__cx", "__cy", "__all")]
-        out = _evaluated(out, best, "__new").select(*kept, F.col("__new").alias("__best"))
-        settled = F.col("__best")
-        if done:
-            break
-    out = out.filter(settled.isNotNull())
-    out = out.withColumns({
+    out = _join_cells(
+        out.withColumns({"__cx": cell(lon, index.size), "__cy": cell(lat, index.size)}),
+        index.near, index.small, ["__cx", "__cy"])
+    kept = [c for c in out.columns if c not in ("__candidates", "__cx", "__cy")]
+    best = _closest(F.col("__candidates"), x, y, index.size)
+    out = _evaluated(out, best, "__new").select(*kept, F.col("__new").alias("__best"))
+    if max_distance is None or max_distance > index.size:
+        far = F.col("__best").isNull()
+        places = out.filter(far).select(x.alias("x"), y.alias("y")).distinct()
+        places = materialise(_search(places, index), "grid-far").select(
+            F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("best").alias("__far"))
+        # settled rows carry a NULL key and match nothing
+        out = lookup_join(
+            out.withColumns({"__x": F.when(far, x), "__y": F.when(far, y)}), places, ["__x", "__y"])
+        out = out.withColumn("__best", F.coalesce("__best", "__far")).drop("__x", "__y", "__far")
+    out = out.filter(F.col("__best").isNotNull()).withColumns({
         "grid_lon": F.col("__best.grid_lon"), "grid_lat": F.col("__best.grid_lat"),
         "grid_distance": F.sqrt(F.col("__best.d2")),
     }).drop("__best")
