@@ -71,6 +71,19 @@ def test_null_and_blank_edges(spark):
     assert {r for r, rule in flags if rule == "D-004"} == {1, 2, 3, 4, 5, 6, 7}
 
 
+def test_values_that_are_no_money(spark):
+    odd = {11: 1e25, 12: float("nan"), 13: float("inf"), 14: -1e30, 15: 5.0}
+    rows = [_row(spark, row_id=i, tiv_total=v, tiv_building=v, deductible=v, location_id=f"L{i}") for i, v in odd.items()]
+    df = spark.createDataFrame([tuple(r[f.name] for f in PORTFOLIO.fields) for r in rows], PORTFOLIO)
+    refs = detect.References(
+        density=detect.Threshold(1.0, 1, 1.0), building_tiv=detect.Threshold(1.0, 1, 9.0))
+    flags = {(r["row_id"], r["rule_id"]): r["flagged_value"] for r in detect.detect(df, refs).collect()}
+    assert {(11, "P-001"), (13, "P-001"), (14, "V-001")} <= set(flags)
+    assert "1.0E25" in flags[11, "P-001"] and "Infinity" in flags[13, "P-001"]
+    lost = expect.money_fits(df, "tiv_total").first()
+    assert (lost["ok"], lost["observed"]) == (False, 4.0)
+
+
 def test_numeric_code_keeps_original(spark):
     rows = [_row(spark, row_id=1, construction_code="01"), _row(spark, row_id=2, construction_code="R.C.C.")]
     df = spark.createDataFrame([tuple(r[f.name] for f in PORTFOLIO.fields) for r in rows], PORTFOLIO)

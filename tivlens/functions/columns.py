@@ -24,7 +24,8 @@ def blank(name: str | Column) -> Column:
 
 
 def money(name: str | Column) -> Column:
-    return col(name).cast(MONEY)
+    """The value as money; NULL where it is no number or too large (``expect.money_fits`` counts those)."""
+    return col(name).try_cast(MONEY)
 
 
 def money_sum(name: str | Column) -> Column:
@@ -33,8 +34,12 @@ def money_sum(name: str | Column) -> Column:
 
 
 def fixed(name: str | Column, scale: int) -> Column:
-    """Text with a fixed number of decimals (independent of the double printer)."""
-    return col(name).cast(T.DecimalType(28, scale)).cast("string")
+    """Text with a fixed number of decimals (independent of the double printer).
+
+    A value that doesn't fit, infinity or not a number is written as the double it is.
+    """
+    value = col(name)
+    return F.coalesce(value.try_cast(T.DecimalType(28, scale)).cast("string"), value.cast("string"))
 
 
 def text(*parts: str | Column) -> Column:

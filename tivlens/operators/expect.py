@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tivlens.functions.columns import money_sum
+from tivlens.functions.columns import money, money_sum
 
 
 class ContractError(ValueError):
@@ -43,6 +43,12 @@ def positive(df: DataFrame, column: str) -> DataFrame:
     return _equal(df, f"{column}_positive", F.count_if(F.col(column) <= 0), 0)
 
 
+def money_fits(df: DataFrame, column: str) -> DataFrame:
+    """No value is lost to sums of money: not a number, infinite or beyond its range."""
+    lost = F.col(column).isNotNull() & money(column).isNull()
+    return _equal(df, f"{column}_fits_money", F.count_if(lost), 0)
+
+
 def unmapped(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     """Codes of ``df`` missing from ``codes``: one row per code with its number of rows."""
     return (
