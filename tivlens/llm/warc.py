@@ -100,12 +100,12 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     keepers = stored(keepers, "keepers")  # a plain table, so that Spark can split hot digests in the join
     revisits = (large.join(keepers, ["digest", "size"]).where("id < keeper")
                 .select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "keeper").distinct())
-    marked = rows.join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    # payloads move once: the join keeps this partitioning, which also brings repeated rows together
+    marked = rows.repartition("id", "digest").join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     sent = marked.select(F.col("id").cast("string").alias("page"), "url",
                          F.when(F.col("keeper").isNull(), F.col("body")).otherwise("").alias("body"), "digest",
                          F.col("keeper").cast("string").alias("keeper"))
-    # repeated rows meet: the partitioning by page id is enough, the sort puts them side by side
-    sent = sent.repartition("page").sortWithinPartitions("page", "digest", "url")
+    sent = sent.sortWithinPartitions("page", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
