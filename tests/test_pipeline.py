@@ -150,7 +150,8 @@ def test_geojson(spark, tmp_path):
 def test_corruption(w):
     clean, dirty, copies = w.portfolio, w.corrupted, w.copies
     n = clean.count()
-    log = {r["rule"]: r for r in corrupt.injection_log(w.selected).collect()}
+    log = {r["rule"]: r for r in corrupt.injection_log(w.selected, copies.count()).collect()}
+    assert len(log) == 39
     assert all(r["skipped"] == 0 for r in log.values())
     assert log["C3_missing_year_built"]["success"] == round(0.4 * n)
     truth = corrupt.ground_truth(clean, dirty, copies)

@@ -189,18 +189,24 @@ def select_errors(clean: DataFrame, seed: int = SEED) -> DataFrame:
             chosen = digest(t) <= F.lit(cut[t.name])
             bits = bits + F.when(chosen, F.lit(1 << BIT[t.name]).cast("long")).otherwise(
                 F.lit(0).cast("long"))
-        marked = marked.withColumn("__mask", F.col("__mask") + bits)
-    # everything downstream reads the mask many times over: keep it, not its derivation
-    return materialise(marked, "marked")
+        # stored, so that later levels read the mask and don't derive earlier digests again
+        marked = materialise(marked.withColumn("__mask", F.col("__mask") + bits), "marked")
+    return marked
 
 
 def injection_log(marked: DataFrame, duplicates: int | None = None) -> DataFrame:
-    """``(rule, dimension, target, success, skipped)`` per type; one pass."""
+    """``(rule, dimension, target, success, skipped)`` per type; one pass.
+
+    ``duplicates`` is the number of copies made; with it the log has a line for them.
+    """
+    copied = 0 if duplicates is None else duplicates
+    types = [*TYPES, *([] if duplicates is None else [DUPLICATE])]
     rows = marked.agg(F.count("*").alias("rows"), F.array(*[
         F.struct(F.lit(t.name).alias("rule"), F.lit(t.dimension).alias("dimension"),
                  F.lit(t.share).alias("share"),
-                 F.count_if(_any_bit(F.col("__mask"), [t.name])).alias("success"))
-        for t in TYPES]).alias("types"))
+                 (F.coalesce(F.max(F.lit(copied)), F.lit(copied)).cast("long") if t is DUPLICATE else
+                  F.count_if(_any_bit(F.col("__mask"), [t.name]))).alias("success"))
+        for t in types]).alias("types"))
     target = F.when(F.col("t.rule") == SHORT["P3"], F.lit(1)).otherwise(
         F.bround(F.col("t.share") * F.col("rows"), 0).cast("long"))
     return rows.select("rows", F.explode("types").alias("t")).select(

@@ -575,7 +575,10 @@ BODIES = {
     "j00_selection": " UNION ALL ".join(f"SELECT row_id, '{t.name}' AS error_type FROM sel_{t.name}" for t in corrupt.TYPES),
     "j02_injection_log": "SELECT *, target - success AS skipped FROM (" + " UNION ALL ".join(
         f"SELECT '{t.name}' AS rule, '{t.dimension}' AS dimension, CAST({'1' if t.share == 0 else f'round_even({t.share}::DOUBLE*(SELECT count(*) FROM raw), 0)'} AS BIGINT) AS target, "
-        f"(SELECT count(*) FROM sel_{t.name}) AS success" for t in corrupt.TYPES) + ")",
+        f"(SELECT count(*) FROM sel_{t.name}) AS success" for t in corrupt.TYPES)
+    + f" UNION ALL SELECT '{corrupt.DUPLICATE.name}', '{corrupt.DUPLICATE.dimension}', n, least(n, (SELECT count(*) FROM ("
+    + " UNION ".join(f"SELECT row_id FROM sel_{t.name}" for t in corrupt.TYPES)
+    + f"))) FROM (SELECT CAST(round_even({corrupt.DUPLICATE.share}::DOUBLE*count(*), 0) AS BIGINT) AS n FROM raw))",
     "j04_weighted_draw": "SELECT row_id, cell_x, cell_y FROM (SELECT row_id, CAST(CAST('0x' || substr(md5(concat('42|cell|', row_id)), 1, 12) AS BIGINT) AS DOUBLE)/281474976710656 AS u FROM raw) "
     "JOIN weights ON low <= u AND u < high",
 }

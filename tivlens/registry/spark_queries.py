@@ -641,7 +641,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("j02_injection_log")
 def _(w: Workspace) -> DataFrame:
-    return corrupt.injection_log(w.selected)
+    return corrupt.injection_log(w.selected, w.copies.count())
 
 
 @query("j03_apply_edits")
