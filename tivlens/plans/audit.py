@@ -44,6 +44,10 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         done[name] = read_table(spark, f"{out}/{name}", df.schema)
         return done[name]
 
+    def stored_index(name: str, edges: DataFrame) -> spatial.PolygonIndex:
+        index = spatial.polygon_index(edges)
+        return spatial.PolygonIndex(store(name, index.cells), index.size, index.small)
+
     portfolio, rules = inputs.portfolio, catalogue(spark)
     expect.enforce(
         expect.unique(portfolio, ["row_id"]),
@@ -60,8 +64,8 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         building_tiv=calibrate.read_threshold(building),
         postcodes=inputs.postcodes,
         district_cities=inputs.district_cities,
-        land=spatial.polygon_index(inputs.land),
-        country=spatial.polygon_index(inputs.country),
+        land=stored_index("land_index", inputs.land),
+        country=stored_index("country_index", inputs.country),
         as_of_year=inputs.as_of_year,
     )))
 

@@ -562,6 +562,7 @@ BODIES = {
     "u14_by_occupancy": _by("occupancy_code", "occupancy_code"),
     "u15_by_construction": _by("construction_code", "construction_clean"),
     "u16_impact_summary": _concentration("scenario_points", "scenario"),
+    "audit_run": _concentration("scenario_points", "scenario"),
     "l01_grid_check": _check("same_keys", "(SELECT count(*) FROM dirty WHERE grid_lat <= 19.5)", "0") + " UNION ALL "
     + _check("values_agree", "(SELECT max(abs(total_tiv - (total_tiv + 0.5))) FROM dirty WHERE grid_lat > 19.5)", "0.000001", "observed <= expected"),
     "l02_scenario_stack": "SELECT * FROM scenario_points",

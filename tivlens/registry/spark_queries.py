@@ -13,7 +13,8 @@ from tivlens.operators import (
     accumulate as acc, calibrate, corrupt, evaluate, expect, linkage, materiality, ordering,
     sampling, spatial, treat)
 from tivlens.operators.detect import detect
-from tivlens.registry.workspace import Workspace, workspace
+from tivlens.plans.audit import Inputs, run_audit
+from tivlens.registry.workspace import AS_OF_YEAR, Workspace, workspace
 from tivlens.sources import derived, points, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +595,22 @@ def _(w: Workspace) -> DataFrame:
     return _rounded(acc.impact_summary(w.scenario_points()))
 
 
+def audit_inputs(w: Workspace) -> Inputs:
+    """What a run over the derived portfolio starts from."""
+    return Inputs(
+        portfolio=w.portfolio, clean=w.clean, postcodes=derived.postcodes(w.spark),
+        land=derived.land_edges(w.spark), country=derived.country_edges(w.spark),
+        grid=w.aal.withColumn("value", F.col("project1_tiv")),
+        fallback=derived.fallback_points(w.spark), aal=w.aal, truth=derived.ground_truth_of(w.marked),
+        district_cities=derived.DISTRICT_CITIES, as_of_year=AS_OF_YEAR)
+
+
+@query("audit_run")
+def _(w: Workspace) -> DataFrame:
+    done = run_audit(audit_inputs(w), f"{tables.shared_dir(w.spark)}/audit-{uuid.uuid4().hex}")
+    return _rounded(done["accumulation_impact_summary"])
+
+
 @query("l01_grid_check")
 def _(w: Workspace) -> DataFrame:
     # the value of every grid point, seen from the portfolio's accumulation
