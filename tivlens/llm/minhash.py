@@ -11,7 +11,7 @@ Groups of any size stay linear:
 - in each round a text is compared with one centre of each of its buckets that is not in its
   component yet, at most 48 of them, so a bucket of n copies costs n comparisons, not n squared;
 - what is left in buckets that still hold several components is compared across
-  components within the join, whose rows carry the sets: only links come out. One-bit
+  components within the join: rows with a partner carry their sets, and only links come out. One-bit
   signatures (288 bits) first rule out pairs far below the threshold (a pair at 0.8 agrees
   in 259 of them on average; below 233, five standard deviations less, it is ruled out),
   and a pair is compared in the first of its common buckets only.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,15 +179,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def linked_within(members: DataFrame, percent: int) -> DataFrame:
-    """The links ``a, b`` between components within buckets: ``key, doc, component, bits, keys, set``."""
+def _partners(members: DataFrame) -> tuple[DataFrame, Column]:
+    """``members`` once more, and whether a row may be linked with one of another component of its bucket."""
     other = members.select(*[F.col(c).alias(f"{c}_b") for c in members.columns])
     differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(-(-VALUES // 64)))
     first_common = F.get(F.array_intersect("keys", "keys_b"), F.lit(0)) == F.col("key")
+    return other, ((F.col("key") == F.col("key_b")) & (F.col("component") != F.col("component_b"))
+                   & (differing <= VALUES - AGREEING) & first_common)
+
+
+def linked_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links ``a, b`` between components within buckets: ``key, doc, component, bits, keys``.
+
+    Only rows that have a partner by their bits are joined with their sets.
+    """
+    other, likely = _partners(members)
+    members = stored(stored(members.join(other, likely, "left_semi"), "likely").join(sets, "doc"), "members")
+    other, likely = _partners(members)
     common = F.size(F.array_intersect("set", "set_b")).cast("long")
     enough = (100 + percent) * common >= percent * (F.size("set") + F.size("set_b"))
-    both = members.join(other, (F.col("key") == F.col("key_b")) & (F.col("component") < F.col("component_b"))
-                        & (differing <= VALUES - AGREEING) & first_common & enough)
+    both = members.join(other, likely & (F.col("component") < F.col("component_b")) & enough)
     return both.select(F.col("doc").alias("a"), F.col("doc_b").alias("b"))
 
 
@@ -233,8 +244,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                      apart.select("doc", centre).distinct()).select(F.col("doc").alias("a"), "b")
             found = confirmed(stored(pairs, "pairs"), sets, percent)
         else:
-            members = members.select("key", "doc", "component").join(single.select("doc", "bits", "keys"), "doc").join(sets, "doc")
-            found = linked_within(stored(members, "members"), percent)
+            members = members.select("key", "doc", "component").join(single.select("doc", "bits", "keys"), "doc")
+            found = linked_within(stored(members, "rest"), sets, percent)
         links = stored(found if links is None else links.unionByName(found), "links")
         labels = components(links)
 
