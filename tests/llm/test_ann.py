@@ -55,3 +55,15 @@ def test_unusable_rows(spark):
     assert search(spark, rows) == {0: [(1, 1.0), (2, 1.0), (3, -1.0)]}
     assert search(spark, rows, k=1) == {0: [(1, 1.0)]}
     assert search(spark, []) == {} and search(spark, [(0, None)]) == {}
+
+
+def test_repeated_ids_count_once(spark, vectors):
+    rows = vectors[:300]
+    want = {q: [i for i, _ in r] for q, r in brute(rows, 20).items()}
+    assert {q: [i for i, _ in r] for q, r in search(spark, rows * 2).items()} == want
+    # one id many times with vectors of its own, all nearer than those of other ids
+    best = (10_001, [100 * c for c in rows[0][1]])
+    near = [(10_001, [(100 - k / 100) * c for c in rows[0][1]]) for k in range(1, 60)]
+    got = search(spark, [*rows, *near, *[best] * 30])[0]
+    assert got[0][0] == 10_001 and [i for i, _ in got[1:]] == want[0][:19]
+    assert abs(got[0][1] - (np.array(best[1], np.float32).astype(float) * np.array(rows[0][1], np.float32)).sum()) < 1e-9

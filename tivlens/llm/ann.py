@@ -10,7 +10,8 @@ for small tables that is the root, which holds every row.
 
 Rows and queries meet by (tree, prefix). Buckets of any size are cut into blocks of rows and
 of queries, each block pair is one matrix product and gives its ``k`` best for each query, so
-no candidate is dropped and no task holds more than two blocks.
+no candidate is dropped and no task holds more than two blocks. Rows that repeat an id and
+its vector are dropped first; other repeats of an id share a block, where only the best counts.
 
 Defined cases: rows whose vector is null, zero, of another length than the most common one,
 or holds null or non-finite components take no part, and neither do rows without an id; a
@@ -103,10 +104,13 @@ def best_of_block(d: int, k: int):
             q = np.frombuffer(b"".join(queries["bytes"]), np.float64).reshape(-1, d)
             ids, own = rows["id"].to_numpy(), queries["id"].to_numpy()
             scores = q @ x.T
+            by_id = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]])
             for j, row in enumerate(scores):
                 row[ids == own[j]] = -np.inf
-                if len(row) > k:  # everything that may be among the k best, in spite of rounding
-                    edge = np.partition(row, len(row) - k)[len(row) - k]
+                if len(starts) > k:  # everything that may be among the k best ids, in spite of rounding
+                    single = row if len(starts) == len(row) else np.maximum.reduceat(row[by_id], starts)
+                    edge = np.partition(single, len(single) - k)[len(single) - k]
                     at = np.flatnonzero(row >= edge - NARROW * max(1.0, abs(edge)) if np.isfinite(edge) else row > -np.inf)
                 else:
                     at = np.flatnonzero(row > -np.inf)
@@ -129,11 +133,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows, d = usable(vectors, id_col, vec_col)
     id_type = rows.schema["id"].dataType.simpleString()
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.agg(F.count("*").alias("n"), F.max(length).alias("longest")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_distinct("id").alias("ids")).first()
+    n = facts.n
+    if n > facts.ids:
+        rows = stored(rows.dropDuplicates(["id", "vector"]), "distinct")
+        n = rows.count()
     schema = f"query_id {id_type}, rank int, vec_id {id_type}, score double"
-    if not facts.n:
+    if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    enough = max(LEAST, math.ceil(PER_ROOT * math.sqrt(facts.n)))
+    enough = max(LEAST, math.ceil(PER_ROOT * math.sqrt(n)))
     base = 2 * (d + 1)
 
     def prefix(level: Column) -> Column:
@@ -160,7 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     deep = found.join(chosen.where("level is not null"), ["id", "level"]).select("id", *own, "rows")
     root = chosen.where("level is null").select(
         "id", F.lit(0).alias("level"), F.lit(0).alias("tree"), F.lit(0).cast("long").alias("prefix"),
-        F.lit(facts.n).alias("rows"))
+        F.lit(n).cast("long").alias("rows"))
     visits = stored(deep.unionByName(root), "visits")
 
     # blocks of rows and of queries in each bucket that is visited
