@@ -74,3 +74,21 @@ def test_nothing_to_learn_from_and_empty_table(spark):
 def test_probabilities_of_known_texts_beat_the_base(spark):
     rows = QUERIES["op8_lm_scoring"](spark, "/root/testdata/sf0.001").where("not held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("rest", ["many labels", "no label"])
+def test_rare_and_missing_labels_have_a_class(spark, rest):
+    def text(label, k):
+        return " ".join(f"{label}{chr(97 + (k * 7 + j * 3) % 13)}" for j in range(20))
+
+    known = [(k, label, text(label, k)) for label in "abcdefgh" for k in range(12)]
+    rare = [(k, (label if rest == "many labels" else None), text(label, k)) for label in "xyz" for k in range(8)]
+    asked = [(100, None, text("x", 3)), (100, None, text("a", 3))]
+    df = spark.createDataFrame(known + rare + asked, "doc_id long, lang string, text string")
+    learned = F.col("doc_id") < 100
+
+    def scores(labels):
+        rows = lm_scoring.score_texts(df, learned, PATH, labels).where(~learned).collect()
+        return sorted(r.score for r in rows)
+
+    assert all(a > b + 1 for a, b in zip(scores("lang"), scores(None), strict=True))

@@ -10,7 +10,8 @@ have an edge of their own: with N training tokens, V distinct ones and the word'
     P(word) = (c + V * lattice(word)) / (N + V + 1),    P(end) = (ends + 1) / (N + V + 1)
 
 so the lattice carries what the counts don't know. Texts come from classes (labels of the
-training texts, the most frequent ones; never read from a text that is scored), whose word
+training texts, the most frequent ones, and one class of all other training texts, those
+without a label included; never read from a text that is scored), whose word
 weights back off in the same way, P(word | class) = (c' + V' * P(word)) / (N' + V' + 1), and
 the words of one text are drawn from an urn that repeats itself (``URN`` draws' worth of prior).
 A text's probability is the sum over classes; given the class it is a sum over segmentations
@@ -42,7 +43,7 @@ from tivlens.llm.piece_codec import model_bytes
 from tivlens.llm.pieces import MARK, processor
 
 FREQUENT = 500_000
-CLASSES = 8  # most frequent labels that get counts of their own
+CLASSES = 8  # most frequent labels that get counts of their own; all others share one more class
 URN = 4000.0
 PENDING = 200_000  # distinct words a task counts before it passes them on
 INF = float("inf")
@@ -224,6 +225,11 @@ def score_texts(docs: DataFrame, training: Column, model_path: str, label_col: s
         kind = F.when(label == r.label, k).otherwise(kind)
     classes = len(largest)
     words = stored(word_counts(docs, F.when(training, kind).otherwise(-1), classes, text_col), "words")
+    texts = [r.n for r in largest]
+    if classes and (others := ends - sum(texts)):  # without any label all texts are of the one plain class
+        words = words.withColumn(f"c{classes}", F.col("c") - sum(F.col(f"c{k}") for k in range(classes)))
+        texts.append(others)
+        classes += 1
     zero = F.lit(0)
     facts = words.agg(
         F.coalesce(F.sum("n_all"), zero).alias("all"), F.coalesce(F.sum("c"), zero).alias("n"),
@@ -231,7 +237,7 @@ def score_texts(docs: DataFrame, training: Column, model_path: str, label_col: s
         *[F.coalesce(F.sum(f"c{k}"), zero).alias(f"n{k}") for k in range(classes)],
         *[F.count(F.when(F.col(f"c{k}") > 0, 1)).alias(f"v{k}") for k in range(classes)]).first()
     n, v = facts.n + ends, facts.v + (ends > 0)
-    of = [(facts[f"n{k}"] + r.n, facts[f"v{k}"] + 1, r.n) for k, r in enumerate(largest)]  # tokens, distinct ones, texts
+    of = [(facts[f"n{k}"] + e, facts[f"v{k}"] + 1, e) for k, e in enumerate(texts)]  # tokens, distinct ones, texts
     packed = piece_weights(words, model).tobytes()
     base_end, log_end = math.log10((ends + 1) / (n + v + 1)), math.log((ends + 1) / (n + v + 1))
     ended = [_log((e + vk * math.exp(log_end)) / (nk + vk + 1)) for nk, vk, e in of] or [log_end]
