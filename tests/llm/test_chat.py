@@ -53,3 +53,15 @@ def test_round_trip(spark, turns):
 def test_native_plan(spark):
     plan = formatted(spark, [(1, 1, None, 0.0, "user", "x")])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_null_trees(spark):
+    rows = [(None, 1, None, 0.0, "user", "root"), (None, 2, 1, 1.0, "assistant", "a"), (None, 3, 2, 1.0, "user", "b"),
+            (None, 4, 1, 1.5, "user", "c"), (0, 1, None, 0.0, "user", "zero")]
+    got = formatted(spark, rows, top_k=2).select("tree", "rank", "leaf", "n_turns", chat.learned_text().alias("said")).collect()
+    assert {tuple(r) for r in got} == {(None, 1, 3, 3, "a"), (None, 2, 4, 2, ""), (0, 1, 1, 1, "")}
+    assert {(r.tree, r.leaf) for r in chat.paths(spark.createDataFrame([(*r, "x") for r in rows], NODES)).collect()} == {
+        (None, 3), (None, 4), (0, 1)}
+    turns = spark.createDataFrame([(None, 0, "user", "x"), (None, 1, "assistant", "y"), (5, 0, "user", "z")],
+                                  "conv_id long, turn long, role string, text string")
+    assert {(r.tree, r.n_turns) for r in chat.format_trees(chat.chains(turns)).collect()} == {(None, 2), (5, 1)}

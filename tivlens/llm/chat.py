@@ -10,7 +10,7 @@ roles and texts a backslash is written ``\\b`` and ``<`` is written ``\\l``; in
 feed is written ``\\e``. A backslash in the output thus always starts one of these pairs,
 which makes the escape reversible, and no text can hold a control string.
 
-Defined cases: a null text or role is empty; a turn whose parent does not exist is a root;
+Defined cases: a null tree is a tree like any other; a null text or role is empty; a turn whose parent does not exist is a root;
 turns whose ancestors form a cycle have no root and give no path; repeated node ids within a
 tree are not allowed (the nodes made from flat tables are numbered, so never repeat).
 """
@@ -58,6 +58,15 @@ def chains(turns: DataFrame, tree: str = "conv_id", order: str = "turn", role: s
 
 def paths(nodes: DataFrame) -> DataFrame:
     """``tree, leaf, node, up``: the turns of each root-to-leaf path, ``up`` steps above its leaf."""
+    return _paths(_keyed(nodes)).withColumn("tree", F.col("tree.id"))
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the tree as a struct, by which null trees meet too when tables are joined."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.col("tree").alias("id")))
+
+
+def _paths(nodes: DataFrame) -> DataFrame:
     ids = nodes.select("tree", "node")
     jump = nodes.where(F.col("parent").isNotNull()).select("tree", "node", F.col("parent").alias("above"))
     jump = stored(jump.join(ids.withColumnRenamed("node", "above"), ["tree", "above"], "left_semi")
@@ -84,7 +93,8 @@ def format_trees(nodes: DataFrame, top_k: int = 1, learn_role: str = "assistant"
     ``loss_spans`` holds (start, length) in code points of ``formatted``, one per turn of ``learn_role``.
     Ties in score go to the smaller leaf.
     """
-    steps = paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
+    nodes = _keyed(nodes)
+    steps = _paths(nodes).join(nodes.select("tree", "node", "score", "role", "text"), ["tree", "node"])
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     steps = steps.select(
         "tree", "leaf", "up", F.coalesce("score", F.lit(0.0)).alias("score"),
@@ -101,7 +111,7 @@ def format_trees(nodes: DataFrame, top_k: int = 1, learn_role: str = "assistant"
                     F.length("body").alias("length"), "learn")
     grouped = turns.groupBy("tree", "leaf", "score", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return grouped.select(
-        "tree", "leaf", "score", "rank", F.size("turns").cast("long").alias("n_turns"),
+        F.col("tree.id").alias("tree"), "leaf", "score", "rank", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.col("turns.piece"), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["learn"]),
                     lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"))
