@@ -55,3 +55,35 @@ def test_repeated_rows_and_empty_table(spark):
     folder = new_folder(spark, "t")
     warc.write_archive(rows(spark, []), folder)
     assert warc.read_records(spark, folder).count() == 0
+
+
+def test_one_record_for_each_row(spark):
+    data = [(None, "a", None, ""), (None, "b", None, ""), (None, "a", None, ""), (None, "a", LONG, ""), (None, "c", LONG, ""),
+            (3, "a", "short", ""), (3, "b", "short", ""), (3, None, "short", ""),
+            (4, "a", LONG, ""), (4, "b", LONG, ""), (5, "a", LONG, ""), (5, "b", LONG, "")]
+    want = sorted([(0, 0, "response", 0)] * 3 + [(0, len(LONG), "response", 0)] * 2 + [(3, 5, "response", 0)] * 3
+                  + [(4, len(LONG), "revisit", 5)] * 2 + [(5, len(LONG), "response", 0)] * 2)
+    for again, every_row in ((1, False), (2, True)):
+        folder = new_folder(spark, "t")
+        warc.write_archive(rows(spark, data * again), folder, every_row=every_row)
+        got = [(r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_records(spark, folder).collect() if r.intact]
+        assert sorted(got) == sorted(want * again)
+        chunks = warc.read_chunks(spark, folder).where("last")
+        assert chunks.select("record_id").distinct().count() == len(data) * again
+
+
+def test_query_equals_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from tivlens.llm.oracle import ORACLE
+    from tivlens.llm.queries import QUERIES
+
+    data = [(None, "a", LONG, ""), (None, "b", LONG, ""), (None, "b", None, ""), (None, "b", None, ""), (1, "u", LONG, ""),
+            (1, "u", LONG, ""), (1, "v", LONG, ""), (2, "v", LONG, ""), (2, "v", LONG, ""), (3, None, "", ""), (3, None, "", "")]
+    rows(spark, data).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to, intact"
+    want = con.execute(f"SELECT {columns} FROM ({ORACLE['op7_warc']})").fetchall()
+    got = [tuple(r) for r in QUERIES["op7_warc"](spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -47,7 +47,7 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    warc.write_archive(table(spark, sf_dir, "pages"), folder, every_row=True)
     return warc.read_records(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 

@@ -9,13 +9,16 @@ from segment to segment and checks it against the stored one.
 
 Records of equal payloads (same SHA-1 and length) of at least ``min_revisit`` bytes: the one
 with the largest page id is the response, the others are revisits of it. Digests meet in
-narrow pre-aggregated rows; the join back is one whose hot digests Spark splits.
+narrow pre-aggregated rows; the join back is one whose hot digests Spark splits. Rows that
+repeat page id and payload are numbered, by URL; the first one has the record that revisits
+refer to, the others are records of their own.
 
 Files are UTF-8 text compressed as one gzip member each; the payload of a response follows a
 minimal HTTP header. Custom fields: ``X-Page-ID`` and ``X-Running-Digest``.
 
 Defined cases: a null payload is empty; a null page id is kept as null and never revisits or
-is revisited; rows that repeat page id and payload are one record; URLs are percent-encoded
+is revisited, and every row without one is a record; rows that repeat page id, URL and payload
+are one record, or with ``every_row`` one each; URLs are percent-encoded
 where they hold spaces or control characters, a null URL has no field.
 """
 
@@ -41,8 +44,10 @@ SEGMENT = 1 << 20
 OUT_ROWS = 64
 
 
-def _record_id(page: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{digest}')}>"
+def _record_id(page: str | None, digest: str, repeat: int = 0) -> str:
+    """Of the row numbered ``repeat`` among those of the page id and payload; pages without an id have a number each."""
+    name = f"null {digest} {repeat}" if page is None else f"{page}|{digest}" + (f"|{repeat}" if repeat else "")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def _labelled(hexadecimal: str) -> str:
@@ -60,11 +65,11 @@ def _header(kind: str, record: str, length: int, fields: list[tuple[str, str | N
 
 
 def records(page: str | None, url: str | None, body: str, digest: str, keeper: str | None,
-            chunk_chars: int) -> Iterator[str]:
+            chunk_chars: int, repeat: int = 0) -> Iterator[str]:
     """The texts of a page's record and, for oversized payloads, of its continuation segments."""
     uri = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
     own = [("WARC-Target-URI", uri), ("X-Page-ID", page), ("WARC-Payload-Digest", _labelled(digest))]
-    record = _record_id(page, digest)
+    record = _record_id(page, digest, repeat)
     if keeper is not None:
         yield _header("revisit", record, 0, [
             *own, ("WARC-Refers-To", _record_id(keeper, digest)),
@@ -89,34 +94,44 @@ def records(page: str | None, url: str | None, body: str, digest: str, keeper: s
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
-                  body_col: str = "html", min_revisit: int = 1000, chunk_chars: int = SEGMENT) -> None:
-    """Write one record per page into WARC files below ``folder``."""
+                  body_col: str = "html", min_revisit: int = 1000, chunk_chars: int = SEGMENT,
+                  every_row: bool = False) -> None:
+    """Write one record per page into WARC files below ``folder``; with ``every_row`` equal rows have one each."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body"),
-                        F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
+                        F.sha1(body).alias("digest"), F.octet_length(body).alias("size"),
+                        F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("own"))
+    rows = rows.withColumn("place", F.coalesce(F.col("own").cast("string"), "digest"))
     large = rows.where((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest", "size")
     keepers = (large.groupBy("digest", "size").agg(F.max("id").alias("keeper"), F.min("id").alias("least"))
                .where("least < keeper").drop("least"))
     keepers = stored(keepers, "keepers")  # a plain table, so that Spark can split hot digests in the join
     revisits = (large.join(keepers, ["digest", "size"]).where("id < keeper")
                 .select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "keeper").distinct())
-    # payloads move once: the join keeps this partitioning, which also brings repeated rows together
-    marked = rows.repartition("id", "digest").join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    # payloads move once: the join keeps this partitioning, which also brings repeated rows together;
+    # those without an id are spread by a number of their own
+    marked = rows.repartition("id", "place").join(revisits, (F.col("id") == F.col("rid")) & (F.col("place") == F.col("rdigest")), "left")
     sent = marked.select(F.col("id").cast("string").alias("page"), "url",
                          F.when(F.col("keeper").isNull(), F.col("body")).otherwise("").alias("body"), "digest",
-                         F.col("keeper").cast("string").alias("keeper"))
+                         F.col("keeper").cast("string").alias("keeper"), "own")
     sent = sent.sortWithinPartitions("page", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None
+        before, url_before, repeat = None, None, 0
         for batch in batches:
             out: list[str] = []
             for k in range(batch.num_rows):
-                page, url, text, digest, keeper = (batch.column(c)[k].as_py() for c in range(5))
-                if (page, digest) == before:
+                page, url, text, digest, keeper, own = (batch.column(c)[k].as_py() for c in range(6))
+                if own is not None:
+                    number = own
+                elif (page, digest) != before:
+                    number = repeat = 0
+                elif url != url_before or every_row:
+                    number = repeat = repeat + 1
+                else:
                     continue
-                before = page, digest
-                for record in records(page, url, text, digest, keeper, chunk_chars):
+                before, url_before = (page, digest), url
+                for record in records(page, url, text, digest, keeper, chunk_chars, number):
                     out.append(record)
                     if len(out) >= OUT_ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
