@@ -73,3 +73,18 @@ def test_blocks_and_empty_tables(spark):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k, k) for k in range(6)]
     assert contaminated(docs.limit(0), bench).count() == 0
     assert contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_equals_full_alignment_for_heavily_edited_copies(spark):
+    items = [prose(n) for n in (3, 4, 6, 7, 8, 9, 10, 12, 20, 31)] + [[rng.choice(COMMON) for _ in range(n)] for n in (5, 9)]
+    docs = []
+    for item in items:
+        docs.append(sum(([w] if k % 2 == 0 else [w, "inserted"] for k, w in enumerate(item)), []))
+        docs.append([w if k % 3 < 2 else "replaced" for k, w in enumerate(item)])
+        docs.append([w for k, w in enumerate(item) if k % 4 < 3])
+        docs.append(sum(([w, "x"] for w in item), []))
+        docs.extend(prose(rng.choice([0, 30])) + edited(item, rng.choice([0.3, 0.4])) + prose(30) for _ in range(12))
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    rows = contaminated(spark.createDataFrame([(k, " ".join(d), 0.0, "x") for k, d in enumerate(docs)], DOCS), bench).collect()
+    want = {(d, k): s / (2 * len(i)) for d, t in enumerate(docs) for k, i in enumerate(items) if (s := full(i, t)) >= len(i)}
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == want
