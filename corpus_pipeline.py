@@ -3,10 +3,14 @@
 1. language ID: documents without a recognisable language go, the predicted one is noted;
 2. line dedup: lines that several documents share stay in one of them; documents that lose
    every line go, as all they say is said elsewhere;
-3. near duplicates: one document of each group stays (five-word shingles, 80 %);
+3. near duplicates: one document of each group stays, that of the smallest id (five-word shingles, 80 %);
 4. decontamination: documents that hold a benchmark item, edited copies included, go;
 5. SentencePiece: the texts as ids, with a check that they decode to what was encoded.
 
+Every stage decides row by row: rows that repeat an id or have none are documents of their own,
+but in stage 2 rows of one id count as one document, and rows without an id neither share nor
+lose lines.
+
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of
 ``documents``. ``run`` writes what a stage returns to the shared folder and reads it again.
 """
@@ -44,13 +48,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    go = minhash.near_duplicates(docs, size=5).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(docs.columns)
+    # rows are told apart by a number of their own: ids may be missing or repeat
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(rows, size=5, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    keep = (found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id")
+            .agg(F.min(order)["__row"].alias("__row")).select("__row"))
+    return rows.join(stored(keep, "kept"), "__row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    go = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stored(go, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,22 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
         assert docs.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == COLUMNS
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark, folder):
+    rng = random.Random(9)
+
+    def prose():
+        return " ".join("".join(rng.choice(WORDS["aa"]) for _ in range(3)) for _ in range(40))
+
+    bench = made()[1]
+    clean, other, copied = prose(), prose(), prose()
+    bad = prose() + " " + bench[1][1]
+    rows = [(None, bad), (None, clean), (1, bad), (1, other), (2, prose()), (None, copied), (None, copied), (7, copied), (5, copied),
+            (5, copied + " more"), (None, bench[0][1])]
+    docs = spark.createDataFrame([(d, t, "aa", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()), key=str)
+    assert got == sorted((x for x in rows if x[1] not in (bad, bench[0][1])), key=str)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
+    assert len(got) == len(set(rows)) - 4 and (1, bad) in got and (None, bad) not in got
+    assert [d for d, t in got if t.startswith(copied)] == [5] and {(None, clean), (1, other), rows[4], rows[10]} <= set(got)
