@@ -57,3 +57,28 @@ def test_elastic_net_gives_zeros_and_calibration_spreads(model):
     scores, labels = np.array([[9.0, 0], [9, 0], [9, 0], [9, 0]]), np.array([0, 0, 0, 1])
     t = language_id.temperature(scores, labels)
     assert 0.6 < language_id.softmax(scores / t)[0, 0] < 0.85
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    def text(lang, k):
+        return " ".join(f"{lang}{chr(97 + k % 26)}{chr(97 + k // 26)}" for _ in range(3))
+
+    rows = [(text(lang, k), lang) for lang in ("aa", "bb") for k in range(200)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    first = df.selectExpr("text", "lang", "xxhash64(text, lang) AS place").where("lang = 'aa' AND place % 5 <> 0").orderBy("place").first()
+    seen = {}
+
+    def ftrl(rows, k, *_):
+        seen["rows"] = rows
+        return np.zeros((language_id.BUCKETS, k))
+
+    def temperature(scores, labels):
+        seen["left"] = labels
+        return 1.0
+
+    monkeypatch.setattr(language_id, "ftrl", ftrl)
+    monkeypatch.setattr(language_id, "temperature", temperature)
+    language_id.fit(df.union(spark.createDataFrame([(first.text, "aa")] * 300, df.schema)), max_rows=60)
+    labels = [y for *_, y in seen["rows"]] + list(seen["left"])
+    assert labels.count(0) == 30 and labels.count(1) == 30
+    assert len({(at.tobytes(), x.tobytes()) for at, x, _ in seen["rows"]}) == len(seen["rows"])

@@ -3,9 +3,9 @@
 Letters are lower-cased, everything else becomes a space, and all 1- to 3-grams of the whole
 text are hashed into ``BUCKETS`` features. Document frequencies cover all training documents.
 The weights are learned with follow-the-regularised-leader (proximal, elastic net) on a sample
-of at most ``max_rows`` labelled training rows, spread evenly over the languages by a hash of
-the row; a fifth of it is left out of the fit and sets the temperature. All other work is one
-pass over the rows in the tasks; nothing but document frequencies (one row per feature), the
+of at most ``max_rows`` distinct labelled training rows (text and label), spread evenly over the
+languages by a hash of the row, with at least one row of each; a fifth of it is left out of the
+fit and sets the temperature. All other work is one pass over the rows in the tasks; nothing but document frequencies (one row per feature), the
 sample's features and the weights passes the driver.
 
 Defined cases: a null text or one without a letter gets ``und`` with score 0; rows without a
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,16 +173,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_row
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
-    counts = {r.lang: r.n for r in labelled.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    placed = labelled.where("text is not null").withColumn("place", F.xxhash64("text", "lang"))
+    counts = {r.lang: r.n for r in placed.select("lang", "place").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
-    share = F.element_at(F.create_map(*[x for lang in langs for x in (
-        F.lit(lang), F.lit(max_rows / len(langs) / counts[lang]))]), F.col("lang"))
-    place = F.xxhash64("text", "lang")
-    # the place in the sample's order decides; equal rows share it, so the bound holds for the limit alone
-    chosen = labelled.where("text is not null").withColumn("place", place).where(
-        (F.col("place") / F.lit(float(2**64)) + 0.5) < share)
+    quota = max(1, max_rows // len(langs))
+    some = quota + 6 * quota ** 0.5 + 6  # rows of a language to choose from, so that chance leaves the quota hardly unfilled
+    share = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(some / counts[lang]))]), F.col("lang"))
+    # the place in the sample's order decides; equal rows share it and count once
+    chosen = placed.where((F.col("place") / F.lit(float(2**64)) + 0.5) < share).dropDuplicates(["lang", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +200,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_row
 
     sample = chosen.mapInArrow(run, "lang string, place long, at array<int>, x array<float>")
     rows, left = [], []
+    within = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("place"), "place"))
     # in an order that has nothing to do with the language
-    for r in sample.orderBy(F.xxhash64("place"), "place").limit(max_rows).collect():
+    for r in sample.withColumn("nth", within).where(F.col("nth") <= quota).orderBy(F.xxhash64("place"), "place").collect():
         row = np.array(r.at, np.int64), np.array(r.x), langs.index(r.lang)
         (left if r.place % 5 == 0 else rows).append(row)
     weights = ftrl(rows, len(langs), epochs, alpha, beta, l1, l2)
