@@ -58,4 +58,39 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents d JOIN reach ON reach.v = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op7_warc": OP7, "op9_minhash": OP9, "op10_chat_formatting": OP10}
+
+
+def _clustering(k: int, rounds: int) -> str:
+    """Every distance of every round, in long form: rid, place i, component x."""
+    def nearest(r: int) -> str:
+        return f"""
+dist{r} AS (SELECT v.rid, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM parts v JOIN cent{r} c ON v.i = c.i GROUP BY v.rid, c.c),
+near{r} AS MATERIALIZED (SELECT rid, d, c FROM dist{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),"""
+
+    def moved(r: int) -> str:
+        return f"""
+mean{r} AS (SELECT n.c, v.i, sum(v.x) AS s, count(*) AS n FROM near{r} n JOIN parts v ON n.rid = v.rid GROUP BY n.c, v.i),
+cent{r + 1} AS MATERIALIZED (
+  SELECT o.c, o.i, CASE WHEN m.n IS NULL THEN o.x ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS x
+  FROM cent{r} o LEFT JOIN mean{r} m ON o.c = m.c AND o.i = m.i),"""
+
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+numbered AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS rid, vec_id, v FROM kept),
+parts AS MATERIALIZED (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM numbered),
+cent0 AS MATERIALIZED (SELECT rid AS c, i, x FROM parts WHERE rid < {k}),
+""" + "".join(nearest(r) + moved(r) for r in range(rounds)) + nearest(rounds) + f"""
+hashes AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM cent{rounds} GROUP BY c)
+SELECT b.vec_id, n.c::INTEGER AS cluster, n.d::BIGINT AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+       (sum(n.d) OVER ())::BIGINT AS inertia, h.h AS centroid_sha256
+FROM near{rounds} n JOIN numbered b ON n.rid = b.rid JOIN hashes h ON n.c = h.c
+"""
+
+
+OP13 = _clustering(40, 5)
+
+ORACLE = {"op1_line_dedup": OP1, "op7_warc": OP7, "op9_minhash": OP9, "op10_chat_formatting": OP10,
+          "op13_pivot_clusters": OP13}
