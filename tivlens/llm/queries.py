@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tivlens.llm import (
-    ann, chat, decontamination, language_id, line_dedup, lm_scoring, minhash, piece_codec, pivot_clusters, token_counts, warc,
-    weighted_fingerprints)
+    ann, chat, decontamination, language_id, line_dedup, lm_scoring, minhash, piece_codec, pivot_clusters, token_alignment,
+    token_counts, warc, weighted_fingerprints)
 from tivlens.llm.common import crc_mod, new_folder, table
 
 PIECES = "piece_bpe_32k.model"
@@ -79,6 +79,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path(PIECES))
+
+
 def op12_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash": op9_minhash,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_token_alignment": op11_token_alignment,
     "op12_weighted_fingerprints": op12_weighted_fingerprints,
     "op13_pivot_clusters": op13_pivot_clusters,
 }
