@@ -73,6 +73,55 @@ def test_polygons_without_broadcast(spark):
     assert a == b and len(a) == 501
 
 
+def test_polygons_on_the_lines_of_cells(spark):
+    # corners, edges and points that lie on the lines between cells, and thin slivers
+    rnd = random.Random(11)
+    steps = [i / 4 for i in range(-8, 9)]
+    shapes = []
+    for k in range(12):
+        centre = rnd.choice(steps), rnd.choice(steps)
+        angles = sorted(rnd.uniform(0, 2 * math.pi) for _ in range(rnd.randint(3, 14)))
+        pts = [(round((centre[0] + 2 * rnd.random() * math.cos(a)) * 4) / 4,
+                round((centre[1] + 2 * rnd.random() * math.sin(a)) * 4) / 4) for a in angles]
+        shapes += ring(f"p{k}", *pts)
+    shapes += ring("sliver", (-3.0, 0.1), (3.0, 0.1 + 1e-9), (3.0, 0.1 + 2e-9))
+    shapes += ring("upright", (0.3, -3.0), (0.3 + 1e-9, 3.0), (0.3 + 2e-9, -3.0))
+    points = [(x / 8, y / 8) for x in range(-26, 27) for y in range(-26, 27)]
+    points += [(rnd.uniform(-3, 3), rnd.choice(steps)) for _ in range(300)]
+    points += [(rnd.choice(steps), rnd.uniform(-3, 3)) for _ in range(300)]
+    points += [(0.0, 0.1 + 5e-10), (0.3 + 1e-9, -2.5), (float("nan"), 0.0), (float("inf"), 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, x double, y double")
+    index = spatial.polygon_index(spark.createDataFrame(shapes, EDGES))
+    for closed in (False, True):
+        for r in spatial.polygons_at(df, index, "x", "y", "p", closed=closed).collect():
+            finite = math.isfinite(r["x"])
+            assert set(r["p"] or []) == (plain(shapes, r["x"], r["y"], closed) if finite else set()), (r, closed)
+
+
+def test_index_grows_with_edges_and_cells_only(spark):
+    def circle(radius, n):
+        turn = 2 * math.pi / n
+        at = lambda i, f: F.lit(radius) * f(i * F.lit(turn))
+        return spark.range(n).select(
+            F.lit("ring").alias("poly_id"), at(F.col("id"), F.cos).alias("x1"), at(F.col("id"), F.sin).alias("y1"),
+            at((F.col("id") + 1) % n, F.cos).alias("x2"), at((F.col("id") + 1) % n, F.sin).alias("y2"))
+
+    largest = []
+    for radius in (5.0, 20.0):
+        index = spatial.polygon_index(circle(radius, 100_000))
+        cells = index.cells.count()
+        assert math.pi * (radius - 0.5) ** 2 / spatial.CELL ** 2 < cells < math.pi * (radius + 0.5) ** 2 / spatial.CELL ** 2
+        assert spatial.index_items(index.cells) <= 4 * (100_000 + cells)
+        assert spatial.index_items(index.cells) <= 1.2 * 100_000 + cells  # what is seen
+        largest.append(index.cells.agg(F.max(F.size(F.col("polygons")[0]["edges"]))).first()[0])
+    assert largest[1] < largest[0]
+    rnd = random.Random(5)
+    points = [(i, rnd.uniform(-21, 21), rnd.uniform(-21, 21)) for i in range(3000)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {r["id"]: bool(r["p"]) for r in spatial.polygons_at(df, index, "x", "y", "p").collect()}
+    assert all(got[i] == (math.hypot(x, y) < 20) for i, x, y in points if abs(math.hypot(x, y) - 20) > 1e-6)
+
+
 def nearest(grid, x, y):
     return min(grid, key=lambda g: ((x - g[0]) ** 2 + (y - g[1]) ** 2, g[0], g[1]))
 

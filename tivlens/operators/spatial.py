@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tivlens.functions.columns import cell, col, key8
-from tivlens.functions.geometry import crosses, distance2, touches
+from tivlens.functions.geometry import crossed_once, crosses, distance2, straddles, touches
 from tivlens.operators.sizing import is_small, lookup_join, salted_join
 from tivlens.sources.tables import materialise
 
@@ -27,9 +27,9 @@ BROADCAST_ITEMS = 2_000_000
 class PolygonIndex:
     """Cells touched by polygons: ``(cell_x, cell_y, polygons)``.
 
-    ``polygons`` is an array of ``(poly_id, base, edges)``: the point's parity is
-    ``base`` plus the crossings of ``edges``. ``edges`` is empty in cells that
-    lie wholly inside.
+    ``polygons`` is an array of ``(poly_id, base, edges)``: ``base`` is 1 if the cell's lower left
+    corner is inside, ``edges`` are those that meet the cell. A point is inside as the corner
+    is, turned over for every edge crossed on the way there. Cells wholly inside have no edges.
     """
 
     cells: DataFrame
@@ -37,60 +37,75 @@ class PolygonIndex:
     small: bool
 
 
-def polygon_index(edges: DataFrame, size: float = CELL) -> PolygonIndex:
-    """Index an edge table ``(poly_id, x1, y1, x2, y2)``.
-
-    An edge matters for a cell only when its y range meets the cell's row of
-    cells and it is not wholly to the left. Edges wholly to the right that span
-    the full row cross every ray from the cell, so they are folded into ``base``.
-    """
-    s = F.lit(float(size))
-    pad = F.lit(float(size) * 1e-6)
+def _edges_by_cell(edges: DataFrame, s: Column, pad: Column) -> DataFrame:
+    """Every edge once for each cell it meets: row by row of cells, the stretch it takes in each."""
+    c = F.col
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    rows = edges.withColumn("cell_y", F.explode(F.sequence(F.floor((low - pad) / s), F.floor((high + pad) / s))))
 
-    box = edges.groupBy("poly_id").agg(
-        F.min(left).alias("xl"), F.max(right).alias("xh"),
-        F.min(low).alias("yl"), F.max(high).alias("yh"),
-    )
-    cells = box.select(
-        "poly_id",
-        F.explode(F.sequence(cell("xl", size), cell("xh", size))).alias("cell_x"),
-        "yl", "yh",
-    ).select(
-        "poly_id", "cell_x",
-        F.explode(F.sequence(cell("yl", size), cell("yh", size))).alias("cell_y"),
-    )
-    banded = edges.withColumn(
-        "cell_y",
-        F.explode(F.sequence(F.floor((low - pad) / s), F.floor((high + pad) / s))),
-    )
-    x0, y0 = F.col("cell_x") * s, F.col("cell_y") * s
-    x1, y1 = x0 + s, y0 + s
-    pairs = cells.join(banded, ["poly_id", "cell_y"]).filter(right >= x0 - pad)
-    beyond = left > x1 + pad
-    spanning = beyond & (low <= y0 - pad) & (high > y1 + pad)
+    def at(y: Column) -> Column:
+        return c("x1") + F.try_divide(y - c("y1"), c("y2") - c("y1")) * (c("x2") - c("x1"))
+
+    enter = at(F.greatest(low, c("cell_y") * s - pad))
+    leave = at(F.least(high, (c("cell_y") + 1) * s + pad))
+    first = F.greatest(left, F.coalesce(F.least(enter, leave), left)) - pad
+    last = F.least(right, F.coalesce(F.greatest(enter, leave), right)) + pad
+    return rows.select(
+        "poly_id", "cell_y", F.struct("x1", "y1", "x2", "y2").alias("edge"),
+        F.explode(F.sequence(F.floor(first / s), F.floor(last / s))).alias("cell_x"))
+
+
+def _corners_inside(edges: DataFrame, s: Column) -> DataFrame:
+    """Cells whose lower left corner is inside.
+
+    An edge that straddles a line of corners turns over all corners to its left. Only the last
+    of those is noted; the running sum of such places, from the right, gives the parity of
+    the stretch of corners between each two.
+    """
+    c = F.col
+    line = c("cell_y") * s
+    rows = edges.withColumn("cell_y", F.explode(F.sequence(
+        F.floor(F.least("y1", "y2") / s), F.floor(F.greatest("y1", "y2") / s) + 1))).filter(
+        straddles(c("y1"), c("y2"), line))
+    guess = F.floor((c("x1") + F.try_divide(line - c("y1"), c("y2") - c("y1")) * (c("x2") - c("x1"))) / s)
     edge = F.struct("x1", "y1", "x2", "y2")
-    centre_x, centre_y = x0 + s / 2, y0 + s / 2
-    per_cell = pairs.groupBy("poly_id", "cell_x", "cell_y").agg(
-        F.count_if(spanning).alias("base"),
-        F.count_if(crosses(edge, centre_x, centre_y)).alias("centre"),
-        F.count_if(~beyond & (low <= y1 + pad) & (high >= y0 - pad)).alias("near"),
-        F.collect_list(F.when(~spanning, edge)).alias("edges"),
-    )
-    # no edge near the cell: membership is the same all over it
-    uniform = F.col("near") == 0
-    flat = per_cell.select(
-        "poly_id", "cell_x", "cell_y",
-        (F.when(uniform, F.col("centre")).otherwise(F.col("base")) % 2).cast("int").alias("base"),
-        F.when(uniform, F.slice("edges", 1, 0)).otherwise(F.col("edges")).alias("edges"),
-    ).filter((F.col("base") == 1) | (F.size("edges") > 0))
-    index = flat.groupBy("cell_x", "cell_y").agg(
-        F.collect_list(F.struct("poly_id", "base", "edges")).alias("polygons")
-    )
-    weight = index.select(F.explode("polygons").alias("p")).agg(
+    # the quotient may be off by one, the predicate decides
+    last = F.when(crosses(edge, (guess + 1) * s, line), guess + 1).when(
+        crosses(edge, guess * s, line), guess).otherwise(guess - 1)
+    turns = rows.select("poly_id", "cell_y", last.alias("last")).groupBy("poly_id", "cell_y", "last").agg(
+        F.count("*").alias("n")).filter("n % 2 = 1")
+    # at most one place per cell of the line
+    leftwards = Window.partitionBy("poly_id", "cell_y").orderBy(c("last").desc())
+    odd = turns.withColumn("turned", F.row_number().over(leftwards)).withColumn(
+        "next", F.lead("last").over(leftwards)).filter("turned % 2 = 1 AND next IS NOT NULL")
+    return odd.select("poly_id", "cell_y", F.explode(F.sequence(c("next") + 1, c("last"))).alias("cell_x"))
+
+
+def polygon_index(edges: DataFrame, size: float = CELL) -> PolygonIndex:
+    """Index an edge table ``(poly_id, x1, y1, x2, y2)``.
+
+    A cell keeps the edges that meet it and the parity of one corner, so the index has an item for
+    each crossing of an edge and a cell and one for each cell inside, whatever the polygons' extent.
+    """
+    s, pad = F.lit(float(size)), F.lit(float(size) * 1e-6)
+    edge = "struct<x1: double, y1: double, x2: double, y2: double>"
+    met = _edges_by_cell(edges, s, pad).select(
+        "poly_id", "cell_x", "cell_y", F.lit(0).alias("base"), F.col("edge").cast(edge).alias("edge"))
+    inside = _corners_inside(edges, s).select(
+        "poly_id", "cell_x", "cell_y", F.lit(1).alias("base"), F.lit(None).cast(edge).alias("edge"))
+    per_cell = met.unionByName(inside).groupBy("poly_id", "cell_x", "cell_y").agg(
+        F.max("base").alias("base"), F.collect_list("edge").alias("edges"))
+    index = per_cell.groupBy("cell_x", "cell_y").agg(
+        F.collect_list(F.struct("poly_id", "base", "edges")).alias("polygons"))
+    index = materialise(index, "polygon-cells")
+    return PolygonIndex(index, size, index_items(index) <= BROADCAST_ITEMS)
+
+
+def index_items(cells: DataFrame) -> int:
+    """Edges and (cell, polygon) pairs that an index holds."""
+    return cells.select(F.explode("polygons").alias("p")).agg(
         F.sum(F.size("p.edges") + 1).alias("n")).first()["n"] or 0
-    return PolygonIndex(index, size, weight <= BROADCAST_ITEMS)
 
 
 def _join_cells(rows: DataFrame, index: DataFrame, small: bool, keys: list[str]) -> DataFrame:
@@ -112,14 +127,17 @@ def polygons_at(
         F.col("polygons").alias(f"__{name}"),
     )
     x, y = F.col(lon), F.col(lat)
+    x0, y0 = (F.col(k) * F.lit(float(index.size)) for k in keys)
 
     def holds(p: Column) -> Column:
-        crossings = F.size(F.filter(p.getField("edges"), lambda e: crosses(e, x, y)))
-        odd = (p.getField("base") + crossings) % 2 == 1
+        turned = F.size(F.filter(p.getField("edges"), lambda e: crossed_once(e, x, y, x0, y0)))
+        odd = (p.getField("base") + turned) % 2 == 1
         on_edge = F.exists(p.getField("edges"), lambda e: touches(e, x, y))
         return (odd | on_edge) if closed else (odd & ~on_edge)
 
-    keyed = rows.withColumns({keys[0]: cell(lon, index.size), keys[1]: cell(lat, index.size)})
+    # no number is in no cell
+    keyed = rows.withColumns({
+        k: F.when(~F.isnan(c), cell(c, index.size)) for k, c in zip(keys, (x, y), strict=True)})
     return (
         _join_cells(keyed, cells, index.small, keys)
         .withColumn(name, F.transform(

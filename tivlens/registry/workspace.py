@@ -49,15 +49,11 @@ class Workspace:
 
     @cached_property
     def land(self) -> spatial.PolygonIndex:
-        return self._stored_index(derived.land_edges(self.spark), "land")
+        return spatial.polygon_index(derived.land_edges(self.spark))
 
     @cached_property
     def country(self) -> spatial.PolygonIndex:
-        return self._stored_index(derived.country_edges(self.spark), "country")
-
-    def _stored_index(self, edges: DataFrame, name: str) -> spatial.PolygonIndex:
-        index = spatial.polygon_index(edges)
-        return spatial.PolygonIndex(materialise(index.cells, name), index.size, index.small)
+        return spatial.polygon_index(derived.country_edges(self.spark))
 
     @cached_property
     def density(self) -> detect.Threshold:
