@@ -12,8 +12,8 @@ A fingerprint is the samples' 16-bit codes in hex; likeness is the share of equa
 
 A word's row of ``SAMPLES`` (ln a, code) values depends on the word and its weight alone, so a
 worker keeps the rows of the words it meets in a bounded table, and a text is one gather and one
-minimum. ``ln a`` is kept in steps of 1/1024, ties go to the smaller code, so the order of words
-doesn't matter and equal texts have equal fingerprints on every machine.
+minimum. ``ln a`` is kept in steps of 1/1024 and ties go to the smaller code, so the order of words
+doesn't matter and equal texts have equal fingerprints.
 
 ``edited_likeness`` needs each document beside the next one in descending order of ids. Rows are
 cut into ranges of that order, of about equal bytes, by bounds from a sample of keys; texts are
@@ -43,39 +43,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLES = 128
-KNOWN = 150_000  # rows of words that a worker keeps, 512 bytes each
+KNOWN = 300_000  # rows of words that a worker keeps, 512 bytes each
 BLOCK = 4096  # words of a text gathered at once
 KEYS_PER_RANGE = 30  # sampled keys behind each bound
 LOWEST, STEP = -48.0, 1 / 1024  # of ln a, which fills 16 bits
-_U = np.uint64
-_SALTS = np.random.default_rng(20100718).integers(0, 2**64, (4, SAMPLES), dtype=np.uint64)
-_LARGEST = np.uint32(0xFFFFFFFF)
+_U = np.uint32
+#: Odd multipliers for five streams of random numbers, one for each sample.
+_STREAMS = np.random.default_rng(20100718).integers(0, 2**32, (5, SAMPLES), dtype=np.uint32) | _U(1)
+_LARGEST = _U(0xFFFFFFFF)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+def _stream(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """32 random bits of each word and sample, from the halves of the words' hashes."""
+    x = high * _STREAMS[k]
+    x ^= low
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> _U(shift)
+        x *= _U(factor)
+    x ^= x >> _U(16)
+    return x
 
 
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniforms in (0, 1) of each 64-bit value."""
-    scale = 2.0**-32
-    return ((x >> _U(32)) + 0.5) * scale, ((x & _U(0xFFFFFFFF)) + 0.5) * scale
+def _log_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The negative logarithm of a product of two uniforms in (0, 1): a Gamma(2, 1) variable."""
+    product = ((x >> _U(8)).astype(np.float32) + np.float32(0.5)) * ((y >> _U(8)).astype(np.float32) + np.float32(0.5))
+    product *= np.float32(2.0**-48)
+    return -np.log(product, out=product)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of each word: ``ln a`` in the upper and the code of (word, t) in the lower 16 bits, words x SAMPLES."""
-    x = hashes[:, None]
-    u1, u2 = _halves(_mixed(x ^ _SALTS[0]))
-    u3, u4 = _halves(_mixed(x ^ _SALTS[1]))
-    b = _halves(_mixed(x ^ _SALTS[2]))[0]
-    r = -np.log(u1 * u2)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    ln_a = np.log(-np.log(u3 * u4)) - r * (t - b + 1)
-    place = np.clip((ln_a - LOWEST) / STEP, 0, 0xFFFF).astype(np.uint32)
-    code = _mixed((x ^ _SALTS[3]) + t.astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(48)
-    return place << np.uint32(16) | code.astype(np.uint32)
+    low, high = hashes.astype(np.uint32)[:, None], (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    r = _log_product(_stream(low, high, 0), _stream(low, high, 1))
+    ln_c = np.log(_log_product(_stream(low, high, 2), _stream(low, high, 3)))
+    rest = _stream(low, high, 4)
+    b = (rest >> _U(16)).astype(np.float32) * np.float32(2.0**-16)
+    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
+    ln_a = ln_c - r * (t - b + np.float32(1.0))
+    place = np.clip((ln_a - np.float32(LOWEST)) / np.float32(STEP), 0, 0xFFFF).astype(np.uint32)
+    code = rest + t.astype(np.int32).view(np.uint32) * _U(40503)
+    return place << _U(16) | code & _U(0xFFFF)
 
 
 class Sampler:
