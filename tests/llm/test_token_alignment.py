@@ -81,11 +81,42 @@ def test_parts_join_to_the_whole(text):
     assert bool(fine[0]) == bool(groups)
     if groups:
         assert b";".join(aligner.groups[i] for i in at).decode() == ";".join(groups)
-        assert [(x >> ta.B_BITS, x & (1 << ta.B_BITS) - 1) for i in at for x in aligner.links[i].tolist()] == links
+        assert links_of(aligner, at) == links
         assert aligner.facts[at, :4].sum(axis=0).tolist() == [len(a), len(b), len(groups), len(links)]
 
 
-ALIGNER = ta.Aligner(model_bytes(A), model_bytes(B), None)
+MODELS = ta._Models(A, B)
+ALIGNER = ta.Aligner(MODELS, None)
+
+
+def links_of(aligner, at):
+    """The links of parts, by their place among all parts' links."""
+    flat = np.concatenate(aligner.links)
+    ends = np.cumsum(aligner.facts[:len(aligner.at), 3])
+    return [(x >> ta.B_BITS, x & (1 << ta.B_BITS) - 1) for i in at for x in flat[ends[i] - aligner.facts[i, 3]:ends[i]].tolist()]
+
+
+def test_settled_characters_split_alike():
+    aligner = ta.Aligner(MODELS, None)
+    assert aligner.quick is not None
+    for c in map(chr, range(ord(ta.SETTLED))):
+        for text in (f"a{c}b 1{c}{c} x", f"{c}", f"{c}{c}9{c} ,{c}'s{c}", f"a {c} {c}{c}\n{c}b"):
+            assert aligner.quick(text) == LIB_A.encode(text, add_special_tokens=False).ids, (c, text)
+
+
+def test_vocabularies_that_ranks_do_not_encode():
+    import json
+
+    spec = json.loads(model_bytes(A))
+    assert ta.ranks(model_bytes(A)) is not None
+    merges = spec["model"]["merges"]
+    merges[5], merges[6] = merges[6], merges[5]
+    assert ta.ranks(json.dumps(spec).encode()) is None
+    slow = ta.Aligner(MODELS, None)
+    slow.quick = None
+    at, _, _ = slow.place(["the same groups, without ranks"])
+    quick, _, _ = ALIGNER.place(["the same groups, without ranks"])
+    assert [slow.groups[i] for i in at] == [ALIGNER.groups[i] for i in quick]
 
 
 @pytest.fixture(scope="module")
@@ -113,7 +144,7 @@ def test_real_documents_and_a_small_memory(spark, monkeypatch):
 
 def test_memory_is_forgotten_when_full(monkeypatch):
     monkeypatch.setattr(ta, "KNOWN", 5)
-    small = ta.Aligner(model_bytes(A), model_bytes(B), None)
+    small = ta.Aligner(MODELS, None)
     for text in ("one two three", "four five six seven", "one two", "x" * 9000):
         if small.full:
             small.clear()

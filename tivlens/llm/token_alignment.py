@@ -10,7 +10,8 @@ Texts are cut before a space that follows a character that is no white space. No
 and no merge of B crosses such a place (B's side is checked by ``pieces``), so groups never do
 either, and a text's groups and links are those of its parts, one after the other. A worker
 keeps the groups and links of the parts it meets in a bounded table; new parts of a batch of
-texts are coalesced together.
+texts are encoded and coalesced together. Where A's merge ranks alone are proven to encode as its
+merges do, parts of settled characters are encoded by ranks, which is several times faster.
 
 Two passes over the texts: the first counts pairs (tasks add up their own parts' links, Spark
 sums by pair), the second looks counts up. Pairs that make up more than one link in ``FREQUENT``
@@ -27,10 +28,12 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ from tivlens.llm.piece_codec import model_bytes
 from tivlens.llm.pieces import MARK, encoder, processor
 
 FREQUENT = 1_000_000
-KNOWN = 150_000  # parts that a worker keeps
-KNOWN_LINKS = 3_000_000  # and their links
+KNOWN = 300_000  # parts that a worker keeps
+KNOWN_LINKS = 4_000_000  # and their links
 ROWS, CHARS = 500, 2_000_000  # texts handled at once
 B_BITS = 20  # a pair of ids is a << B_BITS | b
 
@@ -94,16 +97,65 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return whole[ends] - whole[np.r_[0, ends[:-1]]] if len(ends) else whole[:0]
 
 
+_AFTER, _END = (b",", b"|", b";", b""), 3  # within a side, between sides, between groups, at the end of a part
+
+#: Fixed value: how byte-level BPE vocabularies of this kind split a text.
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters below this one belong to the same classes in every version of Unicode (tested one by one).
+SETTLED = "\u0250"
+
+
+def ranks(a_json: bytes) -> dict[bytes, int] | None:
+    """Merge ranks of vocabulary A by bytes if ranks alone encode as its merges do, else None.
+
+    They do if ids count the merges in order and every token, cut into bytes, is merged into itself:
+    then no two neighbours that make up a token can ever be others than those its merge names.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(a_json)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    alphabet, vocab = _byte_alphabet(), model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") \
+        and spec["normalizer"] is None and not model.get("ignore_merges")
+    if not plain or sorted(vocab[c] for c in alphabet) != [*range(256)] \
+            or any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or len(vocab) != 256 + len(merges):
+        return None
+    merged = Tokenizer.from_str(a_json.decode()).model
+    if any(len(merged.tokenize(t)) != 1 for t in vocab):
+        return None
+    return {bytes(alphabet[ch] for ch in t): i for t, i in vocab.items()}
+
+
+class _Models:
+    def __init__(self, a_path: str, b_path: str) -> None:
+        self.a, self.b = model_bytes(a_path), model_bytes(b_path)
+        encoder(self.b)  # refuses models that the cuts don't hold for
+        self.ranks = ranks(self.a)
+        self.key = hashlib.sha256(self.a + self.b).hexdigest()
+
+
+def _easy(part: str) -> bool:
+    """Its characters' classes are settled, and what follows it may be encoded with it."""
+    return bool(part) and ("!" <= part[-1] <= "~" or part[-1] >= "\u00a1") and (part.isascii() or max(part) < SETTLED)
+
+
 class Aligner:
     """Groups and links of parts, with counts of pairs if there are any yet."""
 
-    def __init__(self, a_json: bytes, b_model: bytes, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
+    def __init__(self, models: _Models, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None, groups: bool = True) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(a_json.decode())
+        self.a = Tokenizer.from_str(models.a.decode())
         self.a.encode_special_tokens = True
-        self.b = processor(b_model)
+        self.b = processor(models.b)
+        self.quick = None
+        if models.ranks:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("a", pat_str=PRETOKENS, mergeable_ranks=models.ranks, special_tokens={}).encode_ordinary
         alphabet = _byte_alphabet()
         vocab = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
@@ -116,13 +168,17 @@ class Aligner:
         self.b_size = np.array(list(map(len, self.b_bytes)))
         self.mark = self.b.piece_to_id(MARK)
         self.counts = counts
+        # the text of every id of A, then of B, with each separator that may follow it
+        self.shown = [b"%d%b" % (i, after) for n in (len(self.a_bytes), len(pieces)) for i in range(n) for after in _AFTER] if groups else []
+        self.shown_size = np.array(list(map(len, self.shown)))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.links: list[np.ndarray] = []
-        self.rare: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []  # of all parts, in order
+        self.rare = np.zeros(0, np.int64)  # links whose counts aren't known here, in order
+        self.rare_ends = np.zeros(0, np.int64)
         self.n_links = 0
         # tokens of A and of B, groups, links, links of the best count, sum of counts, rare links, whether bytes differ
         self.facts = np.zeros((1024, 8), np.int64)
@@ -131,70 +187,118 @@ class Aligner:
     def full(self) -> bool:
         return len(self.at) > KNOWN or self.n_links > KNOWN_LINKS
 
+    def _encode_a(self, new: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and where those of each end; easy parts come first in ``new``."""
+        easy = sum(map(_easy, new)) if self.quick else 0
+        ids, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if easy:
+            found = np.array(self.quick(" " + " ".join(new[:easy])), np.int64)
+            reached, wanted = np.cumsum(self.a_size[found]), np.cumsum(list(map(len, raw[:easy])))
+            last = np.searchsorted(reached, wanted)
+            if len(found) == last[-1] + 1 and (reached[last] == wanted).all():
+                ids, ends = found, last + 1
+            else:
+                easy = 0
+        rest = [e.ids for e in self.a.encode_batch_fast([" " + x for x in new[easy:]], add_special_tokens=False)]
+        more = np.fromiter(chain.from_iterable(rest), np.int64)
+        return np.r_[ids, more], np.r_[ends, len(ids) + np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)))]
+
+    def _differing(self, ids: np.ndarray, ends: np.ndarray, known: list[bytes], raw: list[bytes]) -> np.ndarray:
+        """Of each part: whether its tokens' joined bytes are others than its own."""
+        own = list(map(known.__getitem__, ids.tolist()))
+        if b"".join(own) == b"".join(raw) and (_sums(np.fromiter(map(len, own), np.int64, len(own)), ends)
+                                               == np.fromiter(map(len, raw), np.int64, len(raw))).all():
+            return np.zeros(len(raw), bool)
+        return np.array([b"".join(own[i:j]) != r for i, j, r in zip([0, *ends[:-1].tolist()], ends.tolist(), raw, strict=True)])
+
     def _learn(self, new: list[str]) -> None:
+        new = sorted(new, key=_easy, reverse=True)
         raw = [b" " + x.encode() for x in new]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)]
-        b = [ids if x else [self.mark] for x, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)]
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        differs = [b"".join(map(a_of, x)) != r or b"".join(map(b_of, y)) != r for x, y, r in zip(a, b, raw, strict=True)]
-        a = [[] if bad else x for x, bad in zip(a, differs, strict=True)]
-        b = [[] if bad else x for x, bad in zip(b, differs, strict=True)]
-        a_ends, b_ends = np.cumsum(list(map(len, a))), np.cumsum(list(map(len, b)))
-        a_ids = np.fromiter((i for x in a for i in x), np.int64, a_ends[-1])
-        b_ids = np.fromiter((i for x in b for i in x), np.int64, b_ends[-1])
+        a_ids, a_ends = self._encode_a(new, raw)
+        found = self.b.encode(new, num_threads=1)
+        if "" in new:  # nothing but the space in front, which the library leaves out
+            found[new.index("")] = [self.mark]
+        b_ids = np.fromiter(chain.from_iterable(found), np.int64)
+        b_ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        differs = self._differing(a_ids, a_ends, self.a_bytes, raw) | self._differing(b_ids, b_ends, self.b_bytes, raw)
+        if differs.any():
+            a_n, b_n = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+            a_ids, b_ids = a_ids[~np.repeat(differs, a_n)], b_ids[~np.repeat(differs, b_n)]
+            a_ends, b_ends = np.cumsum(a_n * ~differs), np.cumsum(b_n * ~differs)
         a_size, b_size = self.a_size[a_ids], self.b_size[b_ids]
         a_group, b_group, a_of, b_of = coalesce(np.cumsum(a_size), a_size, np.cumsum(b_size), b_size)
         pairs = a_ids[a_of] << B_BITS | b_ids[b_of]
-        # both tilings are sorted, so a group's tokens are consecutive on either side
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_from, b_from = (np.flatnonzero(np.diff(g, prepend=-1)).tolist() for g in (a_group, b_group))
-        texts = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(
-            a_from, [*a_from, len(a_text)][1:], b_from, [*b_from, len(b_text)][1:], strict=True)]
-        group_ends = np.searchsorted(a_from, a_ends)
         link_ends = np.searchsorted(a_of, a_ends)
+        # both tilings are sorted, so a part's groups are consecutive
+        group_ends = np.where(a_ends > 0, a_group[np.maximum(a_ends - 1, 0)] + 1, 0) if len(a_ids) else np.zeros_like(a_ends)
         n = len(self.at)
         while len(self.facts) < n + len(new):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         own = self.facts[n:n + len(new)]
         own[:, :4] = np.stack([np.diff(x, prepend=0) for x in (a_ends, b_ends, group_ends, link_ends)], axis=1)
         own[:, 7] = differs
-        cuts = zip([0, *link_ends[:-1].tolist()], link_ends.tolist(), strict=True)
         if self.counts is None:
-            self.links.extend(pairs[i:j] for i, j in cuts)
+            self.links.append(pairs)
         else:
             keys, totals, best = self.counts
-            spot = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-            sent = keys[spot] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            found = np.stack([sent & best[spot], np.where(sent, totals[spot], 0), ~sent], axis=1) if len(keys) else \
-                np.stack([sent, sent, ~sent], axis=1)
-            own[:, 4:7] = _sums(found, link_ends)
-            self.rare.extend(pairs[i:j][~sent[i:j]] for i, j in cuts)
-        i = 0
-        for j in group_ends.tolist():
-            self.groups.append(";".join(texts[i:j]).encode())
-            i = j
+            if len(keys):
+                spot = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                sent = keys[spot] == pairs
+                seen = np.stack([sent & best[spot], np.where(sent, totals[spot], 0), ~sent], axis=1)
+            else:
+                sent = np.zeros(len(pairs), bool)
+                seen = np.stack([sent, sent, ~sent], axis=1)
+            own[:, 4:7] = _sums(seen, link_ends)
+            self.rare = np.r_[self.rare, pairs[~sent]]
+            self.rare_ends = np.cumsum(self.facts[:n + len(new), 6])
+        if self.shown:
+            self._write_groups(a_ids, b_ids, a_group, b_group, a_ends, b_ends)
         self.n_links += len(pairs)
         self.at.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def _write_groups(self, a_ids, b_ids, a_group, b_group, a_ends, b_ends) -> None:
+        group = np.r_[a_group, b_group]
+        side = np.r_[np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)]
+        part = np.r_[*(np.repeat(np.arange(len(e)), np.diff(e, prepend=0)) for e in (a_ends, b_ends))]
+        order = np.lexsort((side, group))
+        group, side, part = group[order], side[order], part[order]
+        after = np.full(len(order), _END)
+        if len(order):
+            same = group[1:] == group[:-1]
+            after[:-1] = np.where(same, np.where(side[1:] == side[:-1], 0, 1), np.where(part[1:] == part[:-1], 2, _END))
+        code = (np.r_[a_ids, b_ids + len(self.a_bytes)][order]) * len(_AFTER) + after
+        whole = b"".join(map(self.shown.__getitem__, code.tolist()))
+        ends = np.r_[0, np.cumsum(self.shown_size[code])][a_ends + b_ends].tolist()
+        self.groups.extend(whole[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True))
+
+    def rare_links(self, parts_at: np.ndarray) -> np.ndarray:
+        """The links of some parts whose counts aren't known here."""
+        n = self.facts[parts_at, 6]
+        first = self.rare_ends[parts_at] - n
+        return self.rare[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+
     def place(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of texts that aren't empty: the numbers of their parts, where each text's parts end, which texts have tokens."""
         cut = list(map(parts, texts))
-        new = list({p: None for x in cut for p in x if p not in self.at})
-        if new:
-            self._learn(new)
+        flat = list(chain.from_iterable(cut))
+        at = list(map(self.at.get, flat))
+        if None in at:
+            self._learn(list(dict.fromkeys(p for p, i in zip(flat, at, strict=True) if i is None)))
+            at = map(self.at.__getitem__, flat)
+        at = np.fromiter(at, np.int64, len(flat))
         ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        at = np.fromiter((i for x in cut for i in map(self.at.__getitem__, x)), np.int64, ends[-1] if len(ends) else 0)
         return at, ends, _sums(self.facts[at, 7], ends) == 0
 
 
 _HELD: dict[str, Aligner] = {}
 
 
-def _aligner(key: str, a_json: bytes, b_model: bytes, counts=None) -> Aligner:
+def _aligner(models: _Models, kind: str, counts=None) -> Aligner:
     """One per worker, kept from task to task; that of an earlier pass goes."""
+    key = f"{models.key} {kind}"
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Aligner(a_json, b_model, counts)
+        _HELD[key] = Aligner(models, counts, kind != "links")
     return _HELD[key]
 
 
@@ -213,25 +317,20 @@ def _portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
             yield batch.slice(at), held
 
 
-class _Models:
-    def __init__(self, a_path: str, b_path: str) -> None:
-        self.a, self.b = model_bytes(a_path), model_bytes(b_path)
-        encoder(self.b)  # refuses models that the cuts don't hold for
-        self.key = hashlib.sha256(self.a + self.b).hexdigest()
-
-
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
     """``pair, a, b, n, best`` of every linked pair of ids: its links in the corpus, and whether no A id has more with this b."""
     models = _Models(a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(models.key, models.a, models.b)
+        aligner = _aligner(models, "links")
         uses = np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
-            used = np.flatnonzero(uses)
-            pairs = np.concatenate([np.zeros(0, np.int64), *(aligner.links[i] for i in used)])
-            n = np.repeat(uses[used], aligner.facts[used, 3])
+            pairs = np.concatenate([np.zeros(0, np.int64), *aligner.links])
+            n = np.zeros(len(aligner.at), np.int64)
+            n[:len(uses)] = uses
+            n = np.repeat(n, aligner.facts[:len(n), 3])
+            pairs, n = pairs[n > 0], n[n > 0]
             order = np.argsort(pairs, kind="stable")
             pairs, n = pairs[order], n[order]
             first = np.flatnonzero(np.diff(pairs, prepend=-1))
@@ -263,7 +362,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(models.key, models.a, models.b)
+        aligner = _aligner(models, "groups")
         for part, texts in _portions(batches, 1):
             if aligner.full:
                 aligner.clear()
@@ -296,7 +395,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     table = pairs.where(frequent).select("pair", "n", "best").toArrow().sort_by("pair")  # FREQUENT rows at most
     sent = spark.sparkContext.broadcast(tuple(
         table[c].to_numpy().astype(kind) for c, kind in (("pair", np.int64), ("n", np.int64), ("best", bool))))
-    key = f"{models.key} {uuid.uuid4()}"
+    kind = uuid.uuid4().hex
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([
         T.StructField("rid", T.LongType()), rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in NUMBERS],
@@ -304,8 +403,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         T.StructField("rare", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("k", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(key, models.a, models.b, sent.value)
-        kind = pa.list_(pa.struct([("pair", pa.int64()), ("k", pa.int64())]))
+        aligner = _aligner(models, kind, sent.value)
+        rare_type = pa.list_(pa.struct([("pair", pa.int64()), ("k", pa.int64())]))
         for part, texts in _portions(batches, 2):
             if aligner.full:
                 aligner.clear()
@@ -322,13 +421,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 if ok:
                     whole[k] = hashlib.sha256(b";".join(groups[start:end])).hexdigest()
                     if n_rare:
-                        held = at[start:end][facts[start:end, 6] > 0]
-                        found, n = np.unique(np.concatenate([aligner.rare[i] for i in held]), return_counts=True)
+                        found, n = np.unique(aligner.rare_links(at[start:end]), return_counts=True)
                         rare[k] = [{"pair": p, "k": c} for p, c in zip(found.tolist(), n.tolist(), strict=True)]
                 start = end
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *[pa.array(numbers[:, j]) for j in range(6)],
-                 pa.array(whole, pa.string()), pa.array(rare, kind)], names=schema.names)
+                 pa.array(whole, pa.string()), pa.array(rare, rare_type)], names=schema.names)
 
     done = stored(rows.mapInArrow(run, schema), "aligned")
     more = (done.select("rid", F.explode("rare").alias("r")).select("rid", "r.pair", "r.k")
