@@ -148,7 +148,7 @@ def test_geojson(spark, tmp_path):
 
 
 def test_corruption(w):
-    clean, dirty, copies = w.portfolio, w.corrupted, w.copies
+    clean, dirty, copies = w.pristine, w.corrupted, w.copies
     n = clean.count()
     log = {r["rule"]: r for r in corrupt.injection_log(w.selected, copies.count()).collect()}
     assert len(log) == 39

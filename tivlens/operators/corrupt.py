@@ -3,9 +3,14 @@
 Which record gets which error is a pure function of the record: every error
 type orders its candidates by a seeded digest of the row id and takes the
 smallest ``n``. The n-th smallest digest is found by counting digest prefixes,
-so a selection needs two small aggregations and no sort or join of the
-portfolio. Types that compete for a field are settled one after the other,
-types that do not are settled together.
+ever longer ones, until few records share one; so a selection needs small
+aggregations over (row id, mask) and no sort or join of the portfolio. Types that
+compete for a field are settled one after the other, types that do not are settled
+together. The portfolio itself is read and written once, when all cutoffs are known.
+
+Values borrowed from another record come from the donor whose digest, combined with
+the receiver's, is the smallest (highest random weight), among the donors of the
+receiver's block of digests. All digests are md5, so any engine can repeat the choice.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tivlens.functions.columns import money, order_text, pick
+from tivlens.functions.columns import fixed, money, order_text, pick
 from tivlens.operators.ordering import hash_ranks
 from tivlens.sources.tables import materialise
 
 SEED = 42
 ANCHORS = 10
+MONEY_DECIMALS = 2  # cents: also exact for values that are a third of a large portfolio
+DECIMALS = {"latitude": 8, "longitude": 8, "floor_area_sqm": 6}
 
 
 @dataclass(frozen=True)
@@ -143,55 +150,82 @@ def has(short: str, mask: str = "__mask") -> Column:
     return _any_bit(F.col(mask), [SHORT[short]])
 
 
+PREFIX_DIGITS = 4
+LEAF = 100_000
+
+
 def cutoffs(candidates: DataFrame, wanted: dict[str, int]) -> dict[str, str]:
     """The ``n``-th smallest digest of each label in ``(label, u)``.
 
-    Digest prefixes are counted first (at most 65,536 per label); the exact value
-    is then looked up among the records of the one prefix that contains it.
+    Digests are counted by prefix (at most 65,536 per label), the prefix that holds the n-th is
+    counted by longer prefixes, and so on until at most ``LEAF`` records share it; those are ranked.
     A label with fewer candidates than wanted gets a cutoff above every digest.
     """
-    want = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-    running = W.partitionBy("label").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefixes = candidates.groupBy("label", F.substring("u", 1, 4).alias("prefix")).agg(
-        F.count("*").alias("n")).withColumn("upto", F.sum("n").over(running))
-    target = F.element_at(want, F.col("label"))
-    found = prefixes.filter((F.col("upto") >= target) & (F.col("upto") - F.col("n") < target)).select(
-        "label", "prefix", (target - F.col("upto") + F.col("n")).alias("rest")).collect()
     result = {label: "" if n == 0 else "g" for label, n in wanted.items()}
-    if found:
+    live = {label: ("", n, LEAF + 1) for label, n in wanted.items() if n}  # prefix, rank in it, records
+    digits = 0
+
+    def within(held: dict[str, tuple]) -> DataFrame:
         edge = F.lit(False)
-        for r in found:
-            edge = edge | ((F.col("label") == r["label"]) & F.col("u").startswith(r["prefix"]))
-        rest = F.create_map(*[F.lit(x) for r in found for x in (r["label"], int(r["rest"]))])
+        for label, (prefix, _, _) in held.items():
+            edge = edge | ((F.col("label") == label) & F.col("u").startswith(prefix))
+        return candidates.filter(edge)
+
+    def rank(held: dict[str, tuple]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, v in held.items() for x in (k, int(v[1]))]), F.col("label"))
+
+    leaves: dict[str, tuple] = {}
+    while live:
+        digits += PREFIX_DIGITS
+        running = W.partitionBy("label").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
+        prefixes = within(live).groupBy("label", F.substring("u", 1, digits).alias("prefix")).agg(
+            F.count("*").alias("n")).withColumn("upto", F.sum("n").over(running))
+        found = prefixes.filter((F.col("upto") >= rank(live)) & (F.col("upto") - F.col("n") < rank(live))).select(
+            "label", "prefix", (rank(live) - F.col("upto") + F.col("n")).alias("rest"), "n").collect()
+        live = {r["label"]: (r["prefix"], r["rest"], r["n"]) for r in found}
+        leaves |= {k: v for k, v in live.items() if v[2] <= LEAF or digits >= 32}
+        live = {k: v for k, v in live.items() if k not in leaves}
+    if leaves:
         place = F.row_number().over(W.partitionBy("label").orderBy("u"))
-        exact = candidates.filter(edge).withColumn("place", place).filter(
-            F.col("place") == F.element_at(rest, F.col("label")))
+        exact = within(leaves).withColumn("place", place).filter(F.col("place") == rank(leaves))
         result |= {r["label"]: r["u"] for r in exact.collect()}
     return result
 
 
+def _digest(t: ErrorType, seed: int) -> Column:
+    """The ordering digest of a record that may get ``t`` by ``__may`` and ``__mask``, else NULL."""
+    free = ~_any_bit(F.col("__mask"), [b.name for b in _blockers(t)])
+    return F.when(free & _any_bit(F.col("__may"), [t.name]), order_text(seed, t.name, "row_id"))
+
+
+def _settled(rows: DataFrame, group: list[ErrorType], cut: dict[str, str], seed: int) -> DataFrame:
+    """``__mask`` with the bits of one level; a generator keeps levels from being derived again and again."""
+    none = F.lit(0).cast("long")
+    bits = none
+    for t in group:
+        bits = bits + F.when(_digest(t, seed) <= F.lit(cut[t.name]), F.lit(1 << BIT[t.name]).cast("long")).otherwise(none)
+    others = [c for c in rows.columns if c != "__mask"]
+    return rows.select(*others, F.explode(F.array(F.col("__mask") + bits)).alias("__mask"))
+
+
 def select_errors(clean: DataFrame, seed: int = SEED) -> DataFrame:
-    """The clean rows with ``__mask``: one bit per type applied to the record."""
-    counts = targets(clean.count())
-    marked = clean.withColumn("__mask", F.lit(0).cast("long"))
+    """The clean rows with ``__mask``: one bit per type applied to the record. Stored."""
+    none = F.lit(0).cast("long")
+    may = sum((F.when(F.expr(t.eligible), F.lit(1 << BIT[t.name]).cast("long")).otherwise(none) for t in TYPES), none)
+    begin = {"__may": may, "__mask": none}
+    marks = materialise(clean.select("row_id", *[v.alias(k) for k, v in begin.items()]), "marks")
+    counts = targets(marks.count())
+    steps = []
     for group in levels():
-        def digest(t: ErrorType) -> Column:
-            free = ~_any_bit(F.col("__mask"), [b.name for b in _blockers(t)])
-            return F.when(free & F.expr(t.eligible), order_text(seed, t.name, "row_id"))
-
         labelled = F.array(*[
-            F.struct(F.lit(t.name).alias("label"), digest(t).alias("u")) for t in group])
-        cut = cutoffs(
-            marked.select(F.inline(labelled)).filter("u IS NOT NULL"),
-            {t.name: counts[t.name] for t in group})
-        bits = F.lit(0).cast("long")
-        for t in group:
-            chosen = digest(t) <= F.lit(cut[t.name])
-            bits = bits + F.when(chosen, F.lit(1 << BIT[t.name]).cast("long")).otherwise(
-                F.lit(0).cast("long"))
-        # stored, so that later levels read the mask and don't derive earlier digests again
-        marked = materialise(marked.withColumn("__mask", F.col("__mask") + bits), "marked")
-    return marked
+            F.struct(F.lit(t.name).alias("label"), _digest(t, seed).alias("u")) for t in group])
+        cut = cutoffs(marks.select(F.inline(labelled)).filter("u IS NOT NULL"), {t.name: counts[t.name] for t in group})
+        steps.append((group, cut))
+        marks = materialise(_settled(marks, group, cut, seed), "marks")
+    rows = clean.withColumns(begin)
+    for group, cut in steps:
+        rows = _settled(rows, group, cut, seed)
+    return materialise(rows.drop("__may"), "marked")
 
 
 def injection_log(marked: DataFrame, duplicates: int | None = None) -> DataFrame:
@@ -245,31 +279,41 @@ def _other(values_by_district: dict[str, list[str]], u: Column, unchanged: Colum
         if every else unchanged
 
 
-def donors(marked: DataFrame, label: str, columns: list[str], where: Column,
-           buckets: int, seed: int) -> DataFrame:
-    """One donor record per bucket, the one with the smallest digest; bucket -1 is the spare."""
-    u = order_text(seed, f"{label}-donor", "row_id")
+#: Donors in a block of digests, at least half and at most twice as many on average.
+DONORS_PER_BLOCK = 48
+
+
+def _block(u: str, blocks: int) -> Column:
+    return F.conv(F.substring(u, 1, 8), 16, 10).cast("long") % F.lit(blocks)
+
+
+def borrow(marked: DataFrame, label: str, columns: list[str], where: Column, seed: int = SEED) -> DataFrame:
+    """``(row_id, given)``: for every record picked for ``label`` the ``columns`` of its donor.
+
+    Donors are the other records where ``where`` holds. A receiver meets those of its block and
+    takes the one with the smallest combined digest; if its block has none, the donor with the
+    smallest digest of all. Without any donor ``given`` is NULL.
+    """
+    given = F.struct(*columns)
     pool = marked.filter(where & ~has(label)).select(
-        *columns, u.alias("u"),
-        F.pmod(F.xxhash64(F.lit(f"{seed}{label}"), "row_id"), F.lit(buckets)).alias("bucket"))
-    best = [F.min_by(c, "u").alias(c) for c in columns]
-    spare = pool.agg(*best).withColumn("bucket", F.lit(-1).cast("long"))
-    return pool.groupBy("bucket").agg(*best).unionByName(spare)
-
-
-def _receive(marked: DataFrame, label: str, given: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """Receivers of ``label`` with the values of their bucket's donor."""
-    mine = marked.filter(has(label)).select("row_id", F.pmod(
-        F.xxhash64(F.lit(f"{seed}{label}r"), "row_id"), F.lit(buckets)).alias("bucket"))
-    usual = given.filter("bucket >= 0")
-    spare = given.filter("bucket = -1").drop("bucket")
-    joined = mine.join(usual, "bucket", "left")
-    for c in spare.columns:
-        joined = joined.withColumn(c, F.coalesce(F.col(c), spare.select(c).scalar()))
-    return joined.drop("bucket")
-
-
-def _borrowed(marked: DataFrame, counts: dict[str, int], seed: int) -> DataFrame:
+        given.alias("given"), order_text(seed, f"{label}-donor", "row_id").alias("du"))
+    spare = pool.agg(F.count("*").alias("n"), F.min_by("given", "du").alias("given")).first()
+    blocks = 1 << max(0, (spare["n"] // DONORS_PER_BLOCK).bit_length() - 1)
+    mine = marked.filter(has(label)).select(
+        "row_id", order_text(seed, f"{label}-receiver", "row_id").alias("ru"))
+    best = mine.withColumn("block", _block("ru", blocks)).join(
+        pool.withColumn("block", _block("du", blocks)), "block", "left").groupBy("row_id").agg(
+        F.min_by("given", F.md5(F.concat("ru", "du"))).alias("given"))
+    rest = F.lit(None) if spare["given"] is None else F.struct(*[
+        F.lit(spare["given"][c]).cast(marked.schema[c].dataType).alias(c) for c in columns])
+    return best.withColumn("given", F.coalesce("given", rest.cast(best.schema["given"].dataType)))
+
+
+MOVED = ["C1", "V3", "G1", "G2", "G3", "G4", "G5"]
+BORROWERS = ["G5", "D2", "D4"]
+
+
+def _borrowed(marked: DataFrame, seed: int) -> DataFrame:
     """``(row_id, new_latitude, new_longitude, new_location)`` for G5, D2 and D4."""
     located = F.expr(_LOCATED)
     u = order_text(seed, "G5-anchor", "row_id")
@@ -281,26 +325,18 @@ def _borrowed(marked: DataFrame, counts: dict[str, int], seed: int) -> DataFrame
         marked.filter(has("G5")).select(
             "row_id", order_text(seed, SHORT["G5"], "row_id").alias("u")), "u", "place")
     spot = F.element_at(points, (F.col("place") % max(len(anchors), 1) + 1).cast("int"))
-    nothing = F.lit(None).cast("string")
+    nothing, zero = F.lit(None).cast("string"), F.lit(None).cast("double")
     parts = snapped.select("row_id", spot.getField("lat").alias("new_latitude"),
-                           spot.getField("lon").alias("new_longitude"),
-                           nothing.alias("new_location"))
-
-    moved = ["C1", "V3", "G1", "G2", "G3", "G4", "G5"]
-    still = ~_any_bit(F.col("__mask"), [SHORT[s] for s in moved])
-    n2 = max(1, counts[SHORT["D2"]])
-    lent = donors(marked, "D2", ["latitude", "longitude"],
-                  still & located & F.col("location_id").isNotNull(), n2, seed)
-    parts = parts.unionByName(_receive(marked, "D2", lent, n2, seed).select(
-        "row_id", F.col("latitude").alias("new_latitude"),
-        F.col("longitude").alias("new_longitude"), nothing.alias("new_location")))
-
-    n4 = max(1, counts[SHORT["D4"]])
-    lent = donors(marked, "D4", ["location_id"], F.col("location_id").isNotNull(), n4, seed)
-    zero = F.lit(None).cast("double")
-    parts = parts.unionByName(_receive(marked, "D4", lent, n4, seed).select(
+                           spot.getField("lon").alias("new_longitude"), nothing.alias("new_location"))
+    still = ~_any_bit(F.col("__mask"), [SHORT[s] for s in MOVED])
+    shared = borrow(marked, "D2", ["latitude", "longitude"], still & located & F.col("location_id").isNotNull(), seed)
+    parts = parts.unionByName(shared.select(
+        "row_id", F.col("given.latitude").alias("new_latitude"),
+        F.col("given.longitude").alias("new_longitude"), nothing.alias("new_location")))
+    named = borrow(marked, "D4", ["location_id"], F.col("location_id").isNotNull(), seed)
+    parts = parts.unionByName(named.select(
         "row_id", zero.alias("new_latitude"), zero.alias("new_longitude"),
-        F.col("location_id").alias("new_location")))
+        F.col("given.location_id").alias("new_location")))
     return parts.groupBy("row_id").agg(*[
         F.max(c).alias(c) for c in ("new_latitude", "new_longitude", "new_location")])
 
@@ -320,7 +356,6 @@ def apply_errors(marked: DataFrame, places: Places, seed: int = SEED) -> DataFra
     """The corrupted rows (``__mask`` kept). Every field is changed by at most one type,
     so all edits are one projection over the clean values."""
     c = F.col
-    counts = targets(marked.count())
     t = c("tiv_total")
     settled = (
         F.when(has("V1"), -F.abs(t)).when(has("X3"), F.lit(800_000_000.0))
@@ -336,10 +371,10 @@ def apply_errors(marked: DataFrame, places: Places, seed: int = SEED) -> DataFra
     edits = {
         "latitude": F.when(has("C1"), None).when(has("V3"), F.lit(190.5)).when(has("G1"), F.lit(19.0))
         .when(has("G2"), c("longitude")).when(has("G3"), F.lit(0.0)).when(has("G4"), F.lit(51.5))
-        .when(has("G5") | has("D2"), c("new_latitude")).otherwise(c("latitude")),
+        .when(has("G5") | has("D2"), F.coalesce("new_latitude", "latitude")).otherwise(c("latitude")),
         "longitude": F.when(has("C1"), None).when(has("G1"), F.lit(86.8))
         .when(has("G2"), c("latitude")).when(has("G3"), F.lit(0.0)).when(has("G4"), F.lit(-0.1))
-        .when(has("G5") | has("D2"), c("new_longitude")).otherwise(c("longitude")),
+        .when(has("G5") | has("D2"), F.coalesce("new_longitude", "longitude")).otherwise(c("longitude")),
         "geocode_level": F.when(has("G5"), "POSTCODE").otherwise(c("geocode_level")),
         "construction_code": F.when(has("C2"), None).when(has("X1"), "TIMBER").when(has("X2"), "RCC")
         .when(has("K1"), pick(FREE_TEXT, u("K1"))).when(has("K3"), pick(NUMERIC_CODES, u("K3")))
@@ -372,9 +407,14 @@ def apply_errors(marked: DataFrame, places: Places, seed: int = SEED) -> DataFra
         "currency": F.when(has("K4"), pick(CURRENCIES, u("K4"))).otherwise(c("currency")),
         "address_line": F.when(has("D3"), near_duplicate_address(c("address_line")))
         .otherwise(c("address_line")),
-        "location_id": F.when(has("D4"), c("new_location")).otherwise(c("location_id")),
+        "location_id": F.when(has("D4"), F.coalesce("new_location", "location_id")).otherwise(c("location_id")),
     }
-    joined = marked.join(_borrowed(marked, counts, seed), "row_id", "left")
+    # only records that borrow something are joined, all others stay where they are
+    borrows = _any_bit(c("__mask"), [SHORT[b] for b in BORROWERS])
+    new = _borrowed(marked, seed)
+    joined = marked.filter(borrows).join(new, "row_id", "left").unionByName(
+        marked.filter(~borrows).select("*", *[
+            F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema if f.name != "row_id"]))
     types = dict(marked.dtypes)
     return joined.select(*[
         edits[n].cast(types[n]).alias(n) if n in edits else c(n) for n in marked.columns])
@@ -396,11 +436,15 @@ def ground_truth(clean: DataFrame, dirty: DataFrame, copies: DataFrame) -> DataF
     """One row per event with the fields before and after as JSON. Copies inherit the
     events of their source and add their own."""
     fields = sorted({f for t in TYPES for f in (t.shown or t.fields)})
+    kinds_of = dict(clean.dtypes)
+
+    def shown(f: str) -> Column:
+        """Numbers with a fixed number of decimals, so that no engine's way of printing doubles matters."""
+        return fixed(f, DECIMALS.get(f, MONEY_DECIMALS)) if kinds_of[f] == "double" else F.col(f).cast("string")
 
     def snapshot(name: str) -> Column:
         return F.map_from_arrays(
-            F.array(*[F.lit(f) for f in fields]),
-            F.array(*[F.col(f).cast("string") for f in fields])).alias(name)
+            F.array(*[F.lit(f) for f in fields]), F.array(*[shown(f) for f in fields])).alias(name)
 
     before = clean.select("row_id", snapshot("before"))
     after = dirty.filter("__mask <> 0").select("row_id", "__mask", snapshot("after"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 from tivlens.model import DIMENSION_ORDER, DIMENSIONS, RULES
-from tivlens.operators import corrupt
+from tivlens.registry import corruption_sql
 from tivlens.registry.workspace import AS_OF_YEAR
 from tivlens.sources import derived
 
@@ -350,19 +350,7 @@ VIEWS = {
 }
 
 
-def _selection() -> None:
-    """One view per error type: the first n free records in digest order, type after type."""
-    n = "(SELECT count(*) FROM raw)"
-    for i, t in enumerate(corrupt.TYPES):
-        blockers = [e for e in corrupt.TYPES[:i] if set(e.fields) & set(t.fields) or e.name in t.after]
-        taken = "".join(f" AND row_id NOT IN (SELECT row_id FROM sel_{b.name})" for b in blockers)
-        want = "1" if t.share == 0 else f"round_even({t.share}::DOUBLE*{n}, 0)"
-        VIEWS[f"sel_{t.name}"] = (
-            f"SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY md5(concat('42|{t.name}|', row_id))) AS rn "
-            f"FROM raw WHERE ({t.eligible}){taken}) WHERE rn <= {want}")
-
-
-_selection()
+VIEWS |= corruption_sql.VIEWS
 
 
 def sql(body: str) -> str:
@@ -573,13 +561,7 @@ BODIES = {
     "l04_scenario_summary": "SELECT scenario, grid_cells, round(portfolio_tiv, 2) AS portfolio_tiv, round(linked_aal, 2) AS linked_aal, round(linked_aal/portfolio_tiv, 10) AS aal_to_tiv, round(linked_aal/t, 10) AS aal_multiple_vs_project1, "
     "round((linked_aal/t - 1)*100, 10) AS aal_change_vs_project1_pct FROM ("
     f"SELECT scenario, count(*) AS grid_cells, {total('total_tiv')} AS portfolio_tiv, {total('linked_aal')} AS linked_aal FROM linked GROUP BY 1) CROSS JOIN (SELECT {total('project1_aal')} AS t FROM grid)",
-    "j00_selection": " UNION ALL ".join(f"SELECT row_id, '{t.name}' AS error_type FROM sel_{t.name}" for t in corrupt.TYPES),
-    "j02_injection_log": "SELECT *, target - success AS skipped FROM (" + " UNION ALL ".join(
-        f"SELECT '{t.name}' AS rule, '{t.dimension}' AS dimension, CAST({'1' if t.share == 0 else f'round_even({t.share}::DOUBLE*(SELECT count(*) FROM raw), 0)'} AS BIGINT) AS target, "
-        f"(SELECT count(*) FROM sel_{t.name}) AS success" for t in corrupt.TYPES)
-    + f" UNION ALL SELECT '{corrupt.DUPLICATE.name}', '{corrupt.DUPLICATE.dimension}', n, least(n, (SELECT count(*) FROM ("
-    + " UNION ".join(f"SELECT row_id FROM sel_{t.name}" for t in corrupt.TYPES)
-    + f"))) FROM (SELECT CAST(round_even({corrupt.DUPLICATE.share}::DOUBLE*count(*), 0) AS BIGINT) AS n FROM raw))",
+    **corruption_sql.BODIES,
     "j04_weighted_draw": "SELECT row_id, cell_x, cell_y FROM (SELECT row_id, CAST(CAST('0x' || substr(md5(concat('42|cell|', row_id)), 1, 12) AS BIGINT) AS DOUBLE)/281474976710656 AS u FROM raw) "
     "JOIN weights ON low <= u AND u < high",
 }

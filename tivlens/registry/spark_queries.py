@@ -653,7 +653,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("j01_ground_truth")
 def _(w: Workspace) -> DataFrame:
-    return corrupt.ground_truth(w.portfolio, w.corrupted, w.copies)
+    return w.events
 
 
 @query("j02_injection_log")
@@ -671,6 +671,17 @@ def _(w: Workspace) -> DataFrame:
     return corrupt.duplicate_rows(w.corrupted).select("row_id", "source_row_id", "location_id")
 
 
+def _edits_query(dimension: str) -> None:
+    @query(f"j03_{dimension.lower()}_edits")
+    def _(w: Workspace) -> DataFrame:
+        return w.events.filter(F.col("dimension") == dimension).select(
+            "row_id", "error_type", "classification", "original_value", "corrupted_value")
+
+
+for _dimension in sorted({t.dimension for t in corrupt.TYPES}):
+    _edits_query(_dimension)
+
+
 @query("j04_weighted_draw")
 def _(w: Workspace) -> DataFrame:
     cells = w.cells().groupBy("cell_x", "cell_y").agg(F.count("*").alias("weight"))

@@ -164,9 +164,13 @@ class Workspace:
     def scenario_points(self) -> DataFrame:
         return accumulate.scenario_points(self.dirty_points, self.sensitivity)
 
+    @cached_property
+    def pristine(self) -> DataFrame:
+        return materialise(derived.pristine_portfolio(self.spark, self.sf_dir), "pristine")
+
     @cached_property
     def selected(self) -> DataFrame:
-        return corrupt.select_errors(self.portfolio)
+        return corrupt.select_errors(self.pristine)
 
     @cached_property
     def places(self) -> corrupt.Places:
@@ -183,6 +187,10 @@ class Workspace:
     def copies(self) -> DataFrame:
         return materialise(corrupt.duplicate_rows(self.corrupted), "copies")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return materialise(corrupt.ground_truth(self.pristine, self.corrupted, self.copies), "events")
+
 
 _OPEN: dict[tuple[str, str], Workspace] = {}
 

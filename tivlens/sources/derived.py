@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PORTFOLIO_SQL = (Path(__file__).parent / "derived_portfolio.sql").read_text()
 
+#: The same portfolio before any corruption: no order has an error marker.
+PRISTINE_SQL = PORTFOLIO_SQL.replace("o_orderkey % 1000", "999").replace("k = 516", "k = -516")
+
 DISTRICT_CITIES = {"a": "aton", "b": "bton", "c": "cton", "d": "dton"}
 #: District squares as (id, west, south).
 LAND = [("A", 85.0, 20.0), ("B", 86.0, 20.0), ("C", 85.0, 21.0), ("D", 86.0, 21.0)]
@@ -69,6 +72,12 @@ def marked_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PORTFOLIO_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
+def pristine_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One clean row per order: what error injection starts from."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spark.sql(PRISTINE_SQL.replace("FROM orders", "FROM {orders}"), orders=orders).drop("m")
+
+
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_portfolio(spark, sf_dir).drop("m")
 
