@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tivlens.functions.columns import cell, in_range, money_sum
 from tivlens.operators.groups import join_groups
 from tivlens.operators.ordering import rows_before, value_counts
+from tivlens.operators.sizing import lookup_join
 from tivlens.sources.tables import materialise
 
 CELL = 0.25
@@ -70,12 +71,13 @@ def enriched_findings(
         F.when(located, cell("longitude", size)).alias("cell_x"),
         F.when(located, cell("latitude", size)).alias("cell_y"),
     )
+    # one row per record, so that one partitioning on row_id serves the grouping and both joins
+    records = flags.groupBy("row_id").agg(F.collect_set("rule_id").alias("rules"))
     return (
-        # partitioned on row_id once: DISTINCT and the joins below need no further exchange
-        flags.select("row_id", "rule_id").repartition("row_id").distinct()
-        .join(traits, "rule_id")
-        .join(places, "row_id")
+        records.join(places, "row_id")
         .join(percentile, "row_id", "left")
+        .withColumn("rule_id", F.explode("rules"))
+        .join(traits, "rule_id")
         .select("row_id", "rule_id", "materiality_tiv", "tiv_percentile", "cell_x", "cell_y",
                 "severity", "classification",
                 "affects_hazard", "affects_vulnerability", "affects_financial")
@@ -140,15 +142,12 @@ def priority() -> Column:
 def with_concentration(findings: DataFrame, concentrated: DataFrame) -> DataFrame:
     """Add ``is_concentrated`` (FALSE where the finding has no cell).
 
-    ``concentrated`` counts the findings of every rule and cell, which tells
-    ``join_groups`` which of them are hot.
+    Only concentrated cells are looked up: broadcast if they are few, else by a salted join, so that
+    findings stay where they are or spread evenly, however many share a rule and cell.
     """
     keys = ["rule_id", "cell_x", "cell_y"]
-    hits = concentrated.select(*keys, F.col("flagged_count").alias("__n"), "is_concentrated")
-    located = findings.filter("cell_x IS NOT NULL").select("row_id", *keys)
-    inside = join_groups(located, hits, keys, "__n", F.col("is_concentrated")).select(
-        "row_id", "rule_id", "is_concentrated")
-    return findings.join(inside, ["row_id", "rule_id"], "left").withColumn(
+    hits = concentrated.filter("is_concentrated").select(*keys, "is_concentrated")
+    return lookup_join(findings, hits, keys).withColumn(
         "is_concentrated", F.coalesce("is_concentrated", F.lit(False)))
 
 

@@ -23,8 +23,11 @@ def findings_with_priority(flags: DataFrame, scores: DataFrame | None) -> DataFr
     pairs = flags.select("row_id", "rule_id")
     if scores is None:
         return pairs.withColumn("priority", F.lit(None).cast("string"))
-    return pairs.join(
-        scores.select("row_id", "rule_id", "priority"), ["row_id", "rule_id"], "left")
+    # by record: a partitioning on row_id is all that this needs
+    by_record = scores.groupBy("row_id").agg(F.collect_list(F.struct("rule_id", "priority")).alias("__scores"))
+    own = F.filter("__scores", lambda s: s.getField("rule_id") == F.col("rule_id"))
+    return pairs.join(by_record, "row_id", "left").select(
+        "row_id", "rule_id", F.get(own, F.lit(0)).getField("priority").alias("priority"))
 
 
 def with_action(findings: DataFrame, catalogue: DataFrame) -> DataFrame:

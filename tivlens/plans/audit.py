@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from tivlens.model import DISTRICT_CITIES, catalogue
 from tivlens.operators import (
     accumulate, calibrate, detect, evaluate, expect, linkage, materiality, spatial, treat)
-from tivlens.sources.tables import read_table, write_table
+from tivlens.sources.tables import read_table, store_bucketed, write_table
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,16 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         done[name] = read_table(spark, f"{out}/{name}", df.schema)
         return done[name]
 
+    def store_rows(name: str, df: DataFrame) -> DataFrame:
+        """A table of records, in buckets of row_id: the joins between such tables need no exchange."""
+        done[name] = store_bucketed(df, f"{out}/{name}")
+        return done[name]
+
     def stored_index(name: str, edges: DataFrame) -> spatial.PolygonIndex:
         index = spatial.polygon_index(edges)
         return spatial.PolygonIndex(store(name, index.cells), index.size, index.small)
 
-    portfolio, rules = inputs.portfolio, catalogue(spark)
+    portfolio, rules = store_rows("portfolio", inputs.portfolio), catalogue(spark)
     expect.enforce(
         expect.unique(portfolio, ["row_id"]),
         expect.no_nulls(inputs.clean, "tiv_total"),
@@ -56,10 +61,10 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
     store("rule_catalogue", rules)
     density = store("x005_reference", calibrate.calibrate_density(inputs.clean))
     building = store("p001_reference", calibrate.calibrate_building_tiv(inputs.clean))
-    reference = store(
+    reference = store_rows(
         "materiality_tiv_reference", calibrate.materiality_reference(inputs.clean))
 
-    flags = store("quality_flags", detect.detect(portfolio, detect.References(
+    flags = store_rows("quality_flags", detect.detect(portfolio, detect.References(
         density=calibrate.read_threshold(density),
         building_tiv=calibrate.read_threshold(building),
         postcodes=inputs.postcodes,
@@ -76,16 +81,16 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         store("completeness_coverage", evaluate.completeness_coverage(per_rule))
         store("detection_overall", evaluate.overall(per_rule))
 
-    tiv = store("materiality_tiv", materiality.materiality_tiv(portfolio, reference))
-    percentile = store("tiv_percentile", materiality.percentiles(tiv))
-    findings = store("findings", materiality.enriched_findings(
+    tiv = store_rows("materiality_tiv", materiality.materiality_tiv(portfolio, reference))
+    percentile = store_rows("tiv_percentile", materiality.percentiles(tiv))
+    findings = store_rows("findings", materiality.enriched_findings(
         flags, portfolio, reference, rules, percentile))
     concentrated = store("concentration", materiality.concentration(
         findings, materiality.portfolio_cells(portfolio)))
-    scores = store("materiality_scores", materiality.scores(findings, concentrated))
+    scores = store_rows("materiality_scores", materiality.scores(findings, concentrated))
     store("materiality_funnel", materiality.funnel(portfolio, scores, reference))
 
-    cleansed = store("portfolio_cleansed", treat.treat(portfolio, flags, rules, scores))
+    cleansed = store_rows("portfolio_cleansed", treat.treat(portfolio, flags, rules, scores))
     store("treatment_summary", treat.summary(cleansed))
 
     grid = spatial.grid_index(inputs.grid)

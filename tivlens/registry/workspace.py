@@ -25,7 +25,7 @@ class Workspace:
 
     @cached_property
     def marked(self) -> DataFrame:
-        return materialise(derived.marked_portfolio(self.spark, self.sf_dir), "portfolio")
+        return materialise(derived.marked_portfolio(self.spark, self.sf_dir), "portfolio", "row_id")
 
     @property
     def portfolio(self) -> DataFrame:
@@ -45,7 +45,8 @@ class Workspace:
 
     @cached_property
     def validated(self) -> DataFrame:
-        return calibrate.materiality_reference(derived.validated_tiv(self.spark, self.sf_dir))
+        return materialise(
+            calibrate.materiality_reference(derived.validated_tiv(self.spark, self.sf_dir)), "validated", "row_id")
 
     @cached_property
     def land(self) -> spatial.PolygonIndex:
@@ -87,7 +88,7 @@ class Workspace:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return materialise(detect.detect(self.portfolio, self.references()), "flags")
+        return materialise(detect.detect(self.portfolio, self.references()), "flags", "row_id")
 
     @cached_property
     def rule_counts(self) -> DataFrame:
@@ -96,16 +97,16 @@ class Workspace:
     @cached_property
     def materiality_tiv(self) -> DataFrame:
         return materialise(
-            materiality.materiality_tiv(self.portfolio, self.validated), "materiality_tiv")
+            materiality.materiality_tiv(self.portfolio, self.validated), "materiality_tiv", "row_id")
 
     @cached_property
     def percentile(self) -> DataFrame:
-        return materialise(materiality.percentiles(self.materiality_tiv), "percentile")
+        return materialise(materiality.percentiles(self.materiality_tiv), "percentile", "row_id")
 
     @cached_property
     def findings(self) -> DataFrame:
         return materialise(materiality.enriched_findings(
-            self.flags, self.portfolio, self.validated, self.catalogue, self.percentile), "findings")
+            self.flags, self.portfolio, self.validated, self.catalogue, self.percentile), "findings", "row_id")
 
     def cells(self) -> DataFrame:
         return materiality.portfolio_cells(self.portfolio)
@@ -117,7 +118,7 @@ class Workspace:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return materialise(materiality.scores(self.findings, self.concentration), "scores")
+        return materialise(materiality.scores(self.findings, self.concentration), "scores", "row_id")
 
     def actions(self) -> DataFrame:
         return treat.with_action(
@@ -126,7 +127,7 @@ class Workspace:
     @cached_property
     def cleansed(self) -> DataFrame:
         return materialise(
-            treat.treat(self.portfolio, self.flags, self.catalogue, self.scores), "cleansed")
+            treat.treat(self.portfolio, self.flags, self.catalogue, self.scores), "cleansed", "row_id")
 
     @cached_property
     def aal(self) -> DataFrame:

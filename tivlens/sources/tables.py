@@ -32,9 +32,21 @@ def write_table(
     writer.parquet(path)
 
 
-def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "row_id") -> None:
-    """Managed table bucketed and sorted on the join key, so joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def store_bucketed(
+    df: DataFrame, path: str, key: str = "row_id", buckets: int | None = None
+) -> DataFrame:
+    """Store ``df`` at ``path`` in buckets of ``key``, each one sorted file, and read it back as a table.
+
+    Joins and groupings on the key then need no exchange, with other such tables and with the results of
+    shuffles alike: there are as many buckets as shuffle partitions. The files are plain Parquet; the
+    table's entry in the catalog, which knows of the buckets, lasts as long as the session's catalog does.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tivlens_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format(
+        "parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def replace_keyed(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -60,9 +72,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives executor loss."""
+def materialise(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives executor loss.
+
+    With ``key`` it is stored in buckets of it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if key:
+        return store_bucketed(df, path, key)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
