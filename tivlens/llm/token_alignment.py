@@ -33,7 +33,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from tivlens.llm.piece_codec import model_bytes
 from tivlens.llm.pieces import MARK, encoder, processor
 
 FREQUENT = 1_000_000
-KNOWN = 300_000  # parts that a worker keeps
+KNOWN = 400_000  # parts that a worker keeps
 KNOWN_LINKS = 4_000_000  # and their links
 ROWS, CHARS = 500, 2_000_000  # texts handled at once
 B_BITS = 20  # a pair of ids is a << B_BITS | b
@@ -187,9 +187,8 @@ class Aligner:
     def full(self) -> bool:
         return len(self.at) > KNOWN or self.n_links > KNOWN_LINKS
 
-    def _encode_a(self, new: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the parts, one after the other, and where those of each end; easy parts come first in ``new``."""
-        easy = sum(map(_easy, new)) if self.quick else 0
+    def _encode_a(self, new: list[str], raw: list[bytes], easy: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after the other, and where those of each end; the first ``easy`` ones are easy."""
         ids, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if easy:
             found = np.array(self.quick(" " + " ".join(new[:easy])), np.int64)
@@ -206,19 +205,20 @@ class Aligner:
     def _differing(self, ids: np.ndarray, ends: np.ndarray, known: list[bytes], raw: list[bytes]) -> np.ndarray:
         """Of each part: whether its tokens' joined bytes are others than its own."""
         own = list(map(known.__getitem__, ids.tolist()))
-        if b"".join(own) == b"".join(raw) and (_sums(np.fromiter(map(len, own), np.int64, len(own)), ends)
-                                               == np.fromiter(map(len, raw), np.int64, len(raw))).all():
+        sizes = self.a_size if known is self.a_bytes else self.b_size
+        if b"".join(own) == b"".join(raw) and (_sums(sizes[ids], ends) == list(map(len, raw))).all():
             return np.zeros(len(raw), bool)
         return np.array([b"".join(own[i:j]) != r for i, j, r in zip([0, *ends[:-1].tolist()], ends.tolist(), raw, strict=True)])
 
     def _learn(self, new: list[str]) -> None:
-        new = sorted(new, key=_easy, reverse=True)
+        sure = [self.quick is not None and _easy(x) for x in new]
+        new = [*compress(new, sure), *(x for x, y in zip(new, sure, strict=True) if not y)]
         raw = [b" " + x.encode() for x in new]
-        a_ids, a_ends = self._encode_a(new, raw)
+        a_ids, a_ends = self._encode_a(new, raw, sum(sure))
         found = self.b.encode(new, num_threads=1)
         if "" in new:  # nothing but the space in front, which the library leaves out
             found[new.index("")] = [self.mark]
-        b_ids = np.fromiter(chain.from_iterable(found), np.int64)
+        b_ids = np.array(list(chain.from_iterable(found)), np.int64)
         b_ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         differs = self._differing(a_ids, a_ends, self.a_bytes, raw) | self._differing(b_ids, b_ends, self.b_bytes, raw)
         if differs.any():
@@ -282,10 +282,12 @@ class Aligner:
         cut = list(map(parts, texts))
         flat = list(chain.from_iterable(cut))
         at = list(map(self.at.get, flat))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, i in zip(flat, at, strict=True) if i is None)))
-            at = map(self.at.__getitem__, flat)
-        at = np.fromiter(at, np.int64, len(flat))
+        missing = [k for k, i in enumerate(at) if i is None]
+        if missing:
+            self._learn(list(dict.fromkeys([flat[k] for k in missing])))
+            for k in missing:
+                at[k] = self.at[flat[k]]
+        at = np.array(at, np.int64)
         ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         return at, ends, _sums(self.facts[at, 7], ends) == 0
 
