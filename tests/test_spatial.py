@@ -150,3 +150,28 @@ def test_nearest_point_at_any_distance(spark, monkeypatch):
     check([(0.0, 0.0), (1e6, 1e6), (-1e6, 5.0)] + few[:30])
     empty = spatial.grid_index(spark.createDataFrame([], "grid_lon double, grid_lat double"))
     assert spatial.nearest_point(df, empty, "x", "y").count() == 0
+
+
+def test_dense_cells_are_split(spark, monkeypatch):
+    """A million points in one cell: lists and lowest cells stay within their bound, results are the nearest."""
+    n = 1000
+    at = lambda c: F.round(F.lit(0.01) + c * 0.0002, 8)
+    grid = spark.range(n * n).select((80 + at(F.col("id") % n)).alias("grid_lon"), (20 + at(F.floor(F.col("id") / n))).alias("grid_lat"))
+    far = spark.createDataFrame([(85.0, 22.0), (79.9, 19.9)], "grid_lon double, grid_lat double")
+    index = spatial.grid_index(grid.unionByName(far))
+    longest = index.near.agg(F.max(F.size("__candidates"))).first()[0]
+    lowest = index.levels[0].groupBy("px", "py").count().agg(F.max("count")).first()[0]
+    assert longest <= spatial.LEAF and lowest <= spatial.LEAF
+    rnd = random.Random(4)
+    points = [(i, 80 + rnd.uniform(-0.01, 0.23), 20 + rnd.uniform(-0.01, 0.23)) for i in range(300)]
+    points += [(900, 84.0, 21.0), (901, 79.8, 19.8), (902, 80.01, 20.01), (903, 81.5, 20.1), (904, -170.0, 60.0)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {r["id"]: (r["grid_lon"], r["grid_lat"]) for r in spatial.nearest_point(df, index, "x", "y").collect()}
+    for i, x, y in points:
+        def axis(v, low):
+            k = min(max(round((v - low - 0.01) / 0.0002), 0), n - 1)
+            return [round(low + round(0.01 + j * 0.0002, 8), 8) for j in range(max(k - 1, 0), min(k + 2, n))]
+
+        some = [(a, b) for a in axis(x, 80) for b in axis(y, 20)] + [(85.0, 22.0), (79.9, 19.9)]
+        best = nearest(some, x, y)
+        assert math.dist(got[i], (x, y)) <= math.dist(best, (x, y)) + 1e-9, (i, got[i], best)

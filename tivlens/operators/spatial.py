@@ -157,10 +157,11 @@ def is_inside(name: str) -> Column:
 class GridIndex:
     """Grid points, indexed for a search that is exact at any distance and any grid size.
 
-    ``near`` lists, for every cell of ``size``, the points of its 3 x 3 neighbourhood: a
-    candidate there no farther away than ``size`` is the nearest of all points. Rows it
-    can't settle descend ``levels``: boxes around the points of ever larger cells, from
-    the points themselves up to ``top``, a handful of boxes that hold everything.
+    ``near`` lists, for every cell of ``size``, the points of its 3 x 3 neighbourhood if there are
+    no more than ``LEAF``: a candidate there no farther away than ``size`` is the nearest of all
+    points. Rows it can't settle, far from any point or where points are dense, descend
+    ``levels``, a quadtree without its empty boxes: boxes around the points of ever larger cells,
+    from cells that hold at most ``LEAF`` points up to ``top``, a handful of boxes that hold everything.
     """
 
     size: float
@@ -173,19 +174,39 @@ class GridIndex:
 #: Boxes at the top of the index; above that one more level is built.
 TOP_BOXES = 16
 STEP = 4
+#: Points in a list or in a cell of the lowest level, at most. Cells are split until they hold no more.
+LEAF = 256
+#: Coordinates are rounded to eight decimals, so cells of this size hold one point.
+FINEST = 1e-8
 
 
-def _neighbours(points: DataFrame, size: float) -> DataFrame:
+def _exploded(points: DataFrame, size: float) -> DataFrame:
+    """Every point once for each of the nine cells it is a candidate of."""
     near = F.sequence(F.lit(-1), F.lit(1))
-    return (
-        points.withColumn("__dx", F.explode(near))
-        .withColumn("__dy", F.explode(near))
-        .groupBy(
-            (cell("grid_lon", size) + F.col("__dx")).alias("__cx"),
-            (cell("grid_lat", size) + F.col("__dy")).alias("__cy"),
-        )
-        .agg(F.collect_list(F.struct("grid_lon", "grid_lat")).alias("__candidates"))
-    )
+    return points.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near)).select(
+        "grid_lon", "grid_lat", (cell("grid_lon", size) + F.col("__dx")).alias("__cx"),
+        (cell("grid_lat", size) + F.col("__dy")).alias("__cy"))
+
+
+def _near_lists(points: DataFrame, size: float) -> DataFrame:
+    """The candidates of every cell that has at most ``LEAF``: dense cells are counted, never collected."""
+    listed = _exploded(points, size)
+    dense = listed.groupBy("__cx", "__cy").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("__cx", "__cy")
+    per_cell = listed.join(dense, ["__cx", "__cy"], "left_anti").groupBy("__cx", "__cy")
+    return per_cell.agg(F.collect_list(F.struct("grid_lon", "grid_lat")).alias("__candidates"))
+
+
+def _lowest_width(points: DataFrame, size: float) -> float:
+    """The largest width, by steps from ``size`` down, whose cells hold at most ``LEAF`` points."""
+    width = size
+    while width > FINEST:
+        most = points.groupBy(cell("grid_lon", width), cell("grid_lat", width)).agg(
+            F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= LEAF:
+            return width
+        # points spread evenly over a cell fall to a sixteenth in each step
+        width /= STEP
+    return width
 
 
 _BOX = ["xl", "xh", "yl", "yh"]
@@ -198,11 +219,11 @@ def grid_index(grid: DataFrame, size: float = CELL) -> GridIndex:
     ).filter("grid_lon IS NOT NULL AND grid_lat IS NOT NULL").distinct(), "grid-points")
     # every point is a candidate of nine cells
     small = is_small(points, BROADCAST_ITEMS // 9)
-    near = materialise(_neighbours(points, size), "grid-near")
+    near = materialise(_near_lists(points, size), "grid-near")
     boxes = points.select(
         F.col("grid_lon").alias("xl"), F.col("grid_lon").alias("xh"),
         F.col("grid_lat").alias("yl"), F.col("grid_lat").alias("yh"))
-    levels, width = [], size
+    levels, width = [], _lowest_width(points, size)
     while True:
         child = boxes.withColumns({"px": cell("xl", width), "py": cell("yl", width)})
         levels.append(materialise(child, f"grid-level{len(levels)}"))
@@ -233,7 +254,8 @@ def _search(places: DataFrame, index: GridIndex) -> DataFrame:
         kept = found.withColumn("__bound", bound).filter(
             dx * dx + dy * dy <= F.col("__bound") * (1 + 1e-9)).select(
             "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
-        found = lookup_join(kept, level, ["px", "py"], "inner")
+        # a box has few children, and a box that many places share is split by the adaptive join
+        found = kept.join(level, ["px", "py"])
         if "cx" not in level.columns:
             break
         found = found.select("x", "y", "cx", "cy", *_BOX)
