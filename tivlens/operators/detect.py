@@ -91,11 +91,18 @@ def row_checks(portfolio: DataFrame, refs: References, only: set[str] | None = N
         checks["P-001"] = rules.extreme_rule(t.median, t.multiplier, t.threshold)
     if only is None or TOTAL_RULES & only:
         checks |= rules.portfolio_rules(portfolio_totals(portfolio))
+    if "malformed" in portfolio.columns:  # of a scan that keeps them: something was there, so it isn't missing
+        checks = {r: (p & ~_malformed(rules.COMPLETENESS[r]) if r in rules.COMPLETENESS else p, v)
+                  for r, (p, v) in checks.items()}
     if only is not None:
         checks = {r: pv for r, pv in checks.items() if r in only}
     return checks
 
 
+def _malformed(fields: list[str]) -> Column:
+    return F.coalesce(F.exists("malformed", lambda m: m.getField("field").isin(fields)), F.lit(False))
+
+
 def row_flags(portfolio: DataFrame, refs: References, only: set[str] | None = None) -> DataFrame:
     """Findings of the rules that need one row, a frozen threshold or a portfolio total."""
     return _explode_flags(portfolio, row_checks(portfolio, refs, only))

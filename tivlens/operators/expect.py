@@ -49,6 +49,17 @@ def money_fits(df: DataFrame, column: str) -> DataFrame:
     return _equal(df, f"{column}_fits_money", F.count_if(lost), 0)
 
 
+def well_formed(scan: DataFrame) -> DataFrame:
+    """Fields of a scan with ``errors="keep"`` that are not of their type, and lines that are no record. One pass."""
+    counts = {"fields_well_formed": F.coalesce(F.sum(F.size("malformed")), F.lit(0)),
+              "records_well_formed": F.count("bad_record")}
+    zero = F.lit(0.0)
+    checks = F.array(*[
+        F.struct(F.lit(n).alias("check"), (F.col(n) == 0).alias("ok"), F.col(n).cast("double").alias("observed"),
+                 zero.alias("expected")) for n in counts])
+    return scan.agg(*[v.alias(n) for n, v in counts.items()]).select(F.inline(checks))
+
+
 def unmapped(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     """Codes of ``df`` missing from ``codes``: one row per code with its number of rows."""
     return (

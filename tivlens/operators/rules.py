@@ -14,6 +14,13 @@ AREA_SCALE = 6
 DEGREE_SCALE = 8
 
 
+#: The typed fields whose absence each completeness rule reports.
+COMPLETENESS = {
+    "C-001": ["latitude", "longitude"], "C-003": ["year_built"], "C-004": ["num_storeys"],
+    "C-005": ["tiv_contents"], "C-006": ["deductible"],
+}
+
+
 def _int(name: str) -> Column:
     return F.col(name).cast("string")
 

@@ -439,7 +439,21 @@ def _fixed(rule: str, columns: str, extra: str = "") -> str:
 
 BODIES = {
     "a01_csv_scan": f"SELECT district, count(*) AS rows, count(postcode) AS postcodes, min(postcode) AS first_postcode, {total('tiv_total')} AS total FROM raw GROUP BY 1",
-    "a04_point_grid": f"SELECT round(longitude*4)/4 + 0.0 AS grid_lon, round(latitude*4)/4 + 0.0 AS grid_lat, {total('tiv_building')} AS value FROM raw WHERE {LOCATED} GROUP BY 1, 2",
+    "a01_malformed_fields": "SELECT field, value, malformed, missing FROM ("
+    "SELECT 'year_built' AS field, '19x5' AS value, count(*) FILTER (WHERE row_id % 97 = 0) AS malformed, "
+    "count(*) FILTER (WHERE year_built IS NULL AND row_id % 97 <> 0) AS missing FROM raw UNION ALL "
+    "SELECT 'num_storeys', '12O0', count(*) FILTER (WHERE row_id % 89 = 0), "
+    "count(*) FILTER (WHERE num_storeys IS NULL AND row_id % 89 <> 0) FROM raw)",
+    "a01_well_formed": _check("fields_well_formed", "(SELECT count(*) FROM raw WHERE row_id % 71 = 0)", "0") + " UNION ALL "
+    + _check("records_well_formed", "(SELECT count(*) FROM raw WHERE row_id % 53 = 0)", "0"),
+    "a03_geojson_boundaries": "SELECT poly_id, count(*) AS points FROM (SELECT longitude AS x, latitude AS y FROM raw "
+    "WHERE latitude BETWEEN 15 AND 25 AND longitude BETWEEN 80 AND 90) JOIN ("
+    "SELECT district AS poly_id, round(min(longitude), 2) AS xl, round(max(longitude), 2) AS xh, round(min(latitude), 2) AS yl, "
+    "round(max(latitude), 2) AS yh FROM raw WHERE latitude BETWEEN 15 AND 25 AND longitude BETWEEN 80 AND 90 AND district IN ('A', 'B', 'C') "
+    "GROUP BY 1) ON (x > xl AND x < xh AND y > yl AND y < yh AND NOT (x >= xl + (xh - xl)/4 AND x <= xl + (xh - xl)/2 "
+    "AND y >= yl + (yh - yl)/4 AND y <= yl + (yh - yl)/2)) OR (poly_id = 'A' AND x > xl - 2 AND x < xl - 1 AND y > yl AND y < yh) GROUP BY 1",
+    "a04_point_grid": "SELECT round(round(longitude*4)/4 + (row_id % 7)*1e-10, 8) + 0.0 AS grid_lon, round(round(latitude*4)/4 - (row_id % 7)*1e-10, 8) + 0.0 AS grid_lat, "
+    f"count(*) AS points, {total('tiv_building')} AS value FROM raw WHERE {LOCATED} GROUP BY 1, 2",
     "a05_append_and_replace": "SELECT district, count(*) AS rows FROM raw GROUP BY 1",
     "a06_table_read": "SELECT o_orderpriority, count(*) AS rows FROM orders GROUP BY 1",
     "a08_keyed_replace": "SELECT row_id, district, tiv_total FROM raw WHERE row_id NOT IN (SELECT row_id FROM clean) UNION ALL SELECT row_id, district, tiv_total*2 FROM clean",
@@ -551,8 +565,10 @@ BODIES = {
     "u15_by_construction": _by("construction_code", "construction_clean"),
     "u16_impact_summary": _concentration("scenario_points", "scenario"),
     "audit_run": _concentration("scenario_points", "scenario"),
-    "l01_grid_check": _check("same_keys", "(SELECT count(*) FROM dirty WHERE grid_lat <= 19.5)", "0") + " UNION ALL "
-    + _check("values_agree", "(SELECT max(abs(total_tiv - (total_tiv + 0.5))) FROM dirty WHERE grid_lat > 19.5)", "0.000001", "observed <= expected"),
+    "l01_grid_check": "SELECT *, 'same' AS grid FROM (" + _check("same_keys", "0", "0") + " UNION ALL "
+    + _check("values_agree", "0", "0.000001", "observed <= expected") + ") UNION ALL SELECT *, 'other' FROM ("
+    + _check("same_keys", "(SELECT count(*) FROM compared WHERE dirty_locations = 0 OR cleansed_locations = 0)", "0") + " UNION ALL "
+    + _check("values_agree", "(SELECT max(abs(dirty_tiv - cleansed_tiv)) FROM compared WHERE dirty_locations > 0 AND cleansed_locations > 0)", "0.000001", "observed <= expected") + ")",
     "l02_scenario_stack": "SELECT * FROM scenario_points",
     "l03_cell_linkage": "SELECT * FROM linked",
     "l03_linkage_checks": _check("scenario_grid_lon_grid_lat_unique", "(SELECT count(*) FROM (SELECT 1 FROM scenario_points GROUP BY scenario, grid_lon, grid_lat HAVING count(*) > 1))", "0") + " UNION ALL "

@@ -5,17 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tivlens.functions.columns import money_sum
 from tivlens.model import PORTFOLIO, RULES
 from tivlens.operators import (
     accumulate as acc, calibrate, corrupt, evaluate, expect, linkage, materiality, ordering,
     sampling, spatial, treat)
-from tivlens.operators.detect import detect
+from tivlens.operators.detect import References, detect
 from tivlens.plans.audit import Inputs, run_audit
 from tivlens.registry.workspace import AS_OF_YEAR, Workspace, workspace
-from tivlens.sources import derived, points, tables
+from tivlens.sources import derived, geojson, points, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,13 +53,79 @@ def _(w: Workspace) -> DataFrame:
         F.min("postcode").alias("first_postcode"), money_sum("tiv_total").alias("total"))
 
 
+@query("a01_malformed_fields")
+def _(w: Workspace) -> DataFrame:
+    path = f"{tables.shared_dir(w.spark)}/malformed-csv-{uuid.uuid4().hex}"
+    k, text = F.col("row_id"), {c: F.col(c).cast("string") for c in ("year_built", "num_storeys")}
+    tables.write_csv(w.portfolio.withColumns({
+        "year_built": F.when(k % 97 == 0, F.lit("19x5")).otherwise(text["year_built"]),
+        "num_storeys": F.when(k % 89 == 0, F.lit("12O0")).otherwise(text["num_storeys"])}), path)
+    back = tables.materialise(tables.read_csv(w.spark, path, PORTFOLIO, errors="keep"), "scan")
+    rules = {"C-003": "year_built", "C-004": "num_storeys"}
+    found = detect(back, References(), set(rules)).groupBy("rule_id").agg(F.count("*").alias("missing"))
+    wrong = back.select(F.explode("malformed").alias("m")).groupBy("m.field", "m.value").agg(F.count("*").alias("malformed"))
+    named = F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(f)) for r, f in rules.items()])
+    return wrong.join(found.select(named.alias("field"), "missing"), "field")
+
+
+@query("a01_well_formed")
+def _(w: Workspace) -> DataFrame:
+    path = f"{tables.shared_dir(w.spark)}/short-csv-{uuid.uuid4().hex}"
+    columns = ["row_id", "district", "latitude", "tiv_total"]
+    k = F.col("row_id")
+    # some lines end early, some fields are no numbers
+    line = F.concat_ws(",", k, "district", F.when(k % 71 == 0, "20.5N").otherwise(F.coalesce(F.col("latitude").cast("string"), F.lit(""))),
+                       F.when(k % 53 != 0, F.col("tiv_total").cast("string")))
+    header = w.spark.range(1).select(F.lit(",".join(columns)).alias("value"))
+    header.unionByName(w.portfolio.select(line.alias("value"))).coalesce(1).write.text(path)
+    return expect.well_formed(tables.read_csv(
+        w.spark, path, T.StructType([PORTFOLIO[c] for c in columns]), errors="keep"))
+
+
+@query("a03_geojson_boundaries")
+def _(w: Workspace) -> DataFrame:
+    """Boxes around the districts' points with a hole each, one of them in two parts, as clockwise rings."""
+    path = f"{tables.shared_dir(w.spark)}/boundaries-{uuid.uuid4().hex}"
+    points_of = w.portfolio.filter("latitude BETWEEN 15 AND 25 AND longitude BETWEEN 80 AND 90").select(
+        "row_id", "district", "latitude", "longitude")
+    box = points_of.groupBy("district").agg(*[
+        F.round(f(c), 2).alias(n) for f, c, n in (
+            (F.min, "longitude", "xl"), (F.max, "longitude", "xh"), (F.min, "latitude", "yl"), (F.max, "latitude", "yh"))])
+
+    def ring(xl, yl, xh, yh) -> Column:
+        return F.array(*[F.array(x, y) for x, y in ((xl, yl), (xl, yh), (xh, yh), (xh, yl), (xl, yl))])
+
+    xl, yl, xh, yh = (F.col(c) for c in ("xl", "yl", "xh", "yh"))
+    third = [xl + (xh - xl) / 4, yl + (yh - yl) / 4, xl + (xh - xl) / 2, yl + (yh - yl) / 2]
+    main = F.array(ring(xl, yl, xh, yh), ring(*third))
+    part = F.array(ring(xl - 2, yl, xl - 1, yh))
+    name = F.struct(F.concat(F.lit("District "), "district").alias("NAME"))
+    feature = F.when(F.col("district") == "A", F.to_json(F.struct(
+        F.lit("Feature").alias("type"), name.alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.array(main, part).alias("coordinates")).alias("geometry")))
+    ).otherwise(F.to_json(F.struct(
+        F.lit("Feature").alias("type"), name.alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), main.alias("coordinates")).alias("geometry"))))
+    # one row per district
+    whole = box.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": [\n'), F.array_join(F.sort_array(
+        F.collect_list(feature)), ",\n"), F.lit("\n]}")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    edges = geojson.read_boundaries(w.spark, path, "NAME", {f"District {d}": d for d in "ABC"})
+    index = spatial.polygon_index(edges)
+    inside = spatial.polygons_at(points_of, index, "longitude", "latitude", "inside")
+    return inside.select(F.explode("inside").alias("poly_id")).groupBy("poly_id").agg(F.count("*").alias("points"))
+
+
 @query("a04_point_grid")
 def _(w: Workspace) -> DataFrame:
-    raw = w.portfolio.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        (F.round(F.col("longitude") * 4, 0) / 4).alias("grid_lon"),
-        (F.round(F.col("latitude") * 4, 0) / 4).alias("grid_lat"), "tiv_building")
-    return points.with_point_keys(raw).groupBy("grid_lon", "grid_lat").agg(
-        money_sum("tiv_building").alias("value"))
+    path = f"{tables.shared_dir(w.spark)}/grid-csv-{uuid.uuid4().hex}"
+    # what other programs write: coordinates that differ beyond the eighth decimal
+    noise = (F.col("row_id") % 7) * 1e-10
+    tables.write_csv(w.portfolio.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
+        (F.round(F.col("longitude") * 4, 0) / 4 + noise).alias("grid_lon"),
+        (F.round(F.col("latitude") * 4, 0) / 4 - noise).alias("grid_lat"), F.col("tiv_building").alias("value")), path)
+    return points.read_grid(w.spark, path).groupBy("grid_lon", "grid_lat").agg(
+        F.count("*").alias("points"), money_sum("value").alias("value"))
 
 
 @query("a05_append_and_replace")
@@ -613,10 +679,21 @@ def _(w: Workspace) -> DataFrame:
 
 @query("l01_grid_check")
 def _(w: Workspace) -> DataFrame:
-    # the value of every grid point, seen from the portfolio's accumulation
-    value = w.dirty_points.withColumn("value", F.col("total_tiv"))
-    aal = w.dirty_points.withColumn("project1_tiv", F.col("total_tiv") + 0.5).filter("grid_lat > 19.5")
-    return linkage.check_grids(value, aal)
+    """The exposure grid against two AAL grids, all read from files: that of the same run, and one of other values."""
+    folder = f"{tables.shared_dir(w.spark)}/grids-{uuid.uuid4().hex}"
+
+    def written(name: str, grid: DataFrame) -> str:
+        tables.write_csv(grid, f"{folder}/{name}")
+        return f"{folder}/{name}"
+
+    value = F.col("total_tiv").alias("value")
+    grid = points.read_grid(w.spark, written("exposure", w.dirty_points.select("grid_lon", "grid_lat", value)))
+    aal = F.col("value") * 0.01
+    same = points.read_aal_grid(w.spark, written("aal", grid.orderBy("value").withColumn("aal", aal)))
+    other = points.read_aal_grid(w.spark, written(
+        "other", w.clean_points.select("grid_lon", "grid_lat", value).withColumn("aal", aal)))
+    return linkage.check_grids(grid, same).withColumn("grid", F.lit("same")).unionByName(
+        linkage.check_grids(grid, other).withColumn("grid", F.lit("other")))
 
 
 @query("l02_scenario_stack")
@@ -685,6 +762,6 @@ for _dimension in sorted({t.dimension for t in corrupt.TYPES}):
 @query("j04_weighted_draw")
 def _(w: Workspace) -> DataFrame:
     cells = w.cells().groupBy("cell_x", "cell_y").agg(F.count("*").alias("weight"))
-    intervals = sampling.weight_intervals(cells, ["cell_x", "cell_y"], "weight")
+    intervals = sampling.weight_intervals(cells, sampling.cell_order("cell_x", "cell_y"), "weight")
     return sampling.draw(w.portfolio.select("row_id"), "row_id", intervals, 42, "cell").select(
         "row_id", "cell_x", "cell_y")

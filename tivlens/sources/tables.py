@@ -8,9 +8,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header. The schema is given, so identifiers stay text and no pass infers types."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+#: What a scan adds with ``errors="keep"``: fields that hold something else than their type, and lines that are no record.
+MALFORMED = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+class MalformedInput(ValueError):
+    """A file holds values that are not of their column's type, or lines with missing or surplus fields."""
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, errors: str = "keep_quiet") -> DataFrame:
+    """CSV with a header. The schema is given, so identifiers stay text and no pass infers types.
+
+    A field that doesn't parse becomes NULL. With ``errors="keep"`` the rows get ``malformed``, the names and
+    texts of such fields, and ``bad_record``, the text of a line with missing or surplus fields; with
+    ``errors="fail"`` one pass counts both and raises ``MalformedInput`` if there are any.
+    """
+    if errors == "keep_quiet":
+        return spark.read.schema(schema).option("header", True).csv(path)
+    typed = [f for f in schema if not isinstance(f.dataType, T.StringType)]
+    as_text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema], T.StructField("bad_record", T.StringType())])
+    # without pruning: whether a line is a record shows only when all its fields are split
+    rows = spark.read.schema(as_text).options(
+        header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_record", columnPruning=False).csv(path)
+    parsed = {f.name: F.trim(f.name).try_cast(f.dataType) for f in typed}
+    wrong = F.filter(F.array(*[
+        F.when(F.col(n).isNotNull() & v.isNull(), F.struct(F.lit(n).alias("field"), F.col(n).alias("value")))
+        for n, v in parsed.items()]), lambda x: x.isNotNull())
+    out = rows.select(
+        *[parsed[f.name].alias(f.name) if f.name in parsed else F.col(f.name) for f in schema],
+        (wrong if typed else F.array()).cast(MALFORMED).alias("malformed"), "bad_record")
+    if errors == "keep":
+        return out
+    lost = out.agg(F.sum(F.size("malformed")).alias("fields"), F.count("bad_record").alias("lines")).first()
+    if lost["fields"] or lost["lines"]:
+        raise MalformedInput(f"{path}: {lost['fields'] or 0} fields and {lost['lines']} lines don't fit the schema")
+    return out.drop("malformed", "bad_record")
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
