@@ -131,3 +131,46 @@ def test_draws_cost_the_same_for_any_number_of_cells(spark):
         assert intervals.agg(F.sum(size)).first()[0] <= 2 * n
     empty = sampling.weight_intervals(cells.limit(0), sampling.cell_order("cell_x", "cell_y"), "weight")
     assert sampling.draw(spark.range(5).withColumnRenamed("id", "row_id"), "row_id", empty, 1, "x").count() == 0
+
+
+def test_replacing_in_place_leaves_other_files(spark, tmp_path):
+    path, folder = f"{tmp_path}/t", tmp_path / "t"
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    tables.store_keyed(rows, path, "k", 16)
+    before = {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    new = spark.createDataFrame([(7, "new"), (7, "twice"), (1000, "added")], "k long, v string")
+    tables.replace_in_place(spark, path, new, "k", 16)
+    got = Counter((r["k"], r["v"]) for r in tables.read_keyed(spark, path).collect())
+    want = Counter((k, "old") for k in range(400) if k != 7) + Counter([(7, "new"), (7, "twice"), (1000, "added")])
+    assert got == want
+    after = {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    kept = [p for p in before if after.get(p) == before[p]]
+    assert len({p.parent for p in before} - {p.parent for p in kept}) <= 2 and len(kept) >= len(before) - 2
+    tables.replace_in_place(spark, path, new.limit(0), "k", 16)
+    assert {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")} == after
+
+
+def test_checks_are_measured_while_writing(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, -1.0)], "k long, v double")
+    watch = expect.Watch().row_count(3).no_nulls("k").no_nulls("v").positive("v")
+    tables.materialise(watch.on(df), "w", "k")
+    assert [(n, ok, o) for n, ok, o, _ in watch.results()] == [
+        ("row_count", True, 3.0), ("k_not_null", True, 0.0), ("v_not_null", False, 1.0), ("v_positive", False, 1.0)]
+    with pytest.raises(expect.ContractError, match="v_not_null: observed 1.*v_positive"):
+        watch.enforce()
+    plain = expect.no_nulls(df, "v").unionByName(expect.positive(df, "v")).collect()
+    assert [tuple(r) for r in plain] == watch.results()[2:]
+    empty = expect.Watch().row_count(0).positive("v")
+    tables.materialise(empty.on(df.limit(0)), "w")
+    empty.enforce()
+
+
+def test_sketched_threshold_on_a_large_column(spark):
+    from tivlens.operators import calibrate
+
+    df = spark.range(200_000).select((F.pow(F.col("id") % 9973, 2) + 1.0).alias("v"))
+    got = calibrate.calibrate_sketched(df, F.col("v"), F.lit(True)).first()
+    exact = calibrate.calibrate(df, F.col("v"), F.lit(True)).first()
+    assert got["clean_max"] == exact["clean_max"] and got["median_low"] <= exact["median"] <= got["median_high"]
+    below = df.filter(F.col("v") < got["median"]).count() / 200_000
+    assert abs(below - 0.5) <= got["rank_error"] < 0.02

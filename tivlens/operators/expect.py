@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tivlens.functions.columns import money, money_sum
 
@@ -49,6 +49,48 @@ def money_fits(df: DataFrame, column: str) -> DataFrame:
     return _equal(df, f"{column}_fits_money", F.count_if(lost), 0)
 
 
+class Watch:
+    """Checks without a grouping, measured while a table is written instead of by a pass of their own.
+
+    ``on`` adds the measurements to a DataFrame; once an action on it is done, ``results`` has the checks.
+    """
+
+    def __init__(self) -> None:
+        self._measured: dict[str, Column] = {}
+        self._expected: dict[str, float] = {}
+        self._seen = Observation()
+
+    def _add(self, name: str, observed: Column, expected: float) -> Watch:
+        self._measured[name], self._expected[name] = observed.cast("double"), float(expected)
+        return self
+
+    def row_count(self, expected: int) -> Watch:
+        return self._add("row_count", F.count("*"), expected)
+
+    def no_nulls(self, column: str) -> Watch:
+        return self._add(f"{column}_not_null", F.count_if(F.col(column).isNull()), 0)
+
+    def positive(self, column: str) -> Watch:
+        return self._add(f"{column}_positive", F.count_if(F.col(column) <= 0), 0)
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen, *[c.alias(n) for n, c in self._measured.items()])
+
+    def results(self) -> list[tuple[str, bool, float, float]]:
+        """``(check, ok, observed, expected)`` of every check."""
+        seen = self._seen.get
+        return [(n, seen[n] == e, seen[n], e) for n, e in self._expected.items()]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.results(), "check string, ok boolean, observed double, expected double")
+
+    def enforce(self) -> None:
+        """Raise if a check failed, as ``enforce`` does for checks that are queries."""
+        failed = [f"{n}: observed {o:g}, expected {e:g}" for n, ok, o, e in self.results() if not ok]
+        if failed:
+            raise ContractError("; ".join(failed))
+
+
 def well_formed(scan: DataFrame) -> DataFrame:
     """Fields of a scan with ``errors="keep"`` that are not of their type, and lines that are no record. One pass."""
     counts = {"fields_well_formed": F.coalesce(F.sum(F.size("malformed")), F.lit(0)),

@@ -53,16 +53,15 @@ def run_audit(inputs: Inputs, out: str) -> dict[str, DataFrame]:
         index = spatial.polygon_index(edges)
         return spatial.PolygonIndex(store(name, index.cells), index.size, index.small)
 
+    # checks that need no grouping ride along with the first writing of their table
+    watched = expect.Watch().no_nulls("tiv_total").positive("tiv_total")
     portfolio, rules = store_rows("portfolio", inputs.portfolio), catalogue(spark)
-    expect.enforce(
-        expect.unique(portfolio, ["row_id"]),
-        expect.no_nulls(inputs.clean, "tiv_total"),
-        expect.positive(inputs.clean, "tiv_total"))
+    reference = store_rows("materiality_tiv_reference", calibrate.materiality_reference(watched.on(inputs.clean)))
+    watched.enforce()
+    expect.enforce(expect.unique(portfolio, ["row_id"]))
     store("rule_catalogue", rules)
     density = store("x005_reference", calibrate.calibrate_density(inputs.clean))
     building = store("p001_reference", calibrate.calibrate_building_tiv(inputs.clean))
-    reference = store_rows(
-        "materiality_tiv_reference", calibrate.materiality_reference(inputs.clean))
 
     flags = store_rows("quality_flags", detect.detect(portfolio, detect.References(
         density=calibrate.read_threshold(density),

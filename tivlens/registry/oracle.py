@@ -457,6 +457,7 @@ BODIES = {
     "a05_append_and_replace": "SELECT district, count(*) AS rows FROM raw GROUP BY 1",
     "a06_table_read": "SELECT o_orderpriority, count(*) AS rows FROM orders GROUP BY 1",
     "a08_keyed_replace": "SELECT row_id, district, tiv_total FROM raw WHERE row_id NOT IN (SELECT row_id FROM clean) UNION ALL SELECT row_id, district, tiv_total*2 FROM clean",
+    "a08_replace_in_place": "SELECT row_id, district, tiv_total FROM raw WHERE row_id NOT IN (SELECT row_id FROM clean) UNION ALL SELECT row_id, district, tiv_total*2 FROM clean",
     "a09_rule_catalogue": "SELECT c.rule_id, dimension, severity, classification, injection_rule, tested_by_injection, count(f.row_id) AS flags FROM catalogue c LEFT JOIN flags f ON f.rule_id = c.rule_id GROUP BY ALL",
     "a10_axis_flags": "SELECT f.rule_id, affects_hazard, affects_vulnerability, affects_financial, count(*) AS flags FROM flags f JOIN catalogue c ON f.rule_id = c.rule_id GROUP BY ALL",
     "a13_row_numbers": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_id FROM orders",
@@ -476,6 +477,10 @@ BODIES = {
     "b09_categories_present": _check("scenario_present", "(SELECT count(DISTINCT scenario) FROM sensitivity WHERE scenario IN ('PRIMARY', 'P001_SENSITIVITY', 'P003_SENSITIVITY', 'COMBINED_SENSITIVITY'))", "4"),
     "b10_scenario_differs": _check("P003_SENSITIVITY_differs_from_PRIMARY", f"(SELECT {cents('total_tiv')} FROM sensitivity WHERE scenario = 'P003_SENSITIVITY')", f"(SELECT {cents('total_tiv')} FROM sensitivity WHERE scenario = 'PRIMARY')", "observed IS DISTINCT FROM expected"),
     "b11_load_profile": f"SELECT count(*) AS rows, min(row_id) AS min_key, max(row_id) AS max_key, {total('tiv_total')} AS total FROM raw",
+    "b11_checks_while_writing": _check("row_count", "(SELECT count(*) FROM raw)", "(SELECT count(*) FROM orders)") + " UNION ALL "
+    + _check("latitude_not_null", "(SELECT count(*) FROM raw WHERE latitude IS NULL)", "0") + " UNION ALL "
+    + _check("tiv_total_not_null", "(SELECT count(*) FROM raw WHERE tiv_total IS NULL)", "0") + " UNION ALL "
+    + _check("tiv_total_positive", "(SELECT count(*) FROM raw WHERE tiv_total <= 0)", "0"),
     "b12_priority_counts": "SELECT priority, count(*) AS flags FROM scores GROUP BY 1",
     "b12_axis_counts": "SELECT affects_hazard, affects_vulnerability, affects_financial, count(*) AS flags FROM scores GROUP BY 1, 2, 3",
     "b13_declared_keys": _check("row_id_rule_id_unique", "(SELECT count(*) FROM (SELECT 1 FROM scores GROUP BY row_id, rule_id HAVING count(*) > 1))", "0") + " UNION ALL "
@@ -483,6 +488,7 @@ BODIES = {
     + _check("row_id_unique", "(SELECT count(*) FROM (SELECT 1 FROM cleansed GROUP BY row_id HAVING count(*) > 1))", "0"),
     "e01_density_threshold": "SELECT * FROM density",
     "e02_building_tiv_threshold": "SELECT * FROM building",
+    "e02_sketched_threshold": "SELECT reference_name, median, clean_max, round(2.296/pow(200, 0.9021), 6) AS rank_error, true AS within, true AS bracketed FROM building",
     "e03_reference_row": "SELECT * FROM building UNION ALL SELECT * REPLACE ('other' AS reference_name) FROM building",
     "e04_materiality_reference": "SELECT * FROM validated",
     **{f"d{i:02d}_{r.rule_id.lower().replace('-', '')}_{r.error_type.split('_', 1)[1]}": RULE_SQL[r.rule_id]

@@ -150,6 +150,15 @@ def _(w: Workspace) -> DataFrame:
     return tables.replace_keyed(w.portfolio.select(new.columns), new, "row_id")
 
 
+@query("a08_replace_in_place")
+def _(w: Workspace) -> DataFrame:
+    path = f"{tables.shared_dir(w.spark)}/keyed-{uuid.uuid4().hex}"
+    new = w.clean.select("row_id", "district", (F.col("tiv_total") * 2).alias("tiv_total"))
+    tables.store_keyed(w.portfolio.select(new.columns), path, "row_id", 16)
+    tables.replace_in_place(w.spark, path, new, "row_id", 16)
+    return tables.read_keyed(w.spark, path)
+
+
 @query("a09_rule_catalogue")
 def _(w: Workspace) -> DataFrame:
     found = w.flags.groupBy("rule_id").agg(F.count("*").alias("flags"))
@@ -250,6 +259,14 @@ def _(w: Workspace) -> DataFrame:
     return expect.profile(w.portfolio, "row_id", "tiv_total")
 
 
+@query("b11_checks_while_writing")
+def _(w: Workspace) -> DataFrame:
+    orders = tables.read_table(w.spark, f"{w.sf_dir}/orders.parquet")
+    watch = expect.Watch().row_count(orders.count()).no_nulls("latitude").no_nulls("tiv_total").positive("tiv_total")
+    tables.materialise(watch.on(w.portfolio), "watched")
+    return watch.table(w.spark)
+
+
 @query("b12_priority_counts")
 def _(w: Workspace) -> DataFrame:
     return expect.counts(w.scores, ["priority"])
@@ -282,6 +299,22 @@ def _(w: Workspace) -> DataFrame:
     return calibrate.calibrate_building_tiv(w.clean)
 
 
+@query("e02_sketched_threshold")
+def _(w: Workspace) -> DataFrame:
+    """The exact median and whether the sketch's is as near in rank as it says."""
+    value, where = F.col("tiv_building"), F.col("tiv_building") > 0
+    exact = calibrate.calibrate_building_tiv(w.clean)
+    sketch = calibrate.calibrate_sketched(w.clean, value, where).first()
+    rank = w.clean.filter(where).agg(
+        (F.count_if(value < sketch["median"]) / F.count("*")).alias("below"),
+        (F.count_if(value <= sketch["median"]) / F.count("*")).alias("upto"))
+    off = sketch["rank_error"]
+    return exact.crossJoin(rank).select(  # one row each
+        "reference_name", "median", "clean_max", F.round(F.lit(off), 6).alias("rank_error"),
+        ((F.col("below") <= 0.5 + off) & (F.col("upto") >= 0.5 - off)).alias("within"),
+        F.col("median").between(sketch["median_low"], sketch["median_high"]).alias("bracketed"))
+
+
 @query("e03_reference_row")
 def _(w: Workspace) -> DataFrame:
     table = calibrate.calibrate_building_tiv(w.portfolio).unionByName(

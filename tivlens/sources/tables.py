@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 #: What a scan adds with ``errors="keep"``: fields that hold something else than their type, and lines that are no record.
@@ -86,6 +86,33 @@ def replace_keyed(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def store_keyed(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """Store ``df`` in ``parts`` folders by a hash of its key, for ``replace_in_place``."""
+    df.withColumn("part", _part(key, parts)).repartition(parts, "part").write.partitionBy("part").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
+
+
+def replace_in_place(spark: SparkSession, path: str, new: DataFrame, key: str, parts: int) -> None:
+    """``replace_keyed`` on a stored table: only the folders that ``new`` has keys for are read and written again.
+
+    The merged folders are stored first, so a lost executor never leaves a folder without its rows.
+    """
+    touched = [r[0] for r in new.select(_part(key, parts)).distinct().collect()]  # at most ``parts``
+    if not touched:
+        return
+    old = spark.read.parquet(path).filter(F.col("part").isin(touched)).drop("part")
+    merged = materialise(replace_keyed(old, new.select(old.columns), key).withColumn("part", _part(key, parts)), "merged")
+    merged.repartition(len(touched), "part").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def write_text(report: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Lines ``(position, line)`` as one text file in order (a report, a handful of lines)."""
     report.coalesce(1).sortWithinPartitions("position").select("line").write.mode(mode).text(path)
