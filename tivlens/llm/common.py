@@ -49,3 +49,16 @@ def lower_ascii(c: Column) -> Column:
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+SENT_KEYS = 2_000_000
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", most: int = SENT_KEYS) -> DataFrame:
+    """``rows`` whose key is (``left_semi``) or isn't (``left_anti``) among ``keys``, one column of distinct numbers.
+
+    Up to ``most`` keys are counted and sent to the tasks, so that wide rows stay where they are; more are
+    joined with a shuffle.
+    """
+    few = keys.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, key, how)

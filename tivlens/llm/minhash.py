@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tivlens.llm.common import stored
+from tivlens.llm.common import matching, stored
 from tivlens.llm.components import components
 
 BANDS, PERMS_PER_BAND = 48, 3
@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shared = stored(keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
                     .where("least < most").select("key"), "keys")
     buckets = stored(keyed.join(shared, "key").distinct(), "buckets")
-    involved = buckets.select("doc").distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(involved, "doc", "left_semi")
+    involved = stored(buckets.select("doc").distinct(), "involved")
+    texts = matching(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), involved, "doc")
     # rows that repeat an id pool their shingles
     sets = full_sets(texts, size)
     sets = stored(sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")), "sets")
