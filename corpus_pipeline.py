@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tivlens.llm import decontamination, language_id, line_dedup, minhash, piece_codec
-from tivlens.llm.common import SPACES, stored, table
+from tivlens.llm.common import SPACES, matching, stored, table
 
 PIECES = "piece_bpe_32k.model"
 LEAST_SURE = 0.5  # language score; a document that is likelier another language than the best one goes
@@ -49,12 +49,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are told apart by a number of their own: ids may be missing or repeat
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = minhash.near_duplicates(rows, size=5, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    keep = (found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id")
-            .agg(F.min(order)["__row"].alias("__row")).select("__row"))
-    return rows.join(stored(keep, "kept"), "__row", "left_semi").select(docs.columns)
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n"))
+    rows = stored(numbered, "numbered")
+    found = stored(minhash.near_duplicates(rows.select("n", "row.text"), size=5, id_col="n").select(
+        F.col("doc_id").alias("n"), "component_id"), "groups")
+    groups = found.join(found.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
+    members = stored(groups.join(rows.select("n", "row.doc_id"), "n").select("n", "component_id", order.alias("o")), "members")
+    first = members.groupBy("component_id").agg(F.min("o")["n"].alias("n")).select("n")
+    # what goes are few rows: they are sent to the texts, which stay where they are
+    gone = stored(members.select("n").join(first, "n", "left_anti"), "gone")
+    return matching(rows, gone, "n", "left_anti").select("row.*").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
