@@ -25,7 +25,9 @@ from tivlens.sources.tables import materialise
 
 SEED = 42
 ANCHORS = 10
-MONEY_DECIMALS = 2  # cents: also exact for values that are a third of a large portfolio
+MONEY_DECIMALS = 4
+#: Doubles from here on don't hold that many decimals; they are shown in cents.
+LARGE, LARGE_DECIMALS = 1e9, 2
 DECIMALS = {"latitude": 8, "longitude": 8, "floor_area_sqm": 6}
 
 
@@ -440,7 +442,11 @@ def ground_truth(clean: DataFrame, dirty: DataFrame, copies: DataFrame) -> DataF
 
     def shown(f: str) -> Column:
         """Numbers with a fixed number of decimals, so that no engine's way of printing doubles matters."""
-        return fixed(f, DECIMALS.get(f, MONEY_DECIMALS)) if kinds_of[f] == "double" else F.col(f).cast("string")
+        if kinds_of[f] != "double":
+            return F.col(f).cast("string")
+        if f in DECIMALS:
+            return fixed(f, DECIMALS[f])
+        return F.when(F.abs(f) >= LARGE, fixed(f, LARGE_DECIMALS)).otherwise(fixed(f, MONEY_DECIMALS))
 
     def snapshot(name: str) -> Column:
         return F.map_from_arrays(

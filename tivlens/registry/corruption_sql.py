@@ -128,8 +128,14 @@ VIEWS = {
 
 
 def _shown(source: str, f: str) -> str:
-    if f in ("latitude", "longitude", "floor_area_sqm", "deductible", *_TIVS, "tiv_total"):
-        return f"CAST(CAST({source}.{f} AS DECIMAL(28,{corrupt.DECIMALS.get(f, corrupt.MONEY_DECIMALS)})) AS VARCHAR)"
+    def fixed(decimals: int) -> str:
+        return f"CAST(CAST({source}.{f} AS DECIMAL(28,{decimals})) AS VARCHAR)"
+
+    if f in corrupt.DECIMALS:
+        return fixed(corrupt.DECIMALS[f])
+    if f in ("deductible", *_TIVS, "tiv_total"):
+        return (f"CASE WHEN abs({source}.{f}) >= {corrupt.LARGE} THEN {fixed(corrupt.LARGE_DECIMALS)} "
+                f"ELSE {fixed(corrupt.MONEY_DECIMALS)} END")
     return f"CAST({source}.{f} AS VARCHAR)"
 
 
