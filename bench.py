@@ -24,7 +24,7 @@ HEADLINES = [
     "e01_density_threshold", "d40_detect_all", "i04_precision_recall", "m02_tiv_percentile",
     "m05_enriched_findings", "m11_scores", "t14_cleansed", "s02_point_in_polygon",
     "s04_nearest_point", "u02_dirty_accumulation", "u04_fallback_accumulation",
-    "u09_sensitivity", "u16_impact_summary", "l04_scenario_summary",
+    "u09_sensitivity", "u16_impact_summary", "l04_scenario_summary", "j00_selection",
 ]
 
 
