@@ -34,18 +34,42 @@ def vectors():
     return [(i, [float(c) for c in v]) for i, v in enumerate(x)]
 
 
-def test_small_tables_are_searched_whole(spark, vectors):
+def recall(got, want):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+
+
+def test_recall_and_exact_scores(spark, vectors):
     got, want = search(spark, vectors), brute(vectors, 20)
-    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
-    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
+    assert set(got) == set(want) and all(len(r) == 20 for r in got.values())
+    assert recall(got, want) >= 0.9
+    good = {i: np.array(v, np.float32).astype(float) for i, v in vectors}
+    assert all(abs(s - (good[q] * good[i]).sum()) < 1e-12 for q, r in got.items() for i, s in r)
 
 
-def test_recall_through_prefixes_in_blocks(spark, vectors, monkeypatch):
-    for name, value in (("LEAST", 400), ("PER_ROOT", 1), ("BLOCK_ROWS", 64), ("BLOCK_QUERIES", 16)):
+def test_blocks_change_nothing(spark, vectors, monkeypatch):
+    whole = search(spark, vectors)
+    for name, value in (("GROUP", 64), ("BLOCK_QUERIES", 16), ("BATCH", 100)):
         monkeypatch.setattr(ann, name, value)
-    got, want = search(spark, vectors), brute(vectors, 20)
-    found = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
-    assert found >= 0.9
+    assert {q: [i for i, _ in r] for q, r in search(spark, vectors).items()} == {q: [i for i, _ in r] for q, r in whole.items()}
+
+
+def test_a_table_of_2000_rows_is_not_searched_whole(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 2000)] + 0.3 * rng.standard_normal((2000, 32))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    seen, plain = [], ann.visits_of
+
+    def visits_of(asked, runs, *rest):
+        visits = plain(asked, runs, *rest).persist()
+        reached = visits.join(runs, ["tree", "level", "prefix"]).groupBy("id").agg(F.sum("rows").alias("rows"))
+        seen.extend([visits.agg(F.min("level")).first()[0], reached.agg(F.avg("rows")).first()[0]])
+        return visits
+
+    monkeypatch.setattr(ann, "visits_of", visits_of)
+    got, want = search(spark, rows), brute(rows, 20)
+    assert recall(got, want) >= 0.9
+    assert seen[0] > 0 and seen[1] < 2000  # of 16,000: rows met in all trees, repeats included
 
 
 def test_unusable_rows(spark):
@@ -59,11 +83,13 @@ def test_unusable_rows(spark):
 
 def test_repeated_ids_count_once(spark, vectors):
     rows = vectors[:300]
-    want = {q: [i for i, _ in r] for q, r in brute(rows, 20).items()}
-    assert {q: [i for i, _ in r] for q, r in search(spark, rows * 2).items()} == want
+    ids = {q: [i for i, _ in r] for q, r in search(spark, rows).items()}
+    assert {q: [i for i, _ in r] for q, r in search(spark, rows * 2).items()} == ids
     # one id many times with vectors of its own, all nearer than those of other ids
     best = (10_001, [100 * c for c in rows[0][1]])
     near = [(10_001, [(100 - k / 100) * c for c in rows[0][1]]) for k in range(1, 60)]
     got = search(spark, [*rows, *near, *[best] * 30])[0]
-    assert got[0][0] == 10_001 and [i for i, _ in got[1:]] == want[0][:19]
+    others, order = [i for i, _ in got[1:]], [i for i, _ in brute(rows, 299)[0]]
+    assert got[0][0] == 10_001 and len(set(others)) == 19 and sorted(others, key=order.index) == others
+    assert len(set(others) & set(order[:19])) >= 17
     assert abs(got[0][1] - (np.array(best[1], np.float32).astype(float) * np.array(rows[0][1], np.float32)).sum()) < 1e-9
