@@ -8,7 +8,7 @@ the counts by which a query descends and ascends.
 
 A query descends all trees to the longest prefix shared by so many rows that, with ``PROBES``
 buckets per tree, ``wanted`` candidates may be in reach: its own bucket and those beyond the
-directions that it lies nearest to. If its buckets hold fewer, it ascends in all trees at once to
+directions that it lies nearest to (behind the bits that make a block, so one block a tree is enough). If its buckets hold fewer, it ascends in all trees at once to
 the longest prefix, found by halving, at which they hold enough; at last to the root, which holds every row. ``wanted`` is fitted, not given: the
 first ``SAMPLE`` queries (by digest) are compared with every row, and it is the fewest candidates
 with which this rule finds their true neighbours with a recall of ``TARGET``. So it follows from
@@ -46,6 +46,7 @@ from tivlens.llm.common import stored
 TREES, DEPTH, PROBES = 8, 40, 32
 SAMPLE, TARGET = 64, 0.94  # queries that fit the number of candidates, and the recall they ask for
 FLIPPED = 10  # the nearest directions among which probes choose
+SPREAD = 6  # the last places of a prefix, in which probes may differ even if they are among the leading bits of a block
 GROUP, BLOCK_QUERIES, BATCH = 16_384, 8192, 2048
 NARROW = 1e-9  # rounding allowed for before scores are computed exactly
 
@@ -65,11 +66,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
 class Forest:
     """The directions of all trees."""
 
-    def __init__(self, d: int, longest: float, seed: int) -> None:
+    def __init__(self, d: int, longest: float, seed: int, head: int) -> None:
         rng = np.random.default_rng(seed)
         blocks = [np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0] for _ in range(-(-TREES * DEPTH // (d + 1)))]
         self.directions = np.concatenate(blocks, axis=1)[:, :TREES * DEPTH]
-        self.longest = longest
+        self.longest, self.head = longest, head
         self.powers = 1 << np.arange(DEPTH - 1, -1, -1, dtype=np.int64)
         self.sets = (np.arange(1 << FLIPPED)[:, None] >> np.arange(FLIPPED) & 1).astype(float)
 
@@ -88,9 +89,10 @@ class Forest:
     def probes(self, sides: np.ndarray, level: int) -> np.ndarray:
         """Prefixes of ``level`` bits that one query visits: trees x probes, its own first, nearest first."""
         own = self.strings(sides) >> (DEPTH - level)
-        usable = min(level, FLIPPED)
+        fixed = max(0, min(self.head, level - SPREAD))
+        usable = min(level - fixed, FLIPPED)
         far = sides[:, :level] ** 2
-        places = np.argsort(far, axis=1, kind="stable")[:, :usable]
+        places = fixed + np.argsort(far[:, fixed:], axis=1, kind="stable")[:, :usable]
         sets = self.sets[:1 << usable, :usable]
         cost = np.take_along_axis(far, places, axis=1) @ sets.T
         first = np.argsort(cost, axis=1, kind="stable")[:, :PROBES]
@@ -107,10 +109,10 @@ def _lists(values: np.ndarray) -> pa.ListArray:
                                     pa.array(values.reshape(-1)))
 
 
-def hashed(rows: DataFrame, d: int, longest: float, seed: int, query: bool, kind: type) -> DataFrame:
+def hashed(rows: DataFrame, d: int, longest: float, seed: int, head: int, query: bool, kind: type) -> DataFrame:
     """``id, bytes, strings``: the vector in binary, as numbers of ``kind``, and its string in each tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(d, longest, seed)
+        forest = Forest(d, longest, seed, head)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -170,10 +172,10 @@ def compared(rows: DataFrame, asked: list, d: int, k: int) -> dict:
     return near
 
 
-def _visited(d: int, longest: float, seed: int, kind: type):
+def _visited(d: int, longest: float, seed: int, head: int, kind: type):
     """Of queries with a level: the prefixes they visit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(d, longest, seed)
+        forest = Forest(d, longest, seed, head)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             levels = batch.column(2).to_numpy()
@@ -250,12 +252,12 @@ def _blocks(n: Column, size: int) -> Column:
     return F.ceil(n / size).cast("int")
 
 
-def visits_of(asked: DataFrame, runs: DataFrame, d: int, longest: float, seed: int, kind: type, wanted: int) -> DataFrame:
+def visits_of(asked: DataFrame, runs: DataFrame, d: int, longest: float, seed: int, head: int, kind: type, wanted: int) -> DataFrame:
     """``id, tree, level, prefix``: the prefixes that each query visits."""
     reach = f"id {asked.schema['id'].dataType.simpleString()}, tree int, level int, prefix long"
 
     def visited(levels: DataFrame) -> DataFrame:
-        return levels.select("id", "bytes", "level").mapInArrow(_visited(d, longest, seed, kind), reach).distinct()
+        return levels.select("id", "bytes", "level").mapInArrow(_visited(d, longest, seed, head, kind), reach).distinct()
 
     # down, by the rows that share the query's own prefixes: ``low`` reaches enough, below ``high`` may
     path = (asked.select("id", F.posexplode("strings").alias("tree", "string"))
@@ -298,23 +300,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     facts = kept.agg(F.count("*").alias("n"), F.max(length).alias("longest")).first()
     n, longest = facts.n, facts.longest
+    bits = max(0, math.ceil(math.log2(n / GROUP)))  # the leading bits of a block
     element = vectors.schema[vec_col].dataType.elementType
     kind = np.float32 if isinstance(element, T.FloatType) else np.float64
-    index = stored(hashed(kept, d, longest, seed, False, kind), "index")
-    asked = stored(hashed(asked.distinct(), d, longest, seed, True, kind), "asked")
+    index = stored(hashed(kept, d, longest, seed, bits, False, kind), "index")
+    asked = stored(hashed(asked.distinct(), d, longest, seed, bits, True, kind), "asked")
     runs = stored(prefix_counts(index.select(F.posexplode("strings").alias("tree", "string"))), "runs")
     near = compared(kept, sample, d, k)
     if not near:
         return vectors.sparkSession.createDataFrame([], schema)
     levels = asked.join(F.broadcast(vectors.sparkSession.createDataFrame([(r.id,) for r in sample], f"id {id_type}")), "id").select(
         "id", "bytes", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("level"))
-    reached = (levels.mapInArrow(_visited(d, longest, seed, kind), f"id {id_type}, tree int, level int, prefix long").distinct()
+    reached = (levels.mapInArrow(_visited(d, longest, seed, bits, kind), f"id {id_type}, tree int, level int, prefix long").distinct()
                .join(runs, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("rows").alias("rows")).collect())
-    wanted = max(k + 1, fitted_count(near, sample, Forest(d, longest, seed), {(r.id, r.level): r.rows for r in reached}, TREES * n))
-    visits = stored(visits_of(asked, runs, d, longest, seed, kind, wanted), "visits")
+    fitted = fitted_count(near, sample, Forest(d, longest, seed, bits), {(r.id, r.level): r.rows for r in reached}, TREES * n)
+    repeats = kept.groupBy("id").count().agg(F.max("count")).first()[0]  # vectors of one id
+    wanted = max(TREES * (k + 1) * repeats, fitted)  # so many hold k other ids, even if all trees meet the same rows
+    visits = stored(visits_of(asked, runs, d, longest, seed, bits, kind, wanted), "visits")
 
     # blocks of rows and of queries: tree and leading bits, cut further where they hold many rows
-    bits = max(0, math.ceil(math.log2(n / GROUP)))
     head = F.expr(f"shiftright(string, {DEPTH - bits})")
     trees = index.select("id", "bytes", F.posexplode("strings").alias("tree", "string")).withColumn("head", head)
     short = F.greatest(F.lit(0), bits - F.col("level"))  # a visited prefix shorter than a head covers several
