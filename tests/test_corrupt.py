@@ -90,3 +90,28 @@ def test_without_donors_fields_stay(spark, w):
 def test_pristine_portfolio_is_clean(w):
     assert w.pristine.count() == w.pristine.select("row_id").distinct().count()
     assert w.pristine.filter("latitude IS NULL OR tiv_total <= 0 OR year_built IS NULL OR currency <> 'INR'").count() == 0
+
+
+def test_the_portfolio_is_never_broadcast(spark, tmp_path, monkeypatch):
+    """Neither donors nor the rows before and after, though their files are far below the threshold."""
+    rows = spark.range(1, 400).select(
+        F.col("id").alias("row_id"), F.lit("A").alias("location_id"), (F.col("id") % 3 * (1 << corrupt.BIT[corrupt.SHORT["D4"]])).alias("__mask"),
+        *[F.lit(None).cast("string").alias(c) for c in sorted({f for t in corrupt.TYPES for f in t.shown or t.fields} - {"location_id"})])
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows").filter("row_id % 3 < 2")
+    copies = rows.filter("row_id < 5").withColumn("source_row_id", F.col("row_id")).withColumn("row_id", F.col("row_id") + 1000)
+    for df in (corrupt.borrow(rows, "D4", ["location_id"], F.lit(True)), corrupt.ground_truth(rows.drop("__mask"), rows, copies)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_copies_inherit_the_events_of_each_row_with_their_source_id(spark):
+    mask = 1 << corrupt.BIT[corrupt.SHORT["D3"]]
+    fields = sorted({f for t in corrupt.TYPES for f in t.shown or t.fields})
+    clean = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "row_id long, address_line string").select(
+        "row_id", *["address_line" if f == "address_line" else F.lit(None).cast("string").alias(f) for f in fields])
+    dirty = clean.filter("address_line <> 'y'").withColumn("__mask", F.lit(mask).cast("long"))
+    copies = spark.createDataFrame([(11, 1), (12, 1), (13, None)], "row_id long, source_row_id long")
+    found = corrupt.ground_truth(clean, dirty, copies).groupBy("error_type", "row_id").count().collect()
+    got = {(r["error_type"][:2], r["row_id"]): r["count"] for r in found}
+    assert got == {("D3", 1): 2, ("D3", 11): 2, ("D3", 12): 2, ("D3", 2): 1, ("D1", 11): 1, ("D1", 12): 1, ("D1", 13): 1}

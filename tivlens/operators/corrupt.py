@@ -303,8 +303,9 @@ def borrow(marked: DataFrame, label: str, columns: list[str], where: Column, see
     blocks = 1 << max(0, (spare["n"] // DONORS_PER_BLOCK).bit_length() - 1)
     mine = marked.filter(has(label)).select(
         "row_id", order_text(seed, f"{label}-receiver", "row_id").alias("ru"))
+    # the donors are most of the portfolio: never broadcast, however small their few columns look in a file
     best = mine.withColumn("block", _block("ru", blocks)).join(
-        pool.withColumn("block", _block("du", blocks)), "block", "left").groupBy("row_id").agg(
+        pool.withColumn("block", _block("du", blocks)).hint("merge"), "block", "left").groupBy("row_id").agg(
         F.min_by("given", F.md5(F.concat("ru", "du"))).alias("given"))
     rest = F.lit(None) if spare["given"] is None else F.struct(*[
         F.lit(spare["given"][c]).cast(marked.schema[c].dataType).alias(c) for c in columns])
@@ -440,20 +441,24 @@ def ground_truth(clean: DataFrame, dirty: DataFrame, copies: DataFrame) -> DataF
     fields = sorted({f for t in TYPES for f in (t.shown or t.fields)})
     kinds_of = dict(clean.dtypes)
 
-    def shown(f: str) -> Column:
+    def shown(row: str, f: str) -> Column:
         """Numbers with a fixed number of decimals, so that no engine's way of printing doubles matters."""
+        value = F.col(f"{row}.{f}")
         if kinds_of[f] != "double":
-            return F.col(f).cast("string")
+            return value.cast("string")
         if f in DECIMALS:
-            return fixed(f, DECIMALS[f])
-        return F.when(F.abs(f) >= LARGE, fixed(f, LARGE_DECIMALS)).otherwise(fixed(f, MONEY_DECIMALS))
+            return fixed(value, DECIMALS[f])
+        return F.when(F.abs(value) >= LARGE, fixed(value, LARGE_DECIMALS)).otherwise(fixed(value, MONEY_DECIMALS))
 
-    def snapshot(name: str) -> Column:
+    def snapshot(row: str) -> Column:
         return F.map_from_arrays(
-            F.array(*[F.lit(f) for f in fields]), F.array(*[shown(f) for f in fields])).alias(name)
+            F.array(*[F.lit(f) for f in fields]), F.array(*[shown(row, f) for f in fields]))
 
-    before = clean.select("row_id", snapshot("before"))
-    after = dirty.filter("__mask <> 0").select("row_id", "__mask", snapshot("after"))
+    # the join is of fields as they are stored, printed after it; both sides are as long as the
+    # portfolio, so neither may be broadcast by the size that its file has
+    before = clean.select("row_id", F.struct(*fields).alias("before"))
+    after = dirty.filter("__mask <> 0").select("row_id", "__mask", F.struct(*fields).alias("after"))
+    copied = copies.groupBy(F.col("source_row_id").alias("row_id")).agg(F.collect_list(F.col("row_id")).alias("copy_ids"))
     kinds = F.array(*[F.when(_any_bit(F.col("__mask"), [t.name]), F.struct(
         F.lit(t.name).alias("error_type"), F.lit(t.dimension).alias("dimension"),
         F.lit(t.classification).alias("classification"),
@@ -467,17 +472,16 @@ def ground_truth(clean: DataFrame, dirty: DataFrame, copies: DataFrame) -> DataF
 
     columns = ["row_id", "error_type", "dimension", "classification",
                "original_value", "corrupted_value"]
-    events = after.join(before, "row_id").withColumn("k", F.explode(kinds)).filter(
-        "k IS NOT NULL").select(
-        "row_id", "k.error_type", "k.dimension", "k.classification",
+    events = after.join(before.hint("merge"), "row_id").join(copied.hint("merge"), "row_id", "left").select(
+        "row_id", "copy_ids", kinds.alias("kinds"), snapshot("before").alias("before"), snapshot("after").alias("after")
+    ).withColumn("k", F.explode("kinds")).filter("k IS NOT NULL").select(
+        F.explode(F.concat(F.array("row_id"), F.coalesce("copy_ids", F.array().cast("array<bigint>")))).alias("row_id"),
+        "k.error_type", "k.dimension", "k.classification",
         as_json("before").alias("original_value"), as_json("after").alias("corrupted_value"))
-    link = copies.select(F.col("source_row_id"), F.col("row_id").alias("copy_id"))
-    inherited = events.join(link, F.col("row_id") == F.col("source_row_id")).select(
-        F.col("copy_id").alias("row_id"), *columns[1:])
     own = copies.select(
         "row_id", F.lit(DUPLICATE.name).alias("error_type"),
         F.lit(DUPLICATE.dimension).alias("dimension"),
         F.lit(DUPLICATE.classification).alias("classification"),
         F.to_json(F.struct("source_row_id")).alias("original_value"),
         F.to_json(F.struct(F.col("row_id").alias("duplicated_row_id"))).alias("corrupted_value"))
-    return events.unionByName(inherited).unionByName(own).select(*columns)
+    return events.unionByName(own).select(*columns)
