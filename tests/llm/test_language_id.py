@@ -82,3 +82,13 @@ def test_copies_count_once_in_the_sample(spark, monkeypatch):
     labels = [y for *_, y in seen["rows"]] + list(seen["left"])
     assert labels.count(0) == 30 and labels.count(1) == 30
     assert len({(at.tobytes(), x.tobytes()) for at, x, _ in seen["rows"]}) == len(seen["rows"])
+
+
+def test_only_texts_are_sent_to_the_workers(spark):
+    """The rows stay in Spark, and a condition on the prediction doesn't make it a second time."""
+    docs = spark.createDataFrame([(1, "ab", "x" * 50), (2, None, "y"), (None, "cd", None)], "doc_id long, text string, more string")
+    model = language_id.Model(["l"], np.ones(language_id.BUCKETS), np.ones((language_id.BUCKETS, 1)), 1.0)
+    found = language_id.predict(docs, model, carry=True).where("lang_pred <> 'und' AND score >= 0.5")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted((r["row"]["more"] or "", r["lang_pred"], r["score"]) for r in found.collect()) == [("", "l", 1.0), ("x" * 50, "l", 1.0)]

@@ -215,20 +215,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``doc_id, lang_pred, score`` for every row; with ``carry`` the whole row as struct ``row`` in place of the id."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("doc_id")
-    rows = docs.select(key, F.col(text_col).alias("text"))
-    first = rows.columns[0]
-    schema = T.StructType([rows.schema[first], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only texts are sent to the workers, the rows that they belong to stay; not deterministic
+    # means that a condition on the prediction doesn't have it made a second time
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
-        for batch in batches:
-            found = [model.predict(v.as_py()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[first, "lang_pred", "score"])
-
-    return rows.mapInArrow(run, schema)
+        for batch in texts:
+            found = [model.predict(v.as_py()) for v in batch]
+            yield pa.StructArray.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=schema.names)
+
+    predicted = F.arrow_udf(run, schema).asNondeterministic()
+    rows = docs.select(key, predicted(F.col(text_col)).alias("found"))
+    return rows.select(rows.columns[0], "found.lang_pred", "found.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
