@@ -156,15 +156,17 @@ PREFIX_DIGITS = 4
 LEAF = 100_000
 
 
-def cutoffs(candidates: DataFrame, wanted: dict[str, int]) -> dict[str, str]:
+def cutoffs(candidates: DataFrame, wanted: dict[str, int], sizes: dict[str, int] | None = None) -> dict[str, str]:
     """The ``n``-th smallest digest of each label in ``(label, u)``.
 
     Digests are counted by prefix (at most 65,536 per label), the prefix that holds the n-th is
     counted by longer prefixes, and so on until at most ``LEAF`` records share it; those are ranked.
-    A label with fewer candidates than wanted gets a cutoff above every digest.
+    A label with fewer candidates than wanted gets a cutoff above every digest. ``sizes`` are the
+    numbers of candidates where they are known.
     """
     result = {label: "" if n == 0 else "g" for label, n in wanted.items()}
-    live = {label: ("", n, LEAF + 1) for label, n in wanted.items() if n}  # prefix, rank in it, records
+    sizes = sizes or {}
+    live = {label: ("", n, sizes.get(label, LEAF + 1)) for label, n in wanted.items() if n}  # prefix, rank in it, records
     digits = 0
 
     def within(held: dict[str, tuple]) -> DataFrame:
@@ -176,7 +178,8 @@ def cutoffs(candidates: DataFrame, wanted: dict[str, int]) -> dict[str, str]:
     def rank(held: dict[str, tuple]) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for k, v in held.items() for x in (k, int(v[1]))]), F.col("label"))
 
-    leaves: dict[str, tuple] = {}
+    leaves = {k: v for k, v in live.items() if v[2] <= LEAF}
+    live = {k: v for k, v in live.items() if k not in leaves}
     while live:
         digits += PREFIX_DIGITS
         running = W.partitionBy("label").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -194,40 +197,133 @@ def cutoffs(candidates: DataFrame, wanted: dict[str, int]) -> dict[str, str]:
     return result
 
 
+#: Width of the interval of digests that is expected to hold a cutoff, in standard deviations.
+DEVIATIONS = 12
+
+
+def _interval(wanted: int, candidates: int) -> tuple[str, str]:
+    """Digests between which the cutoff lies, as they are uniform; the result doesn't depend on it."""
+    if wanted == 0:
+        return "", ""
+    share = wanted / max(candidates, 1)
+    margin = DEVIATIONS * (wanted + 1) ** 0.5 / max(candidates, 1)
+    low, high = share - margin, share + margin
+    return "" if low <= 0 else f"{int(low * 16 ** 12):012x}", "g" if high >= 1 else f"{int(high * 16 ** 12):012x}"
+
+
+#: Digests in one generated method; with more of them it is too long for the JVM to compile.
+DIGESTS_PER_METHOD = 4
+
+
+def _parts(types: list[ErrorType]) -> list[list[ErrorType]]:
+    return [types[i:i + DIGESTS_PER_METHOD] for i in range(0, len(types), DIGESTS_PER_METHOD)]
+
+
+def _bit(t: ErrorType) -> Column:
+    return F.lit(1 << BIT[t.name]).cast("long")
+
+
 def _digest(t: ErrorType, seed: int) -> Column:
-    """The ordering digest of a record that may get ``t`` by ``__may`` and ``__mask``, else NULL."""
-    free = ~_any_bit(F.col("__mask"), [b.name for b in _blockers(t)])
-    return F.when(free & _any_bit(F.col("__may"), [t.name]), order_text(seed, t.name, "row_id"))
+    """The ordering digest of a record as ``order_text`` gives it, from the text ``__id`` of its id."""
+    return F.md5(F.concat(F.lit(f"{seed}|{t.name}|"), F.col("__id")))
+
+
+def _id_text() -> Column:
+    return F.coalesce(F.col("row_id").cast("string"), F.lit(""))
+
+
+def _free(t: ErrorType, mask: Column | None = None) -> Column:
+    """The record may get ``t`` by ``__may`` and its mask."""
+    blockers = F.lit(sum(1 << BIT[b.name] for b in _blockers(t))).cast("long")
+    return _any_bit(F.col("__may"), [t.name]) & ((F.col("__mask") if mask is None else mask).bitwiseAND(blockers) == 0)
+
+
+def _total(bits: list[Column], start: Column) -> Column:
+    return sum(bits, start)
+
+
+def _near(rows: DataFrame, group: list[ErrorType], between: dict[str, tuple[str, str]], seed: int) -> DataFrame:
+    """``__sure`` and ``__near``: bits of the types of one level whose digest is below the interval, or in it."""
+    none = F.lit(0).cast("long")
+    kept = ["row_id", "__may", "__mask"]
+    rows = rows.select(*kept, _id_text().alias("__id"), none.alias("__sure"), none.alias("__near"))
+    for part in _parts(group):
+        # a generator: the digests are computed once, in a method of their own
+        drawn = rows.select("*", F.inline(F.array(F.struct(*[
+            F.when(_free(t), _digest(t, seed)).alias(f"__u{i}") for i, t in enumerate(part)]))))
+        below = [F.col(f"__u{i}") < F.lit(between[t.name][0]) for i, t in enumerate(part)]
+        inside = [~x & (F.col(f"__u{i}") <= F.lit(between[t.name][1])) for i, (t, x) in enumerate(zip(part, below, strict=True))]
+        rows = drawn.select(
+            *kept, "__id",
+            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, below, strict=True)], F.col("__sure")).alias("__sure"),
+            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, inside, strict=True)], F.col("__near")).alias("__near"))
+    return rows.drop("__id")
+
+
+def _decided(marks: DataFrame, group: list[ErrorType], cut: dict[str, str], seed: int) -> DataFrame:
+    """``__mask`` with the bits of one level: the sure ones, and those near the cutoffs that are not above."""
+    none = F.lit(0).cast("long")
+    rows = marks.select("row_id", "__may", "__near", _id_text().alias("__id"), (F.col("__mask") + F.col("__sure")).alias("__mask"))
+    for part in _parts(group):
+        bits = [F.when(_any_bit(F.col("__near"), [t.name]) & (_digest(t, seed) <= F.lit(cut[t.name])), _bit(t)).otherwise(none)
+                for t in part]
+        rows = rows.select("row_id", "__may", "__near", "__id", F.explode(F.array(_total(bits, F.col("__mask")))).alias("__mask"))
+    return rows.drop("__near", "__id")
 
 
 def _settled(rows: DataFrame, group: list[ErrorType], cut: dict[str, str], seed: int) -> DataFrame:
-    """``__mask`` with the bits of one level; a generator keeps levels from being derived again and again."""
+    """``__mask`` with the bits of one level, from all digests; none of its types blocks another."""
     none = F.lit(0).cast("long")
-    bits = none
-    for t in group:
-        bits = bits + F.when(_digest(t, seed) <= F.lit(cut[t.name]), F.lit(1 << BIT[t.name]).cast("long")).otherwise(none)
-    others = [c for c in rows.columns if c != "__mask"]
-    return rows.select(*others, F.explode(F.array(F.col("__mask") + bits)).alias("__mask"))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != "__mask"]
+    for part in _parts(group):
+        bits = [F.when(_free(t) & (_digest(t, seed) <= F.lit(cut[t.name])), _bit(t)).otherwise(none) for t in part]
+        rows = rows.select(*others, F.explode(F.array(_total(bits, F.col("__mask")))).alias("__mask"))
+    return rows
 
 
 def select_errors(clean: DataFrame, seed: int = SEED) -> DataFrame:
-    """The clean rows with ``__mask``: one bit per type applied to the record. Stored."""
+    """The clean rows with ``__mask``: one bit per type applied to the record. Stored.
+
+    A level computes its digests once: digests are uniform, so an interval can be named that holds the
+    cutoff. What is below it is counted, what is in it ranked. Should a cutoff lie outside, its interval
+    is widened to all digests.
+    """
     none = F.lit(0).cast("long")
     may = sum((F.when(F.expr(t.eligible), F.lit(1 << BIT[t.name]).cast("long")).otherwise(none) for t in TYPES), none)
-    begin = {"__may": may, "__mask": none}
-    marks = materialise(clean.select("row_id", *[v.alias(k) for k, v in begin.items()]), "marks")
-    counts = targets(marks.count())
-    steps = []
-    for group in levels():
-        labelled = F.array(*[
-            F.struct(F.lit(t.name).alias("label"), _digest(t, seed).alias("u")) for t in group])
-        cut = cutoffs(marks.select(F.inline(labelled)).filter("u IS NOT NULL"), {t.name: counts[t.name] for t in group})
-        steps.append((group, cut))
-        marks = materialise(_settled(marks, group, cut, seed), "marks")
-    rows = clean.withColumns(begin)
-    for group, cut in steps:
-        rows = _settled(rows, group, cut, seed)
-    return materialise(rows.drop("__may"), "marked")
+    empty = {"__mask": none, "__sure": none, "__near": none}
+    marks = materialise(clean.select("row_id", may.alias("__may"), *[v.alias(k) for k, v in empty.items()]), "marks")
+
+    def counted(done: list[ErrorType], ahead: list[ErrorType]):
+        """Per type of a level what is sure and near; per type of the next one about how many records may get it."""
+        masked = F.col("__mask") + F.col("__sure")
+        return marks.agg(
+            F.count("*").alias("rows"), *[F.count_if(_any_bit(F.col(c), [t.name])).alias(f"{c}{t.name}") for t in done for c in ("__sure", "__near")],
+            *[F.count_if(_free(t, masked)).alias(f"__free{t.name}") for t in ahead]).first()
+
+    order = levels()
+    seen = counted([], order[0])
+    counts = targets(seen["rows"])
+    cuts: dict[str, str] = {}
+    for level, group in enumerate(order):
+        start = marks if level == 0 else _decided(marks, order[level - 1], cuts, seed)
+        between = {t.name: _interval(counts[t.name], seen[f"__free{t.name}"]) for t in group}
+        while True:
+            marks = materialise(_near(start, group, between, seed), "marks")
+            seen = counted(group, order[level + 1] if level + 1 < len(order) else [])
+            rest = {t.name: counts[t.name] - seen[f"__sure{t.name}"] for t in group}
+            missed = [n for n, r in rest.items() if counts[n] and between[n] != ("", "g") and (
+                r < 1 or (r > seen[f"__near{n}"] and between[n][1] != "g"))]
+            if not missed:
+                break
+            between |= {n: ("", "g") for n in missed}
+        labelled = F.array(*[F.struct(F.lit(t.name).alias("label"), F.when(
+            _any_bit(F.col("__near"), [t.name]), order_text(seed, t.name, "row_id")).alias("u")) for t in group])
+        near = marks.filter("__near <> 0").select(F.inline(labelled)).filter("u IS NOT NULL")
+        cuts |= cutoffs(near, rest, {t.name: seen[f"__near{t.name}"] for t in group})
+    rows = clean.withColumns({"__may": may, "__id": _id_text(), "__mask": none})
+    for group in order:
+        rows = _settled(rows, group, cuts, seed)
+    return materialise(rows.drop("__may", "__id"), "marked")
 
 
 def injection_log(marked: DataFrame, duplicates: int | None = None) -> DataFrame:
