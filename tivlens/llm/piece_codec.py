@@ -22,7 +22,7 @@ from tivlens.llm.pieces import encoder, pretokens
 
 MEMORY = 300_000  # pre-tokens a worker remembers
 LONGEST = 64  # code points of a remembered pre-token
-SLICE = 1 << 22  # ids in one output batch, about
+SLICE = 1 << 19  # ids in one output batch, about
 
 
 def model_bytes(path: str) -> bytes:
