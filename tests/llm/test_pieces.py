@@ -62,3 +62,22 @@ def test_counts(docs):
         n = len(lib.encode(text))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2999)
     assert count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_memory_outlives_a_task_and_keeps_frequent_pretokens(monkeypatch):
+    """Each task used to start with an empty memory, and a full one forgot all at once."""
+    from tivlens.llm import piece_codec
+
+    monkeypatch.setattr(piece_codec, "MEMORY", 3)
+    assert piece_codec.memory(MODEL) is piece_codec.memory(MODEL)
+    known, lib, learned = piece_codec.Memory(encoder(MODEL)), processor(MODEL), []
+    monkeypatch.setattr(known, "enc", type("Enc", (), {
+        "encode": staticmethod(lambda t: learned.append(t) or encoder(MODEL).encode(t)), "decode": encoder(MODEL).decode}))
+    words = ["the", "a", "\u6f22", "the", "zebra", "the", "qqq", "the", "Z\u00fcrich", "the", "x" * 100, "x" * 100]
+    for w in words:
+        (token,) = pretokens(w)
+        packed, text = known[token]
+        ids = memoryview(packed).cast("i").tolist()
+        assert ids == lib.encode(w) and text == " " + w
+    assert learned.count(pretokens("the")[0]) == 1 and len(known) <= 3 and len(known.older) <= 3
+    assert learned.count(pretokens("x" * 100)[0]) == 2  # long ones aren't remembered

@@ -10,17 +10,18 @@ kept, repeated ones too; other columns are not read unless named in ``carry``.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tivlens.llm.pieces import encoder, pretokens
+from tivlens.llm.pieces import PieceEncoder, encoder, pretokens
 
-MEMORY = 300_000  # pre-tokens a worker remembers
+MEMORY = 250_000  # pre-tokens in each half of a worker's memory
 LONGEST = 64  # code points of a remembered pre-token
 SLICE = 1 << 19  # ids in one output batch, about
 
@@ -30,6 +31,35 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+class Memory(dict):
+    """Pre-token to its ids, four bytes each, and their text; unknown ones are encoded and decoded.
+
+    When it is full it becomes the older half and a new one begins; what is asked for again moves over, so
+    frequent pre-tokens are never forgotten.
+    """
+
+    def __init__(self, enc: PieceEncoder) -> None:
+        self.enc = enc
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def __missing__(self, token: str) -> tuple[bytes, str]:
+        if (both := self.older.get(token)) is None:
+            ids = self.enc.encode(token)
+            both = array("i", ids).tobytes(), self.enc.decode(ids)
+        if len(token) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.older = dict(self)
+                self.clear()
+            self[token] = both
+        return both
+
+
+@lru_cache(maxsize=1)
+def memory(model: bytes) -> Memory:
+    """One memory per worker, kept from task to task."""
+    return Memory(encoder(model))
+
+
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                   carry: bool = False) -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` for every row; with ``carry`` also struct ``row``."""
@@ -42,32 +72,21 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                            T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model)
-        known: dict[str, tuple[list[int], str]] = {}
-
-        def learn(token: str) -> tuple[list[int], str]:
-            ids = enc.encode(token)
-            both = ids, enc.decode(ids)
-            if len(token) <= LONGEST:
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[token] = both
-            return both
-
+        look = memory(model).__getitem__
         for batch in batches:
-            start, offsets, values, decoded = 0, [0], pa.array([], pa.int32()), []
-            parts: list[pa.Array] = []
+            start, offsets, decoded = 0, [0], []
+            parts: list[bytes] = []
             texts, total = batch.column(1), 0
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                found = [known.get(t) or learn(t) for t in pretokens(text)] if text else []
-                flat = pa.array(list(chain.from_iterable(f[0] for f in found)), pa.int32())
+                found = [*map(look, pretokens(text))] if text else []
+                flat = b"".join([f[0] for f in found])
                 parts.append(flat)
-                total += len(flat)
+                total += len(flat) // 4
                 offsets.append(total)
-                decoded.append("".join(f[1] for f in found)[1:])  # the marker put in front
+                decoded.append("".join([f[1] for f in found])[1:])  # the marker put in front
                 if total >= SLICE or k == batch.num_rows - 1:
-                    values = pa.concat_arrays(parts)
+                    values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(parts))])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(start, k + 1 - start),
                          pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),

@@ -102,7 +102,8 @@ class PieceEncoder:
             a, b = self.texts[left], self.texts[right]
             if len(self.pairs) >= self.MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+            # two tokens that merge with each other are never left side by side
+            ok = self.pairs[key] = a + b not in self.score and self.merged(a + b) == [a, b]
         return ok
 
     def _word(self, word: str) -> list[int]:
