@@ -143,7 +143,10 @@ class Workspace:
 
     @cached_property
     def usable(self) -> DataFrame:
-        return materialise(accumulate.usable(self.cleansed, self.flags), "usable")
+        # what placing and the comparisons by attribute read, not the whole wide record a second time
+        return materialise(accumulate.usable(self.cleansed, self.flags).select(
+            "row_id", "district", "occupancy_code", "construction_clean", "latitude_clean", "longitude_clean",
+            "tiv_total_clean", "has_p001", "has_p003"), "usable")
 
     @cached_property
     def placed(self) -> DataFrame:
