@@ -17,6 +17,8 @@ Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from tivlens.llm import decontamination, language_id, line_dedup, minhash, piece
 from tivlens.llm.common import SPACES, matching, stored, table
 
 PIECES = "piece_bpe_32k.model"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of texts on their way to a worker; they lie in both processes several times over
 LEAST_SURE = 0.5  # language score; a document that is likelier another language than the best one goes
 
 
@@ -74,12 +78,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                        (F.sha2("decoded", 256) == F.col("row.plain")).alias("decodes"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """``stage`` in a session that sends rows to the Python workers in batches of ``BATCH_BYTES``, unless it has a limit of its own."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, None) is None:
+            spark.conf.set(BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", decontaminate),
-    ("sentencepiece", encode),
+    ("language_id", bounded(identify_language)),
+    ("line_dedup", bounded(dedup_lines)),
+    ("near_duplicates", bounded(drop_near_duplicates)),
+    ("decontamination", bounded(decontaminate)),
+    ("sentencepiece", bounded(encode)),
 ]
 
 #: Three stages are no SQL: a learned classifier, an alignment and a tokenizer.

@@ -3,7 +3,9 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tivlens.llm.common import SPACES
@@ -104,3 +106,21 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, folder):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
     assert len(got) == len(set(rows)) - 4 and (1, bad) in got and (None, bad) not in got
     assert [d for d, t in got if t.startswith(copied)] == [5] and {(None, clean), (1, other), rows[4], rows[10]} <= set(got)
+
+
+def test_batches_for_the_workers_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    texts = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+    stage = corpus_pipeline.bounded(lambda session, docs, sf_dir: docs.mapInArrow(sizes, "n long"))
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH)
+        found = [r.n for r in stage(spark, texts, "").collect()]  # one batch of 27 MB without the bound
+        assert sum(found) >= 27_000_000 and max(found) < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(corpus_pipeline.BATCH, 1 << 20)  # a session's own limit stands
+        assert max(r.n for r in stage(spark, texts, "").collect()) < 2 << 20
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
+    assert all(f.__qualname__.startswith("bounded") for _, f in corpus_pipeline.STAGES)

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tivlens.llm import piece_codec
 from tivlens.llm.piece_codec import encode_decode, model_bytes
 from tivlens.llm.pieces import PieceEncoder, encoder, pretokens, processor
 from tivlens.llm.token_counts import count_tokens
@@ -81,3 +82,33 @@ def test_memory_outlives_a_task_and_keeps_frequent_pretokens(monkeypatch):
         assert ids == lib.encode(w) and text == " " + w
     assert learned.count(pretokens("the")[0]) == 1 and len(known) <= 3 and len(known.older) <= 3
     assert learned.count(pretokens("x" * 100)[0]) == 2  # long ones aren't remembered
+
+
+def test_memory_of_pretokens_is_compact():
+    """Two workers keep theirs beside the heap of their executor."""
+    import gc
+    import tracemalloc
+
+    memory = piece_codec.Memory(PieceEncoder(piece_codec.model_bytes(PATH)))
+    words = [f"▁w{k * 7919 % 100_003}x" for k in range(20_000)]
+    for w in words:
+        memory.enc.encode(w)  # so that the encoder's own tables aren't counted
+    gc.collect()
+    tracemalloc.start()
+    for w in words:
+        memory[w]
+    taken = tracemalloc.get_traced_memory()[0] / len(words)
+    tracemalloc.stop()
+    assert len(memory) == len(words) and taken < 130
+
+
+def test_texts_that_decode_to_something_else_keep_it(monkeypatch):
+    memory = piece_codec.Memory(PieceEncoder(piece_codec.model_bytes(PATH)))
+    plain = memory.text("the cat sat  on▁the mat")
+    assert plain[1] == "the cat sat  on the mat"
+    decode = memory.enc.decode
+    odd = memory.enc.encode("▁cat")
+    monkeypatch.setattr(memory.enc, "decode", lambda ids: " dog" if ids == odd else decode(ids))
+    memory.clear()
+    assert memory.text("the cat sat  on▁the mat") == (plain[0], "the dog sat  on the mat")
+    assert memory.text("cat" + "a" * 200) == memory.text("cat" + "a" * 200) and memory.text("cat")[1] == "dog"

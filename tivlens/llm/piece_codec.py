@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tivlens.llm.pieces import PieceEncoder, encoder, pretokens
+from tivlens.llm.pieces import MARK, PieceEncoder, encoder, pretokens
 
 MEMORY = 250_000  # pre-tokens in each half of a worker's memory
 LONGEST = 64  # code points of a remembered pre-token
@@ -34,24 +34,43 @@ def model_bytes(path: str) -> bytes:
 class Memory(dict):
     """Pre-token to its ids, four bytes each, and their text; unknown ones are encoded and decoded.
 
-    When it is full it becomes the older half and a new one begins; what is asked for again moves over, so
-    frequent pre-tokens are never forgotten.
+    What is kept is the ids, and the text only of the few that decode to something else than themselves. When
+    it is full it becomes the older half and a new one begins; what is asked for again moves over, so frequent
+    pre-tokens are never forgotten.
     """
 
     def __init__(self, enc: PieceEncoder) -> None:
         self.enc = enc
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept = super().__getitem__
+        self.older: dict[str, bytes | tuple[bytes, str]] = {}
 
-    def __missing__(self, token: str) -> tuple[bytes, str]:
-        if (both := self.older.get(token)) is None:
+    def __missing__(self, token: str) -> bytes | tuple[bytes, str]:
+        if (known := self.older.get(token)) is None:
             ids = self.enc.encode(token)
-            both = array("i", ids).tobytes(), self.enc.decode(ids)
+            known, text = array("i", ids).tobytes(), self.enc.decode(ids)
+            if text != token.replace(MARK, " "):
+                known = known, text
         if len(token) <= LONGEST:
             if len(self) >= MEMORY:
                 self.older = dict(self)
                 self.clear()
-            self[token] = both
-        return both
+            self[token] = known
+        return known
+
+    def __getitem__(self, token: str) -> tuple[bytes, str]:
+        known = self.kept(token)
+        return known if type(known) is tuple else (known, token.replace(MARK, " "))
+
+    def text(self, text: str) -> tuple[bytes, str]:
+        """Ids of a whole text, four bytes each, and the text they decode to."""
+        tokens = pretokens(text)
+        found = [*map(self.kept, tokens)]
+        try:
+            ids, decoded = b"".join(found), "".join(tokens).replace(MARK, " ")
+        except TypeError:  # one of the few
+            both = [(f, t.replace(MARK, " ")) if type(f) is bytes else f for f, t in zip(found, tokens, strict=True)]
+            ids, decoded = b"".join([f[0] for f in both]), "".join([f[1] for f in both])
+        return ids, decoded[1:]  # without the marker put in front
 
 
 @lru_cache(maxsize=1)
@@ -72,19 +91,18 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                            T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = memory(model).__getitem__
+        of = memory(model).text
         for batch in batches:
             start, offsets, decoded = 0, [0], []
             parts: list[bytes] = []
             texts, total = batch.column(1), 0
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                found = [*map(look, pretokens(text))] if text else []
-                flat = b"".join([f[0] for f in found])
+                flat, plain = of(text) if text else (b"", "")
                 parts.append(flat)
                 total += len(flat) // 4
                 offsets.append(total)
-                decoded.append("".join([f[1] for f in found])[1:])  # the marker put in front
+                decoded.append(plain)
                 if total >= SLICE or k == batch.num_rows - 1:
                     values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(parts))])
                     yield pa.RecordBatch.from_arrays(
@@ -92,5 +110,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                          pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
                          pa.array(decoded, pa.string())], names=[first, "ids", "decoded"])
                     start, offsets, parts, decoded, total = k + 1, [0], [], [], 0
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks, the batches' memory need not
 
     return rows.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ def processor(model: bytes):
 class PieceEncoder:
     """Encodes pre-tokens with the vocabulary and merge scores of a piece model."""
 
-    MAX_PAIRS = 2_000_000  # remembered compatibility tests; forgotten all at once beyond
+    MAX_PAIRS = 500_000  # remembered compatibility tests, some 240 bytes each; forgotten all at once beyond
 
     def __init__(self, model: bytes) -> None:
         import ahocorasick
