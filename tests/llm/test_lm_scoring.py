@@ -92,3 +92,16 @@ def test_rare_and_missing_labels_have_a_class(spark, rest):
         return sorted(r.score for r in rows)
 
     assert all(a > b + 1 for a, b in zip(scores("lang"), scores(None), strict=True))
+
+
+def test_draws_of_all_words_at_once():
+    log_p = np.log(np.random.default_rng(1).random((300, 3)) ** 8)
+    k = np.array([1, 2, 3, 40, 41, 42, 5000, 1, 7, 2] * 30)
+
+    def one(p, n):
+        return math.log(lm_scoring.URN) + p + (math.lgamma(lm_scoring.URN * math.exp(p) + n) - math.lgamma(lm_scoring.URN * math.exp(p) + 1))
+
+    want = [[one(p, n) for p in row] for row, n in zip(log_p.tolist(), k.tolist(), strict=True)]
+    assert np.allclose(lm_scoring.drawn(log_p, k), want, rtol=1e-12, atol=1e-9)
+    for none in ([], [1], [50]):
+        assert lm_scoring.drawn(np.full((len(none), 2), -1.0), np.array(none, np.int64)).shape == (len(none), 2)

@@ -32,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ from tivlens.llm.pieces import MARK, processor
 FREQUENT = 500_000
 CLASSES = 8  # most frequent labels that get counts of their own; all others share one more class
 URN = 4000.0
+PRODUCT = 40  # draws up to which factors are multiplied: (URN + PRODUCT) ** PRODUCT is far below the largest double
 PENDING = 200_000  # distinct words a task counts before it passes them on
 INF = float("inf")
 
@@ -158,7 +160,7 @@ def word_counts(docs: DataFrame, kind: Column, classes: int, text_col: str) -> D
 
         def flush() -> pa.RecordBatch:
             both = list(set().union(*counts.values()))
-            by_kind = {k: np.fromiter((x[w] for w in both), np.int64, len(both)) for k, x in counts.items()}
+            by_kind = {k: np.fromiter(map(x.get, both, repeat(0)), np.int64, len(both)) for k, x in counts.items()}
             learned = sum(x for k, x in by_kind.items() if k >= 0)
             for x in counts.values():
                 x.clear()
@@ -202,10 +204,25 @@ def _log(x: float) -> float:
     return math.log(x) if x > 0 else -INF
 
 
-def drawn(log_p: float, k: int) -> float:
-    """Log weight of ``k`` draws of a word from the urn, without the part that depends on the text's length alone."""
-    more = math.lgamma(URN * math.exp(log_p) + k) - math.lgamma(URN * math.exp(log_p) + 1) if k > 1 else 0.0
-    return math.log(URN) + log_p + more
+def drawn(log_p: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Log weights of ``k`` draws each of some words from the urn, without the part that depends on the text's length alone.
+
+    Rows of ``log_p`` are words, columns classes. Beyond the first draw the weight is the product of
+    ``URN * p + j`` for j from 1 to k - 1, which is a quotient of gamma functions.
+    """
+    out = math.log(URN) + log_p
+    again = np.flatnonzero(k > 1)
+    again = again[np.argsort(-k[again], kind="stable")]
+    urn, times = URN * np.exp(log_p[again]), k[again]
+    many = int(np.count_nonzero(times > PRODUCT))
+    product = np.ones_like(urn[many:])
+    for j in range(1, int(times[many]) if many < len(times) else 1):
+        n = np.count_nonzero(times[many:] > j)
+        product[:n] *= urn[many:many + n] + j
+    out[again[many:]] += np.log(product)
+    for at, u, n in zip(again[:many].tolist(), urn[:many].tolist(), times[:many].tolist(), strict=True):
+        out[at] += [math.lgamma(x + n) - math.lgamma(x + 1) for x in u]
+    return out
 
 
 def score_texts(docs: DataFrame, training: Column, model_path: str, label_col: str | None = None,
@@ -260,37 +277,46 @@ def score_texts(docs: DataFrame, training: Column, model_path: str, label_col: s
     scores = ", ".join(f"s{k} double" for k in wide)
     weighed = stored(words.mapInArrow(weigh, f"word binary, n_all long, known boolean, base double, {scores}"), "weighed")
     frequent = F.col("n_all") * FREQUENT > facts["all"]
-    table = {bytes(r.word): (int(r.known), r.base, [r[f"s{k}"] for k in wide]) for r in
-             weighed.where(frequent).collect()}  # at most FREQUENT rows
-    sent = spark.sparkContext.broadcast(table)
+    table = weighed.where(frequent).toArrow()  # at most FREQUENT rows
+    sent = spark.sparkContext.broadcast((
+        {w: i for i, w in enumerate(table["word"].to_pylist())}, table["known"].to_numpy().astype(np.int64), table["base"].to_numpy(),
+        np.stack([table[f"s{k}"].to_numpy() for k in wide], axis=1)))
+    end_weights = drawn(np.array([ended]), np.array([1]))[0] + np.array(share)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.float64()] * len(ended),
-                 pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
+        places, is_known, base, log_p = sent.value
+        find = places.get
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found: list[tuple] = []
+                tokens, distinct, rare_words, offsets = [], [], [], [0]
+                found, times, rare_times = [], [], []
                 for value in part.column(3):
                     counts = Counter((value.as_py() or b"").lower().split())
-                    tokens = 1 + counts.total()
-                    known_n, base, rare = int(ends > 0), base_end, []
-                    length = math.lgamma(URN) - math.lgamma(URN + tokens)
-                    sums = [share[j] + length + drawn(ended[j], 1) for j in wide]
-                    for w, k in counts.items():
-                        if (weights := known.get(w)) is None:
-                            rare.append({"word": w, "k": k})
-                            continue
-                        known_n += k * weights[0]
-                        base += k * weights[1]
-                        for j in wide:
-                            sums[j] += drawn(weights[2][j], k)
-                    found.append((tokens, known_n, base, *sums, rare))
-                columns = zip(*found, strict=True)
+                    where = np.fromiter(map(find, counts, repeat(-1)), np.int64, len(counts))
+                    k = np.fromiter(counts.values(), np.int64, len(counts))
+                    tokens.append(1 + int(k.sum()))
+                    held = where >= 0
+                    if not held.all():
+                        ws = [*counts]
+                        rare_words.extend([ws[j] for j in np.flatnonzero(~held).tolist()])
+                        rare_times.append(k[~held])
+                        where, k = where[held], k[held]
+                    offsets.append(len(rare_words))
+                    distinct.append(len(where))
+                    found.append(where)
+                    times.append(k)
+                where, k = np.concatenate(found), np.concatenate(times)
+                text, n = np.repeat(np.arange(part.num_rows), distinct), part.num_rows
+                weights = drawn(log_p[where], k)
+                length = np.array([math.lgamma(URN) - math.lgamma(URN + t) for t in tokens])
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(rare_words, pa.binary()), pa.array(np.concatenate([*rare_times, np.empty(0, np.int64)]))], names=["word", "k"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2),
-                     *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]],
+                    [part.column(0), part.column(1), part.column(2), pa.array(tokens, pa.int64()),
+                     pa.array(int(ends > 0) + np.bincount(text, is_known[where] * k, n).astype(np.int64)),
+                     pa.array(base_end + np.bincount(text, base[where] * k, n)),
+                     *[pa.array(end_weights[j] + length + np.bincount(text, weights[:, j], n)) for j in wide], rare],
                     names=["rid", "doc_id", "training", "n_tokens", "n_known", "base", *[f"s{k}" for k in wide], "rare"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
