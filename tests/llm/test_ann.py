@@ -72,6 +72,24 @@ def test_a_table_of_2000_rows_is_not_searched_whole(spark, monkeypatch):
     assert seen[0] > 0 and seen[1] < 2000  # of 16,000: rows met in all trees, repeats included
 
 
+def test_what_grows_with_the_input_is_not_broadcast(spark, vectors, monkeypatch):
+    plans, plain = {}, ann.stored
+
+    def stored(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(ann, "stored", stored)
+    df = spark.createDataFrame([(i, v, 1.0, "x") for i, v in vectors[:600]], SCHEMA)
+    last = ann.nearest(df, F.col("vec_id") % 5 == 0)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for plan in plans["waiting"] for line in plan.splitlines() if "Join" in line]
+    # the loop's tables are probed and written, so each of its plans has all its joins
+    assert len(joins) >= 4 and all("SortMergeJoin" in line for line in joins)
+    # in the last one only the cuts of blocks are sent, on both sides
+    assert [line.count("[tree") for line in last.splitlines() if "BroadcastHashJoin" in line] == [2, 2]
+    assert "SortMergeJoin [id" in last
+
+
 def test_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (5, None), (10, [0.0, 0.0]), (15, [nan, 1.0]), (20, [inf, 1.0]),

@@ -252,6 +252,15 @@ def _blocks(n: Column, size: int) -> Column:
     return F.ceil(n / size).cast("int")
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join in which both sides are shuffled and neither is broadcast.
+
+    Spark estimates sizes from those of files, in which a query's 320 prefixes or a run of equal
+    values take next to nothing, and would collect tables in the driver that grow with the input.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def visits_of(asked: DataFrame, runs: DataFrame, d: int, longest: float, seed: int, head: int, kind: type, wanted: int) -> DataFrame:
     """``id, tree, level, prefix``: the prefixes that each query visits."""
     reach = f"id {asked.schema['id'].dataType.simpleString()}, tree int, level int, prefix long"
@@ -263,20 +272,20 @@ def visits_of(asked: DataFrame, runs: DataFrame, d: int, longest: float, seed: i
     path = (asked.select("id", F.posexplode("strings").alias("tree", "string"))
             .withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))))
             .select("id", "tree", "level", F.expr(f"shiftright(string, {DEPTH} - level)").alias("prefix")).distinct())
-    shared = path.join(runs, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("rows").alias("rows"))
+    shared = _merged(path, runs, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("rows").alias("rows"))
     most = 1.5 * F.col("rows") * F.least(F.lit(PROBES), F.pow(F.lit(2), F.col("level")))  # own prefixes may be the smaller ones
     bounds = shared.groupBy("id").agg(F.max(F.when(F.col("rows") >= wanted, F.col("level"))).alias("low"),
                                       F.max(F.when(most >= wanted, F.col("level"))).alias("high"))
     zero = F.lit(0)
-    waiting = stored(asked.select("id", "bytes").join(bounds, "id", "left").select(
+    waiting = stored(_merged(asked.select("id", "bytes"), bounds, "id", "left").select(
         "id", "bytes", F.coalesce("low", zero).alias("low"), (F.coalesce("high", zero) + 1).alias("high"),
         F.coalesce("high", zero).alias("level")), "waiting")
     settled = waiting.where("high - low <= 1").select("id", "bytes", F.col("low").alias("level"))
     waiting = waiting.where("high - low > 1")
     while not waiting.isEmpty():  # up: in all trees at once, halving the levels that are left, at most log2(DEPTH) times
-        reached = visited(waiting).join(runs, ["tree", "level", "prefix"], "left").groupBy("id").agg(F.sum("rows").alias("rows"))
+        reached = _merged(visited(waiting), runs, ["tree", "level", "prefix"], "left").groupBy("id").agg(F.sum("rows").alias("rows"))
         enough = F.coalesce("rows", zero) >= wanted
-        waiting = stored(waiting.join(reached, "id").select(
+        waiting = stored(_merged(waiting, reached, "id").select(
             "id", "bytes", F.when(enough, F.col("level")).otherwise(F.col("low")).alias("low"),
             F.when(enough, F.col("high")).otherwise(F.col("level")).alias("high")), "waiting")
         settled = settled.unionByName(waiting.where("high - low <= 1").select("id", "bytes", F.col("low").alias("level")))
@@ -311,8 +320,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return vectors.sparkSession.createDataFrame([], schema)
     levels = asked.join(F.broadcast(vectors.sparkSession.createDataFrame([(r.id,) for r in sample], f"id {id_type}")), "id").select(
         "id", "bytes", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("level"))
-    reached = (levels.mapInArrow(_visited(d, longest, seed, bits, kind), f"id {id_type}, tree int, level int, prefix long").distinct()
-               .join(runs, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("rows").alias("rows")).collect())
+    tried = levels.mapInArrow(_visited(d, longest, seed, bits, kind), f"id {id_type}, tree int, level int, prefix long").distinct()
+    reached = _merged(tried, runs, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("rows").alias("rows")).collect()
     fitted = fitted_count(near, sample, Forest(d, longest, seed, bits), {(r.id, r.level): r.rows for r in reached}, TREES * n)
     repeats = kept.groupBy("id").count().agg(F.max("count")).first()[0]  # vectors of one id
     wanted = max(TREES * (k + 1) * repeats, fitted)  # so many hold k other ids, even if all trees meet the same rows
@@ -334,7 +343,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     left = (trees.join(cuts, own).withColumn("i", F.pmod(F.xxhash64("id"), F.col("i_of")))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j_of") - 1)))
             .select(*own, F.col("i").cast("int"), "j", "id", "bytes", "string"))
-    right = (met.join(asked.select("id", "bytes"), "id").join(cuts, own)
+    right = (_merged(met, asked.select("id", "bytes"), "id").join(cuts, own)
              .withColumn("j", F.pmod(F.xxhash64("id"), F.col("j_of")).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_of") - 1)))
              .select(*own, "i", "j", "id", "level", "bytes", "prefixes"))
