@@ -232,10 +232,10 @@ def _id_text() -> Column:
     return F.coalesce(F.col("row_id").cast("string"), F.lit(""))
 
 
-def _free(t: ErrorType, mask: Column | None = None) -> Column:
+def _free(t: ErrorType) -> Column:
     """The record may get ``t`` by ``__may`` and its mask."""
     blockers = F.lit(sum(1 << BIT[b.name] for b in _blockers(t))).cast("long")
-    return _any_bit(F.col("__may"), [t.name]) & ((F.col("__mask") if mask is None else mask).bitwiseAND(blockers) == 0)
+    return _any_bit(F.col("__may"), [t.name]) & (F.col("__mask").bitwiseAND(blockers) == 0)
 
 
 def _total(bits: list[Column], start: Column) -> Column:
@@ -243,32 +243,32 @@ def _total(bits: list[Column], start: Column) -> Column:
 
 
 def _near(rows: DataFrame, group: list[ErrorType], between: dict[str, tuple[str, str]], seed: int) -> DataFrame:
-    """``__sure`` and ``__near``: bits of the types of one level whose digest is below the interval, or in it."""
+    """The types of one level by digest: below the interval they are in ``__mask``, in it they stay in ``__may``, above they leave it."""
     none = F.lit(0).cast("long")
-    kept = ["row_id", "__may", "__mask"]
-    rows = rows.select(*kept, _id_text().alias("__id"), none.alias("__sure"), none.alias("__near"))
+    rows = rows.select("row_id", "__may", "__mask", _id_text().alias("__id"))
     for part in _parts(group):
         # a generator: the digests are computed once, in a method of their own
         drawn = rows.select("*", F.inline(F.array(F.struct(*[
             F.when(_free(t), _digest(t, seed)).alias(f"__u{i}") for i, t in enumerate(part)]))))
         below = [F.col(f"__u{i}") < F.lit(between[t.name][0]) for i, t in enumerate(part)]
         inside = [~x & (F.col(f"__u{i}") <= F.lit(between[t.name][1])) for i, (t, x) in enumerate(zip(part, below, strict=True))]
+        others = F.col("__may").bitwiseAND(F.lit(~sum(1 << BIT[t.name] for t in part)).cast("long"))
         rows = drawn.select(
-            *kept, "__id",
-            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, below, strict=True)], F.col("__sure")).alias("__sure"),
-            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, inside, strict=True)], F.col("__near")).alias("__near"))
-    return rows.drop("__id")
+            "row_id", "__id",
+            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, inside, strict=True)], others).alias("__may"),
+            _total([F.when(x, _bit(t)).otherwise(none) for t, x in zip(part, below, strict=True)], F.col("__mask")).alias("__mask"))
+    return rows.select("row_id", "__may", "__mask")
 
 
 def _decided(marks: DataFrame, group: list[ErrorType], cut: dict[str, str], seed: int) -> DataFrame:
     """``__mask`` with the bits of one level: the sure ones, and those near the cutoffs that are not above."""
     none = F.lit(0).cast("long")
-    rows = marks.select("row_id", "__may", "__near", _id_text().alias("__id"), (F.col("__mask") + F.col("__sure")).alias("__mask"))
+    rows = marks.select("row_id", "__may", _id_text().alias("__id"), "__mask")
     for part in _parts(group):
-        bits = [F.when(_any_bit(F.col("__near"), [t.name]) & (_digest(t, seed) <= F.lit(cut[t.name])), _bit(t)).otherwise(none)
+        bits = [F.when(_any_bit(F.col("__may"), [t.name]) & (_digest(t, seed) <= F.lit(cut[t.name])), _bit(t)).otherwise(none)
                 for t in part]
-        rows = rows.select("row_id", "__may", "__near", "__id", F.explode(F.array(_total(bits, F.col("__mask")))).alias("__mask"))
-    return rows.drop("__near", "__id")
+        rows = rows.select("row_id", "__may", "__id", F.explode(F.array(_total(bits, F.col("__mask")))).alias("__mask"))
+    return rows.drop("__id")
 
 
 def _settled(rows: DataFrame, group: list[ErrorType], cut: dict[str, str], seed: int) -> DataFrame:
@@ -290,15 +290,13 @@ def select_errors(clean: DataFrame, seed: int = SEED) -> DataFrame:
     """
     none = F.lit(0).cast("long")
     may = sum((F.when(F.expr(t.eligible), F.lit(1 << BIT[t.name]).cast("long")).otherwise(none) for t in TYPES), none)
-    empty = {"__mask": none, "__sure": none, "__near": none}
-    marks = materialise(clean.select("row_id", may.alias("__may"), *[v.alias(k) for k, v in empty.items()]), "marks")
+    marks = materialise(clean.select("row_id", may.alias("__may"), none.alias("__mask")), "marks")
 
     def counted(done: list[ErrorType], ahead: list[ErrorType]):
         """Per type of a level what is sure and near; per type of the next one about how many records may get it."""
-        masked = F.col("__mask") + F.col("__sure")
         return marks.agg(
-            F.count("*").alias("rows"), *[F.count_if(_any_bit(F.col(c), [t.name])).alias(f"{c}{t.name}") for t in done for c in ("__sure", "__near")],
-            *[F.count_if(_free(t, masked)).alias(f"__free{t.name}") for t in ahead]).first()
+            F.count("*").alias("rows"), *[F.count_if(_any_bit(F.col(c), [t.name])).alias(f"{c}{t.name}") for t in done for c in ("__mask", "__may")],
+            *[F.count_if(_free(t)).alias(f"__free{t.name}") for t in ahead]).first()
 
     order = levels()
     seen = counted([], order[0])
@@ -310,16 +308,16 @@ def select_errors(clean: DataFrame, seed: int = SEED) -> DataFrame:
         while True:
             marks = materialise(_near(start, group, between, seed), "marks")
             seen = counted(group, order[level + 1] if level + 1 < len(order) else [])
-            rest = {t.name: counts[t.name] - seen[f"__sure{t.name}"] for t in group}
+            rest = {t.name: counts[t.name] - seen[f"__mask{t.name}"] for t in group}
             missed = [n for n, r in rest.items() if counts[n] and between[n] != ("", "g") and (
-                r < 1 or (r > seen[f"__near{n}"] and between[n][1] != "g"))]
+                r < 1 or (r > seen[f"__may{n}"] and between[n][1] != "g"))]
             if not missed:
                 break
             between |= {n: ("", "g") for n in missed}
         labelled = F.array(*[F.struct(F.lit(t.name).alias("label"), F.when(
-            _any_bit(F.col("__near"), [t.name]), order_text(seed, t.name, "row_id")).alias("u")) for t in group])
-        near = marks.filter("__near <> 0").select(F.inline(labelled)).filter("u IS NOT NULL")
-        cuts |= cutoffs(near, rest, {t.name: seen[f"__near{t.name}"] for t in group})
+            _any_bit(F.col("__may"), [t.name]), order_text(seed, t.name, "row_id")).alias("u")) for t in group])
+        near = marks.filter(_any_bit(F.col("__may"), [t.name for t in group])).select(F.inline(labelled)).filter("u IS NOT NULL")
+        cuts |= cutoffs(near, rest, {t.name: seen[f"__may{t.name}"] for t in group})
     rows = clean.withColumns({"__may": may, "__id": _id_text(), "__mask": none})
     for group in order:
         rows = _settled(rows, group, cuts, seed)
